@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import quality
+from tidelog.llm import langid, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_token_counts": tokencount.op2_token_counts,
+        "op9_language": langid.op9_language,
     }
 
 
