@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import langid, quality, tokencount
+from tidelog.llm import bpe, langid, media, mixing, quality, shard, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_token_counts": tokencount.op2_token_counts,
+        "op4_mixing": mixing.op4_mixing,
+        "op5_shards": shard.op5_shards,
+        "op8_bpe": bpe.op8_bpe,
         "op9_language": langid.op9_language,
+        "op10_media": media.op10_media,
     }
 
 
