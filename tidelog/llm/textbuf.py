@@ -86,10 +86,15 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the runs of non-white bytes; runs end where a row ends."""
+    return runs(~_SPACE[data], offsets)
+
+
+def runs(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row numbers of the runs of true; runs end where a row ends."""
+    data = solid
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = solid.copy()
