@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidelog.llm import textbuf, vocab
 from tidelog.llm.tables import table
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), lists], [*kept, ids])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(ids, "array<int>"))
+    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType())))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
