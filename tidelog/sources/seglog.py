@@ -5,9 +5,11 @@ Offsets are not in the frames: a record's is its file's base offset and its plac
 file ends at the first frame that can't be read; with option `corrupt=rows` what is left is
 reported as a row with `error` and `corrupt_bytes`.
 
-Files are one task each. Filters on partition and offset that Spark pushes down drop whole files, by
-their names alone: a file whose successor begins at or before the wanted offset is not opened. Paths
-are local or on a mount that all executors share.
+Files are one task each. Options `startOffset`, `endOffset` (exclusive) and `partition` drop whole
+files by their names alone: a file whose successor begins at or before the wanted offset is not
+opened. (Filters are not used for that: Spark 4.1 keeps what a Python reader made of the first
+query's filters for later queries on the same DataFrame.) Paths are local or on a mount that all
+executors share.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from tidelog.functions.frames import pack, unpack
 
@@ -65,30 +67,19 @@ def scan(segment: Segment, report: bool) -> Iterator[tuple]:
 class Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.report = options["path"], options.get("corrupt") == "rows"
-        self.low, self.high, self.only = 0, None, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = getattr(f, "attribute", None)
-            if name == ("offset",) and isinstance(f, (GreaterThanOrEqual, GreaterThan)):
-                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-            elif name == ("offset",) and isinstance(f, (LessThan, LessThanOrEqual)):
-                last = f.value - isinstance(f, LessThan)
-                self.high = last if self.high is None else min(self.high, last)
-            elif name == ("offset",) and isinstance(f, EqualTo):
-                self.low, self.high = f.value, f.value
-            elif name == ("partition",) and isinstance(f, EqualTo):
-                self.only = f.value
-            yield f  # Spark still filters rows; here only files are dropped
+        self.low, self.high = int(options.get("startOffset", 0)), int(options["endOffset"]) if "endOffset" in options else None
+        self.only = int(options["partition"]) if "partition" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        found = [s for s in segments(self.path) if self.only in (None, s.partition) and (s.stop is None or s.stop > self.low) and (self.high is None or s.base <= self.high)]
+        found = [s for s in segments(self.path) if self.only in (None, s.partition) and (s.stop is None or s.stop > self.low) and (self.high is None or s.base < self.high)]
         for s in found:
             s.start = self.low
         return list(found)
 
     def read(self, partition: Segment) -> Iterator[tuple]:
-        yield from scan(partition, self.report)
+        for row in scan(partition, self.report):
+            if self.high is None or row[1] is None or row[1] < self.high:
+                yield row
 
 
 class StreamReader(DataSourceStreamReader):
@@ -187,7 +178,6 @@ class SegmentLog(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SegmentLog)
 
 
