@@ -108,8 +108,8 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")]
-    order = [F.xxhash64(*kept), F.col(key)] if key in kept else [F.xxhash64(*kept)]
-    rows = docs.select(*kept).withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)), "_hash": order[0]})
+    # The rows' own columns travel in one, so none can clash with those of the plan.
+    rows = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("_source"), F.xxhash64(*kept).alias("_hash"))
     rows = rows.withColumn("_part", F.pmod("_hash", F.lit(BUCKETS)))
     parts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     begins = parts.withColumn("_begin", F.sum("_n").over(W.partitionBy("_source").orderBy("_part")) - F.col("_n")).drop("_n")
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     if len(sizes) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
     plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
-    inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", *order[1:])) - 1
+    inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", *([F.col("_row")[key]] if key in kept else []))) - 1
     placed = rows.join(F.broadcast(begins), ["_source", "_part"]).withColumn("_at", F.col("_begin") + inside)  # BUCKETS rows a source
     placed = placed.withColumns({"mix_block": F.floor(F.col("_at") / block), "mix_row": (F.col("_at") % block).cast("int")})
     # The plan as SQL literals, a row for each phase and source; one period of each phase is scheduled.
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     found = found.withColumns({"_first": F.col("_span.first"), "_nth": ((F.col("mix_block") - F.col("_span.first")) % F.col("_span.share")).cast("int"), "_round": F.floor((F.col("mix_block") - F.col("_span.first")) / F.col("_span.share"))})
     looked = slots.select("_source", F.col("first").alias("_first"), F.col("nth").alias("_nth"), "begin", "total", "slot")
     out = found.join(F.broadcast(looked), ["_source", "_first", "_nth"])  # PERIOD rows a phase
-    return out.select(*kept, F.col("mix_block").cast("long").alias("mix_block"), (F.col("begin") + F.col("_round") * F.col("total") + F.col("slot")).cast("long").alias("mix_slot"), "mix_row")
+    return out.select("_row.*", F.col("mix_block").cast("long").alias("mix_block"), (F.col("begin") + F.col("_round") * F.col("total") + F.col("slot")).cast("long").alias("mix_slot"), "mix_row")
 
 
 def _plan(spark: SparkSession, plan: list[dict]) -> DataFrame:

@@ -313,11 +313,11 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     kept = found["doc_id"].eqNullSafe(found["component_id"]) & (found["text_key"] == found["first_key"])
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     gone = found.where(~kept).select(id_.alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumns({"_id": id_, "_key": F.xxhash64("text")}).join(gone, ["_id", "_key"], "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_.alias("_id"), F.xxhash64("text").alias("_key")).join(gone, ["_id", "_key"], "left_anti")
     # What is left of a component is one row and others equal to it.
     nth = F.row_number().over(W.partitionBy("_id", "_key").orderBy(F.lit(1)))
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | empty).select(*docs.columns)
+    empty = ~F.coalesce(F.col("_row")["text"], F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | empty).select("_row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
