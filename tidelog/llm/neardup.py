@@ -179,7 +179,8 @@ def _families(points: DataFrame, least: float) -> DataFrame:
     paths = points.select(F.explode("roots").alias("node"), "vid")
 
     def counted(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1), "node")
+        # Counts are written first: Spark splits a hot node in the join only if no aggregate stands before it.
+        return rows.join(settle(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)), "node")
 
     nodes = settle(counted(paths).join(sketches, "vid").select("node", "vid", "sketch", "size"))
     found = [nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch")]
@@ -187,7 +188,7 @@ def _families(points: DataFrame, least: float) -> DataFrame:
         large = nodes.where(F.col("size") > NODE)
         if large.isEmpty():
             break
-        nodes = settle(counted(large.select("node", "vid", "sketch").mapInArrow(_branched, "node long, vid binary, sketch binary")).select("node", "vid", "sketch", "size"))
+        nodes = settle(counted(settle(large.select("node", "vid", "sketch").mapInArrow(_branched, "node long, vid binary, sketch binary"))).select("node", "vid", "sketch", "size"))
         found.append(nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch"))
     else:
         blocks = F.ceil(F.col("size") / (NODE // 2))
@@ -291,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     family = _families(points.select("vid", "sketch", "roots"), least)
     named = family.select(F.col("a").alias("vid"), F.col("b").alias("family")).union(family.select("b", "b").distinct())
     members = settle(named.join(points.select("vid", "n", "of.id", "of.text_key"), "vid"))
-    blocks = members.groupBy("family").agg(F.ceil(F.sum("n") / ROOM).alias("blocks"))
+    blocks = settle(members.groupBy("family").agg(F.ceil(F.sum("n") / ROOM).alias("blocks")))
     texts = _wanted(docs, members)
     id_ = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
     brought = texts.withColumn("id", id_).join(members.select("vid", "family", "id", "text_key"), ["id", "text_key"]).join(blocks, "family").select("text", "family", "vid", "blocks")
@@ -300,7 +301,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(links)
     label = labels.select(F.col("a").alias("vid"), F.col("b").alias("label"))
     ids = points.select("vid", "of").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
-    first = ids.groupBy("label").agg(F.min("of").alias("first"))
+    ids = settle(ids)
+    first = settle(ids.groupBy("label").agg(F.min("of").alias("first")))
     of = ids.join(first, "label").select("vid", F.nullif("first.id", F.lit(2**63 - 1)).alias("component_id"), F.col("first.text_key").alias("first_key"))
     out = rows.where(F.col("vid").isNotNull()).select("doc_id", "text_key", "n", "vid").join(of, "vid")
     alone = rows.where(F.col("vid").isNull())
