@@ -26,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_duplicates": neardup.OP3_SQL,
         "op7_topk": topk.OP7_SQL,
     }
