@@ -59,3 +59,13 @@ def sticky_assignment(subscriptions: DataFrame, topics: DataFrame, previous: Dat
     start, step = round_robin_cursor(of, sorted(of))
     dealt = ordered_fold(rest, ["one"], ["topic", "partition"], ["topic"], start, step, "member string")
     return kept.select("topic", "partition", "member", F.lit(True).alias("kept")).union(dealt.select("topic", "partition", "member", F.lit(False)))
+
+
+STRATEGIES = {"range": range_assignment, "roundrobin": round_robin_assignment, "sticky": sticky_assignment}
+
+
+def strategy(name: str):
+    """An assignment strategy by name; `sticky` also takes the previous assignment."""
+    if name not in STRATEGIES:
+        raise ValueError(f"unknown strategy {name!r}; there are {', '.join(STRATEGIES)}")
+    return STRATEGIES[name]

@@ -225,3 +225,32 @@ SELECT event_id, before, let, name AS after FROM f WHERE n > 0""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opens after two failures for six hours, closes after two successes."""
     return fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "ok"], *fold.circuit_breaker(2, 21_600_000, 2), "before string, let boolean, after string").select("event_id", "before", "let", "after")
+
+
+_COMMANDS = """commands AS (SELECT event_id // 1000 AS term, event_id AS index, CASE WHEN event_type IN ('signup', 'error') THEN 'broker' WHEN event_type = 'view' THEN 'leader' ELSE 'topic' END AS kind,
+CASE WHEN event_type IN ('signup', 'error') THEN user_id ELSE user_id % 20 END AS key, CASE WHEN event_type IN ('error', 'click') THEN NULL ELSE user_id END AS value FROM events)"""
+
+
+def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as replicated commands: brokers come (signup) and go (error), topics are made (purchase) and deleted (click), leaders are set (view)."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    broker = kind.isin("signup", "error")
+    return topics.table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 1000).alias("term"), F.col("event_id").alias("index"), F.when(broker, "broker").when(kind == "view", "leader").otherwise("topic").alias("kind"),
+        F.when(broker, user).otherwise(user % 20).alias("key"), F.when(kind.isin("error", "click"), None).otherwise(user).alias("value"),
+    )
+
+
+@query("raft_apply", f"WITH {_COMMANDS}, s AS (SELECT kind, key, arg_max(struct_pack(v := value, i := index), (term, index)) AS x FROM commands GROUP BY 1, 2) SELECT kind, key, x.v AS value, x.i AS index FROM s WHERE x.v IS NOT NULL")
+def raft_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after all commands; the last command on a key decides, an empty one removes it."""
+    last = _commands(spark, sf_dir).groupBy("kind", "key").agg(F.max_by(F.struct("value", "index"), F.struct("term", "index")).alias("x"))
+    return last.where("x.value IS NOT NULL").select("kind", "key", "x.value", "x.index")
+
+
+@query("leader_routing", f"WITH {REPLICAS} SELECT CAST(l_suppkey % 8 AS INTEGER) AS partition, r.broker, count(*) AS requests FROM lineitem JOIN rows_ r ON r.partition = l_suppkey % 8 AND r.is_leader GROUP BY 1, 2")
+def leader_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests go to their partition's leader."""
+    leaders = _replicas(spark, sf_dir).where("is_leader").select("partition", "broker")
+    asked = topics.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("partition")).agg(F.count("*").alias("requests"))
+    return asked.join(leaders, "partition").select("partition", "broker", "requests")

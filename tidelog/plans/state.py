@@ -249,6 +249,35 @@ def txn_illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn.illegal_steps(_states(spark, sf_dir)).select("transaction_id", "seq", "before", "state")
 
 
+@query("txn_open", f"{_LATEST} SELECT transaction_id, state, since, {TXN_NOW} - since > {TXN_MOST} AS timed_out FROM latest WHERE state NOT IN ('COMMITTED', 'ABORTED')")
+def txn_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: transactions that have not ended, and which of them took too long."""
+    found = txn_latest_state(spark, sf_dir).where(~F.col("state").isin("COMMITTED", "ABORTED"))
+    return found.withColumn("timed_out", scalar.timed_out(F.col("state"), F.col("since"), F.lit(TXN_NOW), TXN_MOST))
+
+
+@query("txn_cleanup", f"{_LATEST} SELECT transaction_id FROM latest WHERE state IN ('COMMITTED', 'ABORTED') AND {TXN_NOW} - since > 86400000")
+def txn_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: ended transactions older than a day, which are forgotten."""
+    return txn_latest_state(spark, sf_dir).where(F.col("state").isin("COMMITTED", "ABORTED") & (TXN_NOW - F.col("since") > 86_400_000)).select("transaction_id")
+
+
+@query("client_metrics", f"""WITH RECURSIVE {EVENTS}, {SEQUENCES} SELECT t.partition, count(*) AS records, CAST(sum(octet_length(encode(key)) + octet_length(encode(value))) AS BIGINT) AS bytes, count(*) FILTER (verdict = 'ACCEPT') AS accepted,
+count(*) FILTER (verdict = 'DUPLICATE') AS duplicates, count(*) FILTER (verdict = 'GAP') AS gaps, count(*) FILTER (verdict = 'OLD') AS old FROM topic t JOIN checked c USING (event_id) GROUP BY 1""")
+def client_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a producer's requests."""
+    kinds = {"accepted": "ACCEPT", "duplicates": "DUPLICATE", "gaps": "GAP", "old": "OLD"}
+    size = F.octet_length("key") + F.octet_length("value")
+    return _checked(spark, sf_dir).groupBy("partition").agg(F.count("*").alias("records"), F.sum(size).alias("bytes"), *(F.count_if(F.col("verdict") == v).alias(k) for k, v in kinds.items()))
+
+
+@query("poll", f'WITH {EVENTS}, n AS (SELECT *, row_number() OVER (ORDER BY partition, "offset") AS n FROM topic WHERE partition IN (1, 4) AND "offset" >= 30) SELECT partition, "offset", key, value FROM n WHERE n <= 500')
+def poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 500 records of the assigned partitions, which are drained in order."""
+    topic = topics.events_topic(spark, sf_dir).where(F.col("partition").isin(1, 4) & (F.col("offset") >= 30))
+    return topic.orderBy("partition", "offset").limit(500).select(*_SHOWN)
+
+
 @query("expired", f"""WITH {COMMITS} SELECT group_id, topic_partition, seq - 1 AS seq, {COMMITS_NOW} > expires AS offset_expired, {COMMITS_NOW} - (expires - {YEAR}) >= 86400000 AS batch_due,
 {COMMITS_NOW} - (expires - {YEAR}) > 30000 AS member_expired, {COMMITS_NOW} - (expires - {YEAR}) >= 300000 AS metadata_stale FROM commits""")
 def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
