@@ -70,3 +70,23 @@ def test_tree_is_exact_and_prunes(d, spread):
     every[ids[None, :] == ids[:60, None]] = np.iinfo(np.int64).min
     order = np.lexsort((np.broadcast_to(ids, every.shape), ~every), axis=1)[:, :5]
     assert (ids[order] == best).all() and (np.take_along_axis(every, order, 1) == scores).all()
+
+
+def test_shards_are_those_of_the_definition(spark):
+    import hashlib
+    import math
+    import zlib
+
+    rows = [(i, f"text {i % 7}") for i in range(400)] + [(None, None), (None, "x"), (5, "text 5"), (5, "other")]
+    got = shard.assign(spark.createDataFrame(rows, "doc_id long, text string"))
+
+    def place(key, n):
+        def score(i):
+            digest = hashlib.md5(f"{'null' if key is None else key}:{i}".encode()).hexdigest()
+            return -1 / math.log((int(digest[:13], 16) + 0.5) / 2**52), -i
+
+        return -max(score(i) for i in range(n))[1]
+
+    want = sorted((str(k), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), place(k, 16), place(k, 17)) for k, t in rows)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32, r.shard, r.grown_shard) for r in got.collect()) == want
+    assert sorted((r.shard, r.slot) for r in got.collect()) == sorted((s, i) for s in range(16) for i in range(sum(w[3] == s for w in want)))
