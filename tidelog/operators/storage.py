@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidelog.operators.topics import numbered
+
+#: Offsets of a log that are numbered in one go.
+STRETCH = 1 << 20
+
 
 def compact(log: DataFrame, preserve_offsets: bool = False) -> DataFrame:
     """The latest record of each key; null keys are one key. Survivors stand in the order of their key's first record.
 
     New offsets are dense unless the old ones are kept. A partition without any key is left alone.
     """
-    keyed = F.max(F.col("key").isNotNull()).over(W.partitionBy("partition"))
+    keyed = log.where(F.col("key").isNotNull()).select("partition").distinct()
     latest = log.groupBy("partition", "key").agg(F.min("offset").alias("first"), F.max_by(F.struct("offset", "value"), "offset").alias("last"))
     if preserve_offsets:
         kept = latest.select("partition", "key", F.col("last.offset").alias("offset"), F.col("last.value").alias("value"))
     else:
-        number = (F.row_number().over(W.partitionBy("partition").orderBy("first")) - 1).cast("long")
-        kept = latest.select("partition", "key", number.alias("offset"), F.col("last.value").alias("value"))
-    bare = log.withColumn("_keyed", keyed).where(~F.col("_keyed")).select("partition", "key", "offset", "value")
-    return kept.join(bare.select("partition").distinct(), "partition", "left_anti").select("partition", "key", "offset", "value").union(bare)
+        rows = latest.select("partition", "key", "first", F.col("last.value").alias("value"))
+        kept = numbered(rows, ["first"], stretch=F.floor(F.col("first") / STRETCH)).select("partition", "key", "offset", "value")
+    bare = log.join(keyed, "partition", "left_anti").select("partition", "key", "offset", "value")
+    return kept.join(keyed, "partition", "left_semi").select("partition", "key", "offset", "value").union(bare)
 
 
 def compaction_gate(log: DataFrame, least: float = 0.5) -> DataFrame:

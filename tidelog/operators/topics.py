@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.routing import md5_mod
 
-PARTITIONS = 8
+PARTITIONS, DAY = 8, 86_400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,22 +22,26 @@ def millis(column: str, frame: DataFrame) -> Column:
     return F.unix_millis(column)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "offset", by: tuple[str, ...] = ("partition",)) -> DataFrame:
-    """Dense numbers from 0 in each partition."""
-    return rows.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+def numbered(rows: DataFrame, order: list[str], name: str = "offset", by: tuple[str, ...] = ("partition",), stretch: Column | None = None) -> DataFrame:
+    """Dense numbers from 0 for each combination of `by`.
 
+    With a `stretch`, a column that rises with the order (a day, say), no task sees all rows of a
+    partition: stretches are numbered inside, and their sizes, one row each, are summed up to say
+    where each begins.
+    """
+    if stretch is None:
+        return rows.withColumn(name, (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+    rows = rows.withColumn("_stretch", stretch)
+    keys = [*by, "_stretch"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    begins = sizes.select(*keys, (F.sum("_n").over(W.partitionBy(*by).orderBy("_stretch")) - F.col("_n")).alias("_begin"))
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    return rows.withColumn("_inside", inside).join(begins, keys).withColumn(name, (F.col("_begin") + F.col("_inside")).cast("long")).drop("_stretch", "_inside", "_begin")
 
-def globally_numbered(rows: DataFrame, coarse: Column, order: list[str], name: str, spread: DataFrame | None = None) -> DataFrame:
-    """Dense numbers from 0 over all rows, without a task that sees them all.
 
-    `coarse` rises with the order and cuts it into stretches (a day, say). Stretches are numbered
-    inside; their sizes, one row each, are summed up to say where each begins.
-    """
-    rows = rows.withColumn("_stretch", coarse)
-    sizes = rows.groupBy("_stretch").agg(F.count("*").alias("_n"))
-    begins = sizes.select("_stretch", (F.sum("_n").over(W.orderBy("_stretch")) - F.col("_n")).alias("_begin"))
-    inside = F.row_number().over(W.partitionBy("_stretch").orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(begins, "_stretch").withColumn(name, (F.col("_begin") + F.col("_inside")).cast("long")).drop("_stretch", "_inside", "_begin")
+def globally_numbered(rows: DataFrame, stretch: Column, order: list[str], name: str) -> DataFrame:
+    """Dense numbers from 0 over all rows, in stretches."""
+    return numbered(rows, order, name, (), stretch)
 
 
 def events_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def events_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("txn-"), F.col("user_id").cast("string")).alias("transaction_id"),
         F.when(F.col("event_type") == "error", "ABORT").when(F.col("event_type") == "signup", "COMMIT").alias("marker"),
     )
-    return numbered(rows, ["ts", "event_id"])
+    return numbered(rows, ["ts", "event_id"], stretch=F.floor(F.col("timestamp") / DAY))
 
 
 def read(topic: DataFrame, start: int, most: int = 100) -> DataFrame:
@@ -81,4 +85,4 @@ def changelog_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.select(
         md5_mod(F.col("o_custkey").cast("string"), PARTITIONS).alias("partition"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"), "o_orderdate", "o_orderkey"
     )
-    return numbered(rows, ["o_orderdate", "o_orderkey"])
+    return numbered(rows, ["o_orderdate", "o_orderkey"], stretch=F.date_trunc("month", "o_orderdate"))

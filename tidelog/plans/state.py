@@ -89,7 +89,7 @@ def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("group_id"), (F.col("o_custkey") % 8).cast("int").alias("topic_partition"),
         F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("committed"), (topics.millis("o_orderdate", o) + YEAR).alias("expires"), "o_orderdate", "o_orderkey",
     )
-    return topics.numbered(rows, ["o_orderdate", "o_orderkey"], "seq", ("group_id", "topic_partition"))
+    return topics.numbered(rows, ["o_orderdate", "o_orderkey"], "seq", ("group_id", "topic_partition"), F.date_trunc("month", "o_orderdate"))
 
 
 _LAST = f"WITH {COMMITS}, last AS (SELECT group_id, topic_partition, arg_max(struct_pack(c := committed, e := expires), seq) AS l FROM commits {{where}} GROUP BY 1, 2)"
