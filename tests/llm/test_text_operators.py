@@ -169,3 +169,23 @@ def test_bloom_filters_count_more_than_64_languages():
     assert len(filters.tables) == 2
     at = langid._positions(found["l066"][0])
     assert ((filters.tables[1][at[0]] & filters.tables[1][at[1]] & filters.tables[1][at[2]]) >> np.uint64(2) & np.uint64(1)).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    from tidelog.llm.components import components
+
+    rng = random.Random(seed)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(200, x) for x in range(201, 230)] + [(7, 7), (1000, 300), (300, 1000)]
+    to: dict[int, int] = {}
+
+    def root(x):
+        while to.setdefault(x, x) != x:
+            x = to[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        to[max(x, y)] = min(x, y)
+    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: root(v) for v in to if root(v) != v}
