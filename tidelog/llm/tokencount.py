@@ -37,7 +37,7 @@ _ODD = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class Table:
-    """Open addressing over the frequent pre-tokens: their bytes end to end, and where each starts."""
+    """What is broadcast: the frequent pre-tokens' bytes end to end, where each starts, and its length in tokens; a worker hashes it once."""
 
     def __init__(self, words: list[str], lengths: list[int]) -> None:
         raw = [w.encode() for w in words]
