@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.tables import settle
 
 
+#: Rows of a partition of what is written between steps.
+ROWS = 200_000
+
+
+def _written(frame: DataFrame) -> DataFrame:
+    """The rows, written, in partitions of about ROWS: few edges need few tasks, whatever the shuffles use."""
+    out = settle(frame)
+    return out.coalesce(max(1, ceil(out.count() / ROWS)))
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a vertex is linked to the least of the vertex and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -36,9 +48,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     `edges` has columns a and b of one ordered type; loops and repeated edges do no harm.
     """
-    now = settle(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = _written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(most):
         if _stars(now):
             return now
-        now = settle(_small(settle(_large(now))).where(F.col("a") != F.col("b")).distinct())
+        now = _written(_small(_written(_large(now))).where(F.col("a") != F.col("b")).distinct())
     raise RuntimeError(f"components have not settled after {most} rounds")
