@@ -29,6 +29,39 @@ def test_less_than_one_block_from_the_target(spark):
         assert all(abs(had[s] - shares[s] / total * (t + 1)) < 1 for s in sizes)
 
 
+def furthest(blocks, targets):
+    """How far any source is from its target weight, in blocks, after any slot until the first source ends."""
+    plan = mixing.schedule(blocks, targets)
+    assert sorted(t for at in plan.values() for t in at) == list(range(sum(blocks.values())))
+    until, total = min(at[-1] for at in plan.values()) + 1, sum(targets.values())
+    t = np.arange(1, until + 1)
+    return max(np.abs(np.searchsorted(np.array(plan[s]), t) - w / total * t).max() for s, w in targets.items())
+
+
+def test_less_than_one_block_from_the_given_targets():
+    assert furthest({str(i): 2500 for i in range(20)}, {str(i): 1 for i in range(20)}) < 1 - 1e-9
+    assert furthest({"large": 30_000, "small": 25}, {"large": 0.99919, "small": 0.00081}) < 1 - 1e-9
+    assert furthest({str(i): 900 + i for i in range(7)}, {str(i): (i + 2) ** 0.5 for i in range(7)}) < 1
+
+
+def test_less_than_one_block_from_the_flow_over_the_whole_mix():
+    blocks, targets = {"a": 40, "b": 7, "c": 1, "d": 23, "e": 5, "f": 9}, {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.1, "e": 0.1}
+    plan = mixing.schedule(blocks, targets)
+    weighted = sum(n for s, n in blocks.items() if s in targets)
+    had, even = dict.fromkeys(blocks, 0.0), dict.fromkeys(blocks, 0.0)
+    for t in range(weighted):
+        room = 1.0
+        while room > 1e-12:
+            live = {s: w for s, w in targets.items() if even[s] < blocks[s] - 1e-9}
+            part = min([room, *((blocks[s] - even[s]) * sum(live.values()) / w for s, w in live.items())])
+            for s, w in live.items():
+                even[s] += part * w / sum(live.values())
+            room -= part
+        had = {s: sum(x <= t for x in at) for s, at in plan.items()}
+        assert all(abs(had[s] - even[s]) < 1 for s in targets) and not had["f"]
+    assert list(plan["f"]) == list(range(weighted, weighted + 9))
+
+
 def test_sources_without_weight_follow(spark):
     docs = spark.createDataFrame([(i, s) for s in ("a", None) for i in range(50)], "doc_id long, source string")
     rows = mixing.mix(docs, {"a": 1}, block=5).collect()

@@ -1,19 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source are numbered and cut into blocks. With target weight w (a share of the slots),
-a source's block k may be released from slot floor(k / w) on and is due by slot ceil((k + 1) / w);
-in each slot the earliest deadline among the released blocks goes (EDF). The weights of a phase add
-up to 1, so EDF meets every deadline and at any slot t each source has had w * t blocks, give or
-take less than one.
-
-Weights are whole numbers over a common total Q (PERIOD at most), so the schedule repeats every Q
-slots: one period is scheduled, in SQL, and each block of the corpus finds its slot in it by
-arithmetic. Where a source runs out of blocks a phase ends and the others go on with their weights
-scaled up to 1; there are at most as many phases as sources, and the plan has one row a phase,
-source and slot of the period, whatever the size of the corpus. No row is dropped or repeated.
+The rows of a source are numbered and cut into blocks. In the even flow that the schedule follows,
+the sources that still have blocks share each slot in the ratio of their target weights; where one
+is used up the others' weights are scaled up to 1 (a phase ends). A block may be released from the
+slot in which the flow begins it and is due by the end of the slot in which the flow ends it: in the
+first phase, with target weight w, block k from slot floor(k / w) on and by slot ceil((k + 1) / w).
+In each slot the earliest deadline among the released blocks goes (EDF). The flow fills every slot,
+so EDF meets every deadline, and after any slot of the whole mix each source has had as many blocks
+as the flow gave it, give or take less than one.
+
+Weights are exact: a float is the decimal that it prints as, and all arithmetic is on whole numbers.
+The schedule is a fold over the slots by definition; the driver makes it from the sizes alone, with
+8 bytes a block, and each row finds its block's slot by a join on its source and a stretch of
+blocks. No row is dropped or repeated.
 
 Numbering inside a source is done in BUCKETS parts by a hash of the row, so no task holds a whole
-source. Only DataFrame and SQL functions are used.
+source. Rows are worked on by DataFrame and SQL functions only.
 
 Defined results: a null source is a source of its own, named `unknown`; sources without a target
 weight get weight 0 and follow when the weighted ones are used up, in equal shares; rows alike in
@@ -22,89 +24,99 @@ every key column get neighbouring places in any order; an empty table gives no r
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+from collections import defaultdict
+from fractions import Fraction
 from functools import reduce
-from math import gcd
+from heapq import heappop, heappush
+from itertools import accumulate
+from math import gcd, lcm
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.llm.tables import table
 
-#: Slots of a period, rows of a block, parts of a source, and sources at most.
-PERIOD, BLOCK, BUCKETS, SOURCES = 1024, 16, 256, 256
+#: Rows of a block, parts of a source, sources at most; blocks in a row of the schedule, and in one that is broadcast.
+BLOCK, BUCKETS, SOURCES, STRETCH, SHARED = 16, 256, 256, 64, 1 << 20
 UNKNOWN = "unknown"
 
 
-def whole(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole-number shares of at most `period` slots (at least 1 for each), largest remainders first."""
+def whole(weights: dict[str, float], period: int = 0) -> dict[str, int]:
+    """Whole numbers in the very ratio of the weights; with a `period`, shares of at most so many slots (at least 1 for each), largest remainders first."""
     weights = {s: w for s, w in weights.items() if w > 0}
     if not weights:
         return {}
-    period = max(period, len(weights))
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: spare * w / total for s, w in weights.items()}
-    share = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(share.values())]:
-        share[s] += 1
+    if period:
+        period = max(period, len(weights))
+        total, spare = sum(weights.values()), period - len(weights)
+        exact = {s: spare * w / total for s, w in weights.items()}
+        share = {s: 1 + int(x) for s, x in exact.items()}
+        for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(share.values())]:
+            share[s] += 1
+    else:
+        ratio = {s: Fraction(str(w)) for s, w in weights.items()}
+        unit = lcm(*(x.denominator for x in ratio.values()))
+        share = {s: int(x * unit) for s, x in ratio.items()}
     by = reduce(gcd, share.values())
     return {s: n // by for s, n in share.items()}
 
 
-def _edf(shares: Column, total: Column) -> Column:
-    """Which source (its place in `shares`) has each slot of a period, by earliest deadline.
+def _edf(blocks: dict[str, int], shares: dict[str, int], begin: int) -> dict[str, array]:
+    """The slot, from `begin` on, of each block of each source, by earliest deadline.
 
-    With `done` blocks of a source behind it, its next is released at floor(done * Q / share) and due
-    at ceil((done + 1) * Q / share).
+    The flow has given a source share * v blocks at its time v, until they are used up. Sources are
+    in the order of their ends; while the first p are used up, the flow is in slot gone[p] + left[p] * v.
     """
-
-    def step(state: Column, slot: Column) -> Column:
-        ready = F.transform(
-            shares,
-            lambda share, i: F.when(
-                F.floor(state["done"][i] * total / share) <= slot,
-                F.struct(F.ceil((state["done"][i] + 1) * total / share).alias("due"), i.alias("at")),
-            ),
-        )
-        pick = F.array_min(F.filter(ready, lambda x: x.isNotNull()))["at"]
-        return F.struct(
-            F.transform(state["done"], lambda n, i: n + (i == pick).cast("int")).alias("done"),
-            F.concat(state["slots"], F.array(F.struct(pick.alias("at"), F.element_at(state["done"], pick + 1).alias("nth")))).alias("slots"),
-        )
-
-    start = F.struct(F.transform(shares, lambda _: F.lit(0)).alias("done"), F.expr("cast(array() as array<struct<at:int,nth:int>>)").alias("slots"))
-    return F.aggregate(F.sequence(F.lit(0), (total - 1).cast("int")), start, step)["slots"]
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """When each phase begins, which blocks of each source it holds, and the shares then."""
-    left, done, begin, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while any(left.values()):
-        active = {s: weights.get(s, 0) for s, n in left.items() if n > 0}
-        if not any(w > 0 for w in active.values()):
-            active = dict.fromkeys(active, 1.0)
-        shares = whole(active)
-        total = sum(shares.values())
-        # The phase ends in the period in which a source would run dry; it then takes what is left.
-        periods = min(left[s] // n for s, n in shares.items())
-        if periods:
-            taken = {s: n * periods for s, n in shares.items()}
-        else:
-            taken = {s: min(left[s], n) for s, n in shares.items()}
-            periods = 1
-        out.append({"begin": begin, "shares": shares, "total": total, "first": {s: done[s] for s in taken}, "taken": taken})
-        begin += periods * total
-        for s, n in taken.items():
-            left[s] -= n
-            done[s] += n
-    return out
+    names = sorted(shares, key=lambda s: (Fraction(blocks[s], shares[s]), s))
+    n, w = [blocks[s] for s in names], [shares[s] for s in names]
+    gone, left = [0, *accumulate(n)], [sum(w) - x for x in (0, *accumulate(w))]
+    ends = [a / b for a, b in zip(n, w, strict=True)]
+
+    def edge(i: int, k: int) -> tuple[int, int]:
+        """Floor and ceiling of the place in slots at which the flow has given source i its first k blocks."""
+        p = min(bisect_left(ends, k / w[i]), i)
+        while k * w[p] > n[p] * w[i]:
+            p += 1
+        while p and k * w[p - 1] < n[p - 1] * w[i]:
+            p -= 1
+        whole_, over = divmod(left[p] * k, w[i])
+        return gone[p] + whole_, gone[p] + whole_ + (over > 0)
+
+    slots = [array("q") for _ in names]
+    released: dict[int, list[int]] = defaultdict(list)
+    released[0] = list(range(len(names)))
+    after = [edge(i, 1) for i in range(len(names))]  # where the flow ends the next block of each
+    ready: list[tuple[int, int]] = []
+    for t in range(gone[-1]):
+        for i in released.pop(t, ()):
+            heappush(ready, (after[i][1], i))
+        _, i = heappop(ready)
+        slots[i].append(begin + t)
+        if (k := len(slots[i])) < n[i]:
+            released[max(after[i][0], t + 1)].append(i)
+            after[i] = edge(i, k + 1)
+    return dict(zip(names, slots, strict=True))
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
+    """The slot of each block of each source; the sources without weight come after the others."""
+    blocks = {s: n for s, n in blocks.items() if n > 0}
+    shares = whole({s: weights.get(s, 0) for s in blocks})
+    first = _edf({s: blocks[s] for s in shares}, shares, 0)
+    rest = {s: n for s, n in blocks.items() if s not in shares}
+    return first | _edf(rest, dict.fromkeys(rest, 1), sum(blocks[s] for s in shares))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source: str = "source", key: str = "doc_id") -> DataFrame:
     """All columns of `docs` and `mix_block`, `mix_slot` and `mix_row`: a row's block in its source, the block's slot and the row's place in it.
 
-    Slots rise over the whole mix; where a source ended inside a period they have gaps. The order of
-    the mix is by slot and then row. Columns of `docs` called like these three are replaced.
+    Slots rise over the whole mix without gaps. The order of the mix is by slot and then row. Columns
+    of `docs` called like these three are replaced.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")]
@@ -116,45 +128,27 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     sizes = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("_n")).limit(SOURCES + 1).collect()}
     if len(sizes) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, weights)
+    plan = schedule({s: -(-n // block) for s, n in sizes.items()}, weights)
     inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", *([F.col("_row")[key]] if key in kept else []))) - 1
     placed = rows.join(F.broadcast(begins), ["_source", "_part"]).withColumn("_at", F.col("_begin") + inside)  # BUCKETS rows a source
-    placed = placed.withColumns({"mix_block": F.floor(F.col("_at") / block), "mix_row": (F.col("_at") % block).cast("int")})
-    # The plan as SQL literals, a row for each phase and source; one period of each phase is scheduled.
-    table_ = _plan(spark, plan)
-    slots = table_.select("phase", "begin", "total", F.posexplode("slots").alias("slot", "x"), "sources", "shares", "first", "taken")
-    slots = slots.select(
-        "begin", "total", "slot",
-        F.col("sources")[F.col("x.at")].alias("_source"),
-        F.col("shares")[F.col("x.at")].cast("long").alias("share"),
-        F.col("first")[F.col("x.at")].alias("first"),
-        F.col("taken")[F.col("x.at")].alias("taken"),
-        F.col("x.nth").alias("nth"),
-    ).where("nth < taken")
-    # A block belongs to the phase that holds it; its place in the period follows from its number there.
-    spans = table_.select(F.explode(F.arrays_zip("sources", "first", "taken", "shares")).alias("y"), "phase").select(
-        F.col("y.sources").alias("_source"), F.col("y.first").alias("first"), F.col("y.taken").alias("taken"), F.col("y.shares").cast("long").alias("share"), "phase"
-    )
-    by_source = spans.groupBy("_source").agg(F.array_sort(F.collect_list(F.struct("first", "taken", "share"))).alias("_spans"))
-    mine = F.filter("_spans", lambda s: (s["first"] <= F.col("mix_block")) & (F.col("mix_block") < s["first"] + s["taken"]))[0]
-    found = placed.join(F.broadcast(by_source), "_source").withColumn("_span", mine)
-    found = found.withColumns({"_first": F.col("_span.first"), "_nth": ((F.col("mix_block") - F.col("_span.first")) % F.col("_span.share")).cast("int"), "_round": F.floor((F.col("mix_block") - F.col("_span.first")) / F.col("_span.share"))})
-    looked = slots.select("_source", F.col("first").alias("_first"), F.col("nth").alias("_nth"), "begin", "total", "slot")
-    out = found.join(F.broadcast(looked), ["_source", "_first", "_nth"])  # PERIOD rows a phase
-    return out.select("_row.*", F.col("mix_block").cast("long").alias("mix_block"), (F.col("begin") + F.col("_round") * F.col("total") + F.col("slot")).cast("long").alias("mix_slot"), "mix_row")
-
-
-def _plan(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    of = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
-    rows = [
-        f"struct({i} as phase, {p['begin']}L as begin, {p['total']}L as total, array({', '.join(map(text, p['shares']))}) as sources, "
-        f"{of(p['shares'].values())} as shares, {of(p['first'].values())} as first, {of(p['taken'].values())} as taken)"
-        for i, p in enumerate(plan)
-    ]
-    empty = "filter(array(struct(0 as phase, 0L as begin, 1L as total, array('') as sources, array(1L) as shares, array(0L) as first, array(0L) as taken)), x -> false)"
-    frame = spark.range(1).selectExpr(f"inline({'array(' + ', '.join(rows) + ')' if rows else empty})")
-    return frame.withColumn("slots", _edf(F.col("shares"), F.col("total")))
+    placed = placed.withColumns({"mix_block": F.floor(F.col("_at") / block).cast("long"), "mix_row": (F.col("_at") % block).cast("int")})
+    slots = _plan(spark, plan)
+    if sum(map(len, plan.values())) <= SHARED:
+        slots = F.broadcast(slots)
+    out = placed.withColumn("_stretch", F.floor(F.col("mix_block") / STRETCH).cast("long")).join(slots, ["_source", "_stretch"])
+    return out.select("_row.*", "mix_block", F.col("_slots")[(F.col("mix_block") % STRETCH).cast("int")].alias("mix_slot"), "mix_row")
+
+
+def _plan(spark: SparkSession, plan: dict[str, array]) -> DataFrame:
+    """The schedule, a row for each STRETCH blocks of a source."""
+    sources, stretches, slots = [], [], []
+    for s, at in plan.items():
+        cuts = range(0, len(at), STRETCH)
+        sources += [s] * len(cuts)
+        stretches += range(len(cuts))
+        slots += [np.frombuffer(at[c : c + STRETCH], np.int64) for c in cuts]
+    columns = [pa.array(sources, pa.string()), pa.array(stretches, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
+    return spark.createDataFrame(pa.table(columns, ["_source", "_stretch", "_slots"]), "_source string, _stretch long, _slots array<long>")
 
 
 def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, float]:
