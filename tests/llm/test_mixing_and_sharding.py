@@ -62,6 +62,18 @@ def test_less_than_one_block_from_the_flow_over_the_whole_mix():
     assert list(plan["f"]) == list(range(weighted, weighted + 9))
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_any_number_of_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "SHARED", few)
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), F.least(F.col("id"), F.lit(699)).cast("string")).alias("source"))
+    weights = mixing.tempered(docs)
+    assert len(weights) == 700 and weights["site699"] == 4301**0.5
+    rows = mixing.mix(docs, weights).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(5000)) and len({r.source for r in rows}) == 700
+    assert {r.mix_slot for r in rows} == set(range(699 + 269)) and len({(r.mix_slot, r.mix_row) for r in rows}) == 5000
+
+
 def test_sources_without_weight_follow(spark):
     docs = spark.createDataFrame([(i, s) for s in ("a", None) for i in range(50)], "doc_id long, source string")
     rows = mixing.mix(docs, {"a": 1}, block=5).collect()

@@ -10,8 +10,8 @@ so EDF meets every deadline, and after any slot of the whole mix each source has
 as the flow gave it, give or take less than one.
 
 Weights are exact: a float is the decimal that it prints as, and all arithmetic is on whole numbers.
-The schedule is a fold over the slots by definition; the driver makes it from the sizes alone, with
-8 bytes a block, and each row finds its block's slot by a join on its source and a stretch of
+The schedule is a fold over the slots by definition; the driver makes it from the sizes alone, for
+any number of sources, with a size and a weight for each and 8 bytes a block, and each row finds its block's slot by a join on its source and a stretch of
 blocks. No row is dropped or repeated.
 
 Numbering inside a source is done in BUCKETS parts by a hash of the row, so no task holds a whole
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.tables import table
 
-#: Rows of a block, parts of a source, sources at most; blocks in a row of the schedule, and in one that is broadcast.
-BLOCK, BUCKETS, SOURCES, STRETCH, SHARED = 16, 256, 256, 64, 1 << 20
+#: Rows of a block, parts of a source; blocks in a row of the schedule; blocks, and sources, up to which small tables are broadcast.
+BLOCK, BUCKETS, STRETCH, SHARED, FEW = 16, 256, 64, 1 << 20, 256
 UNKNOWN = "unknown"
 
 
@@ -74,7 +74,8 @@ def _edf(blocks: dict[str, int], shares: dict[str, int], begin: int) -> dict[str
     """
     names = sorted(shares, key=lambda s: (Fraction(blocks[s], shares[s]), s))
     n, w = [blocks[s] for s in names], [shares[s] for s in names]
-    gone, left = [0, *accumulate(n)], [sum(w) - x for x in (0, *accumulate(w))]
+    total = sum(w)
+    gone, left = [0, *accumulate(n)], [total - x for x in (0, *accumulate(w))]
     ends = [a / b for a, b in zip(n, w, strict=True)]
 
     def edge(i: int, k: int) -> tuple[int, int]:
@@ -125,12 +126,12 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     rows = rows.withColumn("_part", F.pmod("_hash", F.lit(BUCKETS)))
     parts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     begins = parts.withColumn("_begin", F.sum("_n").over(W.partitionBy("_source").orderBy("_part")) - F.col("_n")).drop("_n")
-    sizes = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("_n")).limit(SOURCES + 1).collect()}
-    if len(sizes) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    sizes = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("_n")).collect()}
+    if len(sizes) <= FEW:
+        begins = F.broadcast(begins)  # BUCKETS rows a source
     plan = schedule({s: -(-n // block) for s, n in sizes.items()}, weights)
     inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", *([F.col("_row")[key]] if key in kept else []))) - 1
-    placed = rows.join(F.broadcast(begins), ["_source", "_part"]).withColumn("_at", F.col("_begin") + inside)  # BUCKETS rows a source
+    placed = rows.join(begins, ["_source", "_part"]).withColumn("_at", F.col("_begin") + inside)
     placed = placed.withColumns({"mix_block": F.floor(F.col("_at") / block).cast("long"), "mix_row": (F.col("_at") % block).cast("int")})
     slots = _plan(spark, plan)
     if sum(map(len, plan.values())) <= SHARED:
@@ -153,7 +154,7 @@ def _plan(spark: SparkSession, plan: dict[str, array]) -> DataFrame:
 
 def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, float]:
     """Target weights by the rows of each source to a power: small sources get more than their share."""
-    sizes = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("s")).count().limit(SOURCES + 1).collect()
+    sizes = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("s")).count().collect()
     return {r[0]: float(r[1]) ** power for r in sizes}
 
 
