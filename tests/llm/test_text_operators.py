@@ -107,6 +107,25 @@ def test_terms_that_disclose(spark):
     assert all(clean[i] == text[i] for i in range(200))
 
 
+def test_terms_that_disclose_from_afar(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, some(40)) for i in range(200)]
+    # The name opens the text and the address closes it; one text has the name only, one the name inside an address only.
+    rows += [(1000 + i, f"Ödön Zanzibar {some(25)} é q.z@mail.example") for i in range(20)]
+    rows += [(1100, f"{some(20)} Zanzibar {some(5)}"), (1101, f"{some(20)} zanzibar@other.example")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, text = {r.doc_id: r.spans for r in pii.find(docs).collect()}, dict(rows)
+    terms = {i: {text[i][int(a) : int(b)] for kind, a, b in (s.split(":") for s in spans[i].split(",") if s) if kind == "term"} for i in spans}
+    assert all(terms[1000 + i] == {"Ödön", "Zanzibar"} for i in range(20)) and terms[1100] == {"Zanzibar"} and not terms[1101]
+    assert all(spans[i] == "" for i in range(200))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all(clean[1000 + i].startswith(" [TERM] ") and clean[1000 + i].endswith(" é [EMAIL]") for i in range(20))
+    assert clean[1100] == text[1100].replace("Zanzibar", "[TERM]") and clean[1101].endswith(" [EMAIL]")
+    assert all(clean[i] == text[i] for i in range(200)) and len(clean) == len(rows)
+
+
 def brute(rows, width, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

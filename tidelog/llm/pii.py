@@ -1,15 +1,18 @@
 """Personal data: base patterns, and terms that disclose what the patterns protect.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a
-protected entity c. After C-sanitisation (Sanchez and Batet, 2016), a term t that stands near
-mentions of c discloses it where PMI(c; t) >= ALPHA * IC(c), with IC(c) = -log2 p(c),
-PMI = log2(p(c, t) / (p(c) p(t))), and probabilities that are shares of all documents of the
-corpus. A pair also needs SUPPORT different contexts, so that copies of one passage prove nothing.
-Disclosing terms become spans of kind `term` where they stand near c; the sanitised text has a
-class name in place of a span, or nothing for a term that gives c away for certain.
-
-The co-occurrence counts are shuffled by (entity, term) and pre-summed; a term's document frequency
-is counted for terms that pass a Bloom filter of the candidates, whose size is fixed (FILTER bits).
+protected entity c. After C-sanitisation (Sanchez and Batet, 2016), a term t discloses c where
+PMI(c; t) >= ALPHA * IC(c), with IC(c) = -log2 p(c), PMI = log2(p(c, t) / (p(c) p(t))), and
+probabilities that are shares of all documents of the corpus: c and t meet in a document if both
+stand anywhere in it, t outside base spans. A pair also needs SUPPORT different contexts of c (the
+NEAR terms on each side of its first mention in a document), so that copies of one passage prove
+nothing. Disclosing terms become spans of kind `term` wherever they stand, in documents without c
+too; the sanitised text has a class name in place of a span, or nothing for a term that stands in no
+document without the entities that it gives away.
+
+Only entities with SUPPORT contexts can have a term, so only theirs are paired. Pairs are distinct in
+a document, pre-summed and shuffled by (entity, term); document frequencies and places are looked
+for among terms that pass a Bloom filter of the candidates, whose size is fixed (FILTER bits).
 
 Defined results: a null or empty text has no spans; repeated rows each get a row (and each count as
 a document); rows with a null id are kept apart by their text; terms are runs of at least SHORTEST
@@ -26,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tidelog.llm import textbuf
 from tidelog.llm.tables import settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information at which a term discloses it, contexts needed, terms on each side of a mention, bytes of a term, bits of the filter.
+#: Share of an entity's information at which a term discloses it, contexts needed, terms of a context on each side of a mention, bytes of a term, bits of the filter.
 ALPHA, SUPPORT, NEAR, SHORTEST, FILTER = 0.95, 3, 6, 3, 1 << 22
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -103,30 +107,38 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return a, b, row, textbuf.hashes(textbuf.lowered(data), a, b).view(np.int64)
 
 
-def mentions(text: str, spans: list[Span]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, context, term, start, end) for the terms near each span that lie in no span; places in code points."""
+def _points(data: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in the bytes of a text as code points."""
+    point = np.flatnonzero((data & 0xC0) != 0x80)
+    return places if len(point) == len(data) else tuple(np.searchsorted(point, x) for x in places)
+
+
+def _inside(a: np.ndarray, b: np.ndarray, spans: list[Span]) -> np.ndarray:
+    """Which of the terms from a to b overlap a span."""
+    out = np.zeros(len(a), bool)
+    for s, _, e in spans:
+        out[np.searchsorted(b, s, "right") : np.searchsorted(a, e)] = True
+    return out
+
+
+def mentions(text: str, spans: list[Span]) -> tuple[list[tuple[int, int]], list[int]]:
+    """(entity, context) for the first mention of each entity, and the distinct terms that lie in no span."""
     data = np.frombuffer(text.encode(), np.uint8)
     a, b, _, key = _terms(data, np.array([0, len(data)]))
-    if len(data) != len(text):
-        point = np.flatnonzero((data & 0xC0) != 0x80)
-        a, b = np.searchsorted(point, a), np.searchsorted(point, b)
-    inside = np.zeros(len(a), bool)
-    for s, _, e in spans:
-        inside[np.searchsorted(b, s, "right") : np.searchsorted(a, e)] = True
-    a, b, key = a[~inside], b[~inside], key[~inside]
-    out = []
+    a, b = _points(data, a, b)
+    free = ~_inside(a, b, spans)
+    a, key = a[free], key[free]
+    out: dict[int, int] = {}
     for s, k, e in spans:
         i = int(np.searchsorted(a, s))
-        near = slice(max(0, i - NEAR), i + NEAR)
-        terms = key[near].tolist()
         value = text[s:e].lower() if k < 2 else _digits(text[s:e])
-        entity, context = _number(f"{KINDS[k]}:{value}"), _number(",".join(map(str, terms)))
-        out += [(entity, context, t, x, y) for t, x, y in zip(terms, a[near].tolist(), b[near].tolist(), strict=True)]
-    return out
+        context = ",".join(map(str, key[max(0, i - NEAR) : i + NEAR].tolist()))
+        out.setdefault(_number(f"{KINDS[k]}:{value}"), _number(context))
+    return list(out.items()), np.unique(key).tolist()
 
 
-_SCAN = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:long,context:long,term:long,start:int,stop:int>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+_SCAN = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity:long,context:long>>, terms array<long>"
+_MENTIONS = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +148,24 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text in col.slice(a, b - a).to_pylist():
                 spans = base_spans(text)
-                near = mentions(text, spans) if spans else None
+                found, terms = mentions(text, spans) if spans else ([], [])
                 count = [0, 0, 0, 0]
                 for _, k, _ in spans:
                     count[k] += 1
-                rows.append((*count, written(spans), near and [dict(zip(("entity", "context", "term", "start", "stop"), x, strict=True)) for x in near]))
+                rows.append((*count, written(spans), [{"entity": c, "context": x} for c, x in found], terms))
             part = batch.slice(a, b - a)
             counts = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *counts, pa.array([r[4] for r in rows], pa.string()), pa.array([r[5] for r in rows], _NEAR)], ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "near"])
+            lists = [pa.array([r[5] for r in rows], _MENTIONS), pa.array([r[6] for r in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *counts, pa.array([r[4] for r in rows], pa.string()), *lists], ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "mentions", "terms"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of each row and the terms near them."""
-    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
-    return keyed.mapInArrow(_scanned, _SCAN)
+    """Base spans of each row, and where it has some, the entities and the other terms."""
+    return _keyed(docs).mapInArrow(_scanned, _SCAN)
 
 
 def _candidate_filter(pairs: DataFrame) -> np.ndarray:
@@ -162,18 +178,34 @@ def _candidate_filter(pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = np.mod(key, FILTER)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def _passing(col: pa.Array, a: int, b: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (code points), rows and hashes of the terms of a slice that pass the filter and lie in no base span."""
+    data, off = textbuf.view(col, a, b)
+    start, end, row, key = (x.copy() for x in _terms(data, off))
+    ok = _passes(key, bits)
+    start, end, row, key = start[ok], end[ok], row[ok], key[ok]
+    ok = np.ones(len(key), bool)
+    for i in np.unique(row).tolist():
+        lo, hi = np.searchsorted(row, (i, i + 1))
+        start[lo:hi], end[lo:hi] = _points(data[off[i] : off[i + 1]], start[lo:hi] - off[i], end[lo:hi] - off[i])
+        ok[lo:hi] = ~_inside(start[lo:hi], end[lo:hi], base_spans(col[a + i].as_py()))
+    return start[ok], end[ok], row[ok], key[ok]
+
+
 def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Documents in which each term that passes the filter stands, over all documents."""
+    """Documents in which each term that passes the filter stands outside base spans, over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = textbuf.texts(batch)
             for a, b in textbuf.slices(col):
-                _, _, row, key = _terms(*textbuf.view(col, a, b))
-                at = np.mod(key, FILTER)
-                ok = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-                row, key = row[ok], key[ok]
+                _, _, row, key = _passing(col, a, b, shared.value)
                 order = np.lexsort((row, key))
                 row, key = row[order], key[order]
                 new = np.ones(len(key), bool)
@@ -186,36 +218,50 @@ def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
 def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(entity, term, certain): the pairs whose PMI reaches ALPHA of the entity's information."""
-    near = scanned.where(F.size("near") > 0)
-    per_doc = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
-    entities = per_doc.groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    some = scanned.where(F.size("mentions") > 0)
+    each = some.select(F.explode("mentions").alias("x"), "terms").select("x.entity", "x.context", "terms")
+    seen = each.groupBy("entity", "context").agg(F.count("*").alias("n"))
+    entities = settle(seen.groupBy("entity").agg(F.sum("n").alias("entity_docs"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts"))
     # One row a document, entity and term; contexts are counted apart before documents are.
-    each = near.select(F.explode(F.map_values(F.map_from_entries(_first_of_each("near")))).alias("x")).select("x.*")
-    contexts = each.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = settle(contexts.groupBy("entity", "term").agg(F.sum("n").alias("pair_docs"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT))
+    met = each.join(entities.select("entity"), "entity").select("entity", "context", F.explode("terms").alias("term"))
+    contexts = met.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+    pairs = contexts.groupBy("entity", "term").agg(F.sum("n").alias("pair_docs"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts")
     total = docs.count()
-    terms = _frequencies(docs, _candidate_filter(pairs))
     share = F.log2(F.col("entity_docs") / total)
-    pmi = F.log2(F.col("pair_docs") * float(max(total, 1)) / (F.col("entity_docs") * F.col("term_docs")))
-    scored = pairs.join(entities, "entity").join(terms, "term")
-    return scored.where((share < 0) & (pmi >= -ALPHA * share)).select("entity", "term", (F.col("pair_docs") >= F.col("term_docs")).alias("certain"))
 
+    def reached(term_docs: str) -> Column:
+        pmi = F.log2(F.col("pair_docs") * float(max(total, 1)) / (F.col("entity_docs") * F.col(term_docs)))
+        return (share < 0) & (pmi >= -ALPHA * share)
 
-def _first_of_each(near: str) -> Column:
-    """Entries ((entity, term), first mention), one for each pair of a document."""
-    key = lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))
-    keys = F.array_distinct(F.transform(near, key))
-    firsts = F.transform(keys, lambda k: F.filter(near, lambda x: (x["entity"] == k["entity"]) & (x["term"] == k["term"]))[0])
-    return F.transform(firsts, lambda x: F.struct(key(x), F.struct(x["entity"].alias("entity"), x["term"].alias("term"), x["context"].alias("context"))))
+    # Documents with some entity are a part of a term's documents, so pairs that fail with these alone fail with all.
+    least = some.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    pairs = settle(pairs.join(entities, "entity").join(least, "term").where(reached("least")).drop("least"))
+    scored = pairs.join(_frequencies(docs, _candidate_filter(pairs)), "term")
+    return settle(scored.where(reached("term_docs")).select("entity", "term", (F.col("pair_docs") >= F.col("term_docs")).alias("certain")))
 
 
-def term_spans(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text_key, terms): the spans that the method adds to a document."""
-    each = scanned.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", "x.term", "x.start", "x.stop")
-    found = each.join(pairs, ["entity", "term"])
+def term_spans(docs: DataFrame, terms: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, terms): the spans that the method adds to a document; `terms` has term and certain, `bits` is their filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = textbuf.texts(batch)
+            for a, b in textbuf.slices(col):
+                start, end, row, key = _passing(col, a, b, shared.value)
+                part, at = batch.slice(a, b - a), pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "text_key", "term", "start", "stop"])
+
+    found = _keyed(docs).mapInArrow(places, "doc_id long, text_key long, term long, start int, stop int").join(terms, "term")
     return found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "certain"))).alias("terms"))
 
 
+def _disclosing_terms(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(term, certain) for the terms that disclose any entity, and their filter."""
+    terms = disclosing(docs, scanned).groupBy("term").agg(F.bool_and("certain").alias("certain"))
+    return terms, _candidate_filter(terms)
+
+
 def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
     extra = extra.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
     return rows.join(extra, rows["doc_id"].eqNullSafe(extra["_id"]) & (rows["text_key"] == extra["_key"]), "left").drop("_id", "_key")
@@ -224,14 +270,13 @@ def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """Each row's counts, base spans and all spans; `base` and `spans` are kind:start:end by start and kind."""
     scanned = settle(scan(docs))
-    extra = term_spans(scanned, disclosing(docs, scanned))
-    some, none = scanned.where(F.size("near") > 0), scanned.where(F.coalesce(F.size("near"), F.lit(0)) <= 0)
+    extra = term_spans(docs, *_disclosing_terms(docs, scanned))
     kind = lambda x: F.element_at(F.create_map(*(v for i, k in enumerate([*KINDS, "term"]) for v in (F.lit(k), F.lit(i)))), x)
-    old = F.transform(F.split("base", ","), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"), kind(F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), s.alias("s")))
+    old = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"), kind(F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), s.alias("s")))
     new = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,certain:boolean>>")), lambda x: F.struct(x["start"].alias("a"), F.lit(4).alias("k"), F.concat_ws(":", F.lit("term"), x["start"], x["stop"]).alias("s")))
     spans = F.array_join(F.transform(F.array_sort(F.array_distinct(F.concat(old, new))), lambda x: x["s"]), ",")
     shown = ["doc_id", *(f"n_{k}" for k in KINDS), "base"]
-    return _joined(some, extra).select(*shown, spans.alias("spans")).unionByName(none.select(*shown, F.col("base").alias("spans")))
+    return _joined(scanned.select("text_key", *shown), extra).select(*shown, spans.alias("spans"))
 
 
 _PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -249,13 +294,25 @@ def replaced(text: str, terms: list[dict] | None) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """`docs` with `text` sanitised; other columns stay. Texts without a digit or @ are not moved."""
+    """`docs` with `text` sanitised; other columns stay. Texts without a digit, @ or term that passes the filter are not moved."""
     columns = docs.columns
     scanned = settle(scan(docs))
-    extra = term_spans(scanned, disclosing(docs, scanned))
-    has = F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
-    extra = extra.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("terms").alias("_terms"))
-    some = docs.where(has)
+    terms, bits = _disclosing_terms(docs, scanned)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = textbuf.texts(batch)
+            has = np.zeros(len(col), bool)
+            for a, b in textbuf.slices(col):
+                _, _, row, key = _terms(*textbuf.view(col, a, b))
+                has[a + row[_passes(key, shared.value)]] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], [*columns, "_has"])
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField("_has", BooleanType())]))
+    has = F.col("_has") | F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
+    extra = term_spans(docs, terms, bits).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("terms").alias("_terms"))
+    some = marked.where(has).drop("_has")
     some = some.join(extra, some["doc_id"].cast("long").eqNullSafe(extra["_id"]) & (F.xxhash64(some["text"]) == extra["_key"]), "left").drop("_id", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +322,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             texts = pa.array([replaced(t, x) for t, x in zip(batch.column(at).to_pylist(), terms, strict=True)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(names.index(c)) for c in columns], columns)
 
-    return some.mapInArrow(run, docs.schema).unionByName(docs.where(~has))
+    return some.mapInArrow(run, docs.schema).unionByName(marked.where(~has).drop("_has"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
