@@ -192,8 +192,8 @@ def metadata_epoch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CALLS = "calls AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 60)"
 
 
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = topics.table(spark, sf_dir, "events").where("user_id < 60")
+def _calls(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
+    e = topics.table(spark, sf_dir, "events").where(users)
     rows = e.select("user_id", "event_id", topics.millis("ts", e).alias("ms"), (F.col("event_type") != "error").alias("ok"), F.round(F.col("value") * 100).cast("long").alias("bytes"), "ts")
     return topics.numbered(rows, ["ts", "event_id"], "n", ("user_id",)).drop("ts")
 
@@ -208,7 +208,17 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, goes FROM f WHERE n > 0""")
 def throttle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each request may go at 5000 bytes a second; null for one that is too large."""
-    return fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "bytes"], *fold.token_bucket(5000), "goes long").select("event_id", "goes")
+    return _throttled(_calls(spark, sf_dir, "user_id < 60"))
+
+
+@query("throttle_schedule_all")
+def throttle_schedule_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`throttle_schedule` for every user; the recursive SQL is too slow for that and is compared on a small table."""
+    return _throttled(_calls(spark, sf_dir))
+
+
+def _throttled(calls: DataFrame) -> DataFrame:
+    return fold.ordered_fold(calls, ["user_id"], ["n"], ["ms", "bytes"], *fold.token_bucket(5000), "goes long").select("event_id", "goes")
 
 
 @query("circuit_breaker", f"""WITH RECURSIVE {_CALLS}, f AS (
@@ -224,7 +234,17 @@ def throttle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, before, let, name AS after FROM f WHERE n > 0""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opens after two failures for six hours, closes after two successes."""
-    return fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "ok"], *fold.circuit_breaker(2, 21_600_000, 2), "before string, let boolean, after string").select("event_id", "before", "let", "after")
+    return _broken(_calls(spark, sf_dir, "user_id < 60"))
+
+
+@query("circuit_breaker_all")
+def circuit_breaker_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`circuit_breaker` for every user, as `throttle_schedule_all`."""
+    return _broken(_calls(spark, sf_dir))
+
+
+def _broken(calls: DataFrame) -> DataFrame:
+    return fold.ordered_fold(calls, ["user_id"], ["n"], ["ms", "ok"], *fold.circuit_breaker(2, 21_600_000, 2), "before string, let boolean, after string").select("event_id", "before", "let", "after")
 
 
 _COMMANDS = """commands AS (SELECT event_id // 1000 AS term, event_id AS index, CASE WHEN event_type IN ('signup', 'error') THEN 'broker' WHEN event_type = 'view' THEN 'leader' ELSE 'topic' END AS kind,
