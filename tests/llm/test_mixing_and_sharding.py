@@ -104,17 +104,57 @@ def test_slots_have_no_gaps(spark, copies):
     assert all(r.n == r.d == r.b + 1 and r.a == 0 for r in rows) and sum(r.n for r in rows) == 300 + copies
 
 
-@pytest.mark.parametrize("d,spread", [(2, 5), (6, 30), (64, 200)])
-def test_tree_is_exact_and_prunes(d, spread):
+def nearest(x, ids, queries, own, k=5):
+    """Brute force in Python's whole numbers: (score, id) of the best k rows of each query."""
+    out = []
+    for q, i in zip(queries, own, strict=True):
+        scores = [(-sum(int(a) * int(b) for a, b in zip(q, row, strict=True)), int(j)) for row, j in zip(x, ids, strict=True) if j != i]
+        out.append([(-s, j) for s, j in sorted(scores)[:k]])
+    return out
+
+
+@pytest.mark.parametrize("d,spread", [(2, 5), (6, 30), (64, 200), (3, 2**26), (3, 2**31), (2, 2**40)])
+def test_tree_is_exact(d, spread):
     rng = np.random.default_rng(d)
-    x = np.concatenate([rng.integers(-spread, spread, (1, d)) * 5 + rng.integers(-spread, spread, (150, d)) for _ in range(20)])
+    x = np.concatenate([rng.integers(-spread, spread, (1, d)) * 5 + rng.integers(-spread, spread, (75, d)) for _ in range(10)] + [np.full((40, d), spread)]).astype(float)
     ids = rng.permutation(len(x) * 3)[: len(x)]
-    tree = topk.Tree(x, ids)
-    scores, best = tree.search(x[:60], ids[:60], np.full(60, -np.inf), 5)
-    every = x[:60] @ x.T
-    every[ids[None, :] == ids[:60, None]] = np.iinfo(np.int64).min
-    order = np.lexsort((np.broadcast_to(ids, every.shape), ~every), axis=1)[:, :5]
-    assert (ids[order] == best).all() and (np.take_along_axis(every, order, 1) == scores).all()
+    ids[-3:] = ids[-1]  # one id three times
+    own = np.append(ids[:30], ids[-1])
+    queries = np.concatenate([x[:30], x[-1:]])
+    place, scores, best = topk.Tree(x, ids).search(queries, own, np.full(31, -np.inf))
+    got = [[(int(s), int(i)) for s, i in zip(scores[place == r], best[place == r], strict=True)] for r in range(31)]
+    assert got == nearest(x, ids, queries, own)
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e7, 1.0]), (1, [9e6, 0.0]), (2, [1e7, 0.0])]
+    got = topk.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 6553600000000000000), (1, 5898240000000000000)]
+    # Beyond 64 bits the order is that of the exact scores, and the score is the nearest that fits.
+    rows = [(0, [1e9, 1.0]), (1, [2e9, 0.0]), (2, [3e9, 0.0]), (3, [-3e9, 0.0]), (4, [-2e9, 0.0]), (5, [1.0, 0.0])]
+    got = topk.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 2**63 - 1), (1, 2**63 - 1), (5, 256 * 10**9 * 256), (4, -(2**63)), (3, -(2**63))]
+
+
+def test_queries_visit_only_cells_that_may_hold_an_answer(spark, monkeypatch):
+    for name, value in {"SHARD": 64, "SAMPLE": 512, "GROUP": 16, "WAVES": (1, 4)}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    # Clusters of unit length, a very common vector, and rows repeated in full.
+    centres = rng.normal(size=(30, 8))
+    x = np.concatenate([c / np.linalg.norm(c) + rng.normal(size=(60, 8)) * 0.02 for c in centres] + [np.tile(centres[:1], (300, 1))])
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(7, [float(a) for a in x[7]])] * 200
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    seen = []
+    got = topk.search(spark, docs, every=20, seen=seen).collect()
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    own = [i for i in range(len(x)) if i % 20 == 0]
+    want = nearest(whole, np.array([i for i, _ in rows]), whole[own], own)
+    by = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        by.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert [by[i] for i in own] == want
+    assert len(seen) == 3 and sum(n for n, _ in seen) < 0.4 * seen[0][1]
 
 
 def test_shards_are_those_of_the_definition(spark):
