@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +128,70 @@ def test_terms_that_disclose_from_afar(spark):
     assert all(clean[i] == text[i] for i in range(200)) and len(clean) == len(rows)
 
 
+def plain_terms(rows):
+    """The term spans of each (id, text) by the definition: PMI over whole documents."""
+    total, docs = len(rows), []
+    for i, text in rows:
+        base = plain_spans(text)
+        terms = {}
+        for m in re.finditer("[A-Za-z\x80-\U0010ffff]+", text):
+            if len(m.group().encode()) >= pii.SHORTEST and not any(a < m.end() and m.start() < b for a, _, b in base):
+                word = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m.group())
+                terms.setdefault(word, []).append((m.start(), m.end()))
+        values = {(k, text[a:b].lower() if k < 2 else re.sub("[^0-9]", "", text[a:b])) for a, k, b in base}
+        docs.append((i, terms, values, {k for k, _ in values}))
+    count = Counter(t for _, terms, _, _ in docs for t in terms)
+    of = {c: sum(c in values for _, _, values, _ in docs) for c in {c for _, _, values, _ in docs for c in values}}
+    of |= {k: sum(k in kinds for *_, kinds in docs) for k in range(4)}
+    pair = Counter((c, t) for _, terms, values, kinds in docs for c in values | kinds for t in terms)
+
+    def discloses(c, t):
+        share = np.log2(of[c] / total)
+        return share < 0 and np.log2(pair[c, t] * total / (of[c] * count[t])) >= -pii.ALPHA * share - 1e-9
+
+    hit = {(c, t) for c, t in pair if (isinstance(c, tuple) or pair[c, t] >= pii.SUPPORT) and discloses(c, t)}
+    everywhere = {t for c, t in hit if isinstance(c, tuple) and of[c] > 1 and count[t] > 1}
+    return {i: sorted(p for t, places in terms.items() if t in everywhere or any((c, t) in hit for c in values | kinds) for p in places) for i, terms, values, kinds in docs}
+
+
+def term_spans(spans):
+    return sorted((int(a), int(b)) for kind, a, b in (s.split(":") for s in spans.split(",") if s) if kind == "term")
+
+
+def test_terms_are_those_of_brute_force(spark, monkeypatch):
+    from tests.conftest import SMALL
+
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").collect()]
+    # Values and terms that come again, with copies and a term in a text without the value.
+    rows += [(10_000 + i, f"Zanzibar writes to q.z@mail.example {rows[i][1][:300]}") for i in range(12)]
+    rows += [(11_000, "only Zanzibar here"), (11_001, "call +49 30 1234567 Unrepeated"), (11_002, "call +49 30 1234567 Unrepeated")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_terms(rows)
+    assert sum(map(bool, want.values())) > 50 and want[11_000]
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert {i: term_spans(x) for i, x in got.items()} == want
+    monkeypatch.setattr(pii, "HARMLESS", 1)  # lists that are too long to be known everywhere
+    monkeypatch.setattr(pii, "HELD", 500)
+    assert {r.doc_id: r.spans for r in pii.find(docs).collect()} == got
+
+
+def test_a_long_access_log_is_done_in_time(spark):
+    rng = random.Random(9)
+    log = "\n".join(f"{rng.randint(1, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)} GET /page{i} by user{rng.choice('abc')}" for i in range(6000))
+    docs = spark.createDataFrame([(1, log), (2, "plain words"), (3, log[:5000])], "doc_id long, text string")
+    pii.find(docs.limit(1)).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert got[1].n_ip == 6000 and got[1].spans.count("ip:") == 6000 and time.perf_counter() - began < 20
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de Zanzibar", "x", "y", "z", "w"), (2, None, "x", "y", "z", "w"), (3, "plain", "x", "y", "z", "w")], "doc_id long, text string, _id string, _key string, _terms string, `a.b` string")
+    got = {r.doc_id: r for r in pii.sanitise(docs).collect()}
+    assert got[1].text == " [EMAIL] "
+    assert got[2].text is None and got[3].text == "plain" and all((r["_id"], r["_key"], r["_terms"], r["a.b"]) == ("x", "y", "z", "w") for r in got.values())
+
+
 def brute(rows, width, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}

@@ -1,22 +1,32 @@
 """Personal data: base patterns, and terms that disclose what the patterns protect.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a
-protected entity c. After C-sanitisation (Sanchez and Batet, 2016), a term t discloses c where
-PMI(c; t) >= ALPHA * IC(c), with IC(c) = -log2 p(c), PMI = log2(p(c, t) / (p(c) p(t))), and
-probabilities that are shares of all documents of the corpus: c and t meet in a document if both
-stand anywhere in it, t outside base spans. A pair also needs SUPPORT different contexts of c (the
-NEAR terms on each side of its first mention in a document), so that copies of one passage prove
-nothing. Disclosing terms become spans of kind `term` wherever they stand, in documents without c
-too; the sanitised text has a class name in place of a span, or nothing for a term that stands in no
-document without the entities that it gives away.
-
-Only entities with SUPPORT contexts can have a term, so only theirs are paired. Pairs are distinct in
-a document, pre-summed and shuffled by (entity, term); document frequencies and places are looked
-for among terms that pass a Bloom filter of the candidates, whose size is fixed (FILTER bits).
-
-Defined results: a null or empty text has no spans; repeated rows each get a row (and each count as
-a document); rows with a null id are kept apart by their text; terms are runs of at least SHORTEST
-bytes of ASCII letters and non-ASCII characters, ASCII in lower case.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Protected entities c are each
+distinct value (an address) and each kind as a whole (that a text holds an address at all). After
+C-sanitisation (Sanchez and Batet, 2016), a term t discloses c where PMI(c; t) >= ALPHA * IC(c), with
+IC(c) = -log2 p(c), PMI = log2(p(c, t) / (p(c) p(t))), and probabilities that are shares of all
+documents of the corpus: c and t meet in a document if both stand anywhere in it, t outside base
+spans. So t discloses c where p(c | t) >= p(c) ** (1 - ALPHA): of a value that stands in one document
+that makes the terms that stand in no more than n ** (1 - ALPHA) of the n documents, its own one
+among them. A kind also needs SUPPORT documents with both.
+
+Terms that disclose a value become spans of kind `term` wherever they stand if value or term is in
+several documents; those that disclose a kind, or a value of one document, in the documents that hold
+it. The sanitised text has a class name in place of a span, or nothing for a term all of whose
+documents hold an entity that it discloses.
+
+One pass counts each term's documents, and those with each kind; sums are made before they are
+shuffled. A term whose share of documents with some kind is below n ** (ALPHA - 1) can't disclose
+anything: the HARMLESS most frequent ones of these are known everywhere, and the other terms of texts
+with base spans are joined with the counts. Only values and terms of several documents are paired,
+text by text; equal texts are one row with a number.
+
+Defined results: a null or empty text has no spans; repeated rows each get a row (and each count as a
+document), also with a null id; a text of any length is worked on whole, in time in proportion to its
+length but for the pairs of repeated values and rare repeated terms in it; a table of one document
+discloses nothing; an empty table gives no rows; terms are runs of at least SHORTEST bytes of ASCII
+letters and non-ASCII characters, ASCII in lower case; overlapping spans are replaced as one, named
+by the first. `find` reads doc_id and text alone; `sanitise` keeps all other columns, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,8 +45,10 @@ from tidelog.llm import textbuf
 from tidelog.llm.tables import settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information at which a term discloses it, contexts needed, terms of a context on each side of a mention, bytes of a term, bits of the filter.
-ALPHA, SUPPORT, NEAR, SHORTEST, FILTER = 0.95, 3, 6, 3, 1 << 22
+#: Share of an entity's information at which a term discloses it, documents that a kind and a term must share, bytes of a term.
+ALPHA, SUPPORT, SHORTEST = 0.95, 3, 3
+#: Terms at most in a list that is known everywhere; terms of a task after which its sums are given out; parts that the rows of one text are dealt to.
+HARMLESS, HELD, SALT = 1 << 17, 1 << 20, 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -121,24 +133,17 @@ def _inside(a: np.ndarray, b: np.ndarray, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def mentions(text: str, spans: list[Span]) -> tuple[list[tuple[int, int]], list[int]]:
-    """(entity, context) for the first mention of each entity, and the distinct terms that lie in no span."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    a, b, _, key = _terms(data, np.array([0, len(data)]))
-    a, b = _points(data, a, b)
-    free = ~_inside(a, b, spans)
-    a, key = a[free], key[free]
-    out: dict[int, int] = {}
-    for s, k, e in spans:
-        i = int(np.searchsorted(a, s))
-        value = text[s:e].lower() if k < 2 else _digits(text[s:e])
-        context = ",".join(map(str, key[max(0, i - NEAR) : i + NEAR].tolist()))
-        out.setdefault(_number(f"{KINDS[k]}:{value}"), _number(context))
-    return list(out.items()), np.unique(key).tolist()
+def entities(text: str, spans: list[Span]) -> list[int]:
+    """The distinct values of the spans, as numbers."""
+    return sorted({_number(f"{KINDS[k]}:{text[a:b].lower() if k < 2 else _digits(text[a:b])}") for a, k, b in spans})
 
 
-_SCAN = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity:long,context:long>>, terms array<long>"
-_MENTIONS = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
+
+
+_SCAN = "doc_id long, text_key binary, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>"
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,135 +153,230 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for text in col.slice(a, b - a).to_pylist():
                 spans = base_spans(text)
-                found, terms = mentions(text, spans) if spans else ([], [])
                 count = [0, 0, 0, 0]
                 for _, k, _ in spans:
                     count[k] += 1
-                rows.append((*count, written(spans), [{"entity": c, "context": x} for c, x in found], terms))
+                rows.append((*count, written(spans), entities(text, spans)))
             part = batch.slice(a, b - a)
             counts = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-            lists = [pa.array([r[5] for r in rows], _MENTIONS), pa.array([r[6] for r in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *counts, pa.array([r[4] for r in rows], pa.string()), *lists], ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "mentions", "terms"])
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *counts, pa.array([r[4] for r in rows], pa.string()), pa.array([r[5] for r in rows], pa.list_(pa.int64()))], ["doc_id", "text_key", *(f"n_{k}" for k in KINDS), "base", "entities"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of each row, and where it has some, the entities and the other terms."""
+    """Base spans of each row, and its entities."""
     return _keyed(docs).mapInArrow(_scanned, _SCAN)
 
 
-def _candidate_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of the candidate terms, FILTER bits, as 64-bit words."""
-    bit = F.pmod("term", F.lit(FILTER))
-    words = pairs.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(term, {FILTER}) & 63 as int))").alias("mask"))
-    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # FILTER / 64 rows at most
-    out = np.zeros(FILTER // 64, np.int64)
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy()
-    return out.view(np.uint64)
-
+class Slice:
+    """The terms of a slice that lie in no base span, by row: places in bytes and hashes; and the base spans of each row that has some."""
+
+    def __init__(self, col: pa.Array, a: int, b: int) -> None:
+        self.data, self.off = textbuf.view(col, a, b)
+        start, end, row, key = _terms(self.data, self.off)
+        free, self.spans = np.ones(len(key), bool), {}
+        for i, text in enumerate(col.slice(a, b - a).to_pylist()):
+            spans = base_spans(text)
+            if spans:
+                self.spans[i] = spans
+                lo, hi = np.searchsorted(row, (i, i + 1))
+                free[lo:hi] = ~_inside(*self._within(i, start[lo:hi], end[lo:hi]), spans)
+        self.start, self.end, self.row, self.key = start[free], end[free], row[free], key[free]
+
+    def _within(self, i: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = self.off[i]
+        return _points(self.data[at : self.off[i + 1]], start - at, end - at)
+
+    def places(self, i: int, wanted: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
+        """The distinct terms of row i that `wanted` (a flag a term) marks, and where each stands in code points."""
+        lo, hi = np.searchsorted(self.row, (i, i + 1))
+        pick = lo + np.flatnonzero(wanted[lo:hi])
+        if not len(pick):
+            return [], [], []
+        start, end = self._within(i, self.start[pick], self.end[pick])
+        order = np.argsort(self.key[pick], kind="stable")
+        terms, first = np.unique(self.key[pick][order], return_index=True)
+        cut = lambda x: [p.tolist() for p in np.split(x[order], first[1:])]
+        return terms.tolist(), cut(start), cut(end)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first, axis=0) if len(keys) else counts
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, documents, and documents with each kind, summed over a task or HELD terms of it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys, counts = held[0]
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), *(pa.array(c[i : i + (1 << 16)]) for c in counts.T)], ["term", "docs", *(f"n_{k}" for k in KINDS)])
 
-def _passes(key: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = np.mod(key, FILTER)
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
-
-
-def _passing(col: pa.Array, a: int, b: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (code points), rows and hashes of the terms of a slice that pass the filter and lie in no base span."""
-    data, off = textbuf.view(col, a, b)
-    start, end, row, key = (x.copy() for x in _terms(data, off))
-    ok = _passes(key, bits)
-    start, end, row, key = start[ok], end[ok], row[ok], key[ok]
-    ok = np.ones(len(key), bool)
-    for i in np.unique(row).tolist():
-        lo, hi = np.searchsorted(row, (i, i + 1))
-        start[lo:hi], end[lo:hi] = _points(data[off[i] : off[i + 1]], start[lo:hi] - off[i], end[lo:hi] - off[i])
-        ok[lo:hi] = ~_inside(start[lo:hi], end[lo:hi], base_spans(col[a + i].as_py()))
-    return start[ok], end[ok], row[ok], key[ok]
-
-
-def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Documents in which each term that passes the filter stands outside base spans, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = textbuf.texts(batch)
-            for a, b in textbuf.slices(col):
-                _, _, row, key = _passing(col, a, b, shared.value)
-                order = np.lexsort((row, key))
-                row, key = row[order], key[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                found, times = np.unique(key[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times, pa.int64())], ["term", "docs"])
-
-    return docs.select("text").mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("term_docs"))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, certain): the pairs whose PMI reaches ALPHA of the entity's information."""
-    some = scanned.where(F.size("mentions") > 0)
-    each = some.select(F.explode("mentions").alias("x"), "terms").select("x.entity", "x.context", "terms")
-    seen = each.groupBy("entity", "context").agg(F.count("*").alias("n"))
-    entities = settle(seen.groupBy("entity").agg(F.sum("n").alias("entity_docs"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts"))
-    # One row a document, entity and term; contexts are counted apart before documents are.
-    met = each.join(entities.select("entity"), "entity").select("entity", "context", F.explode("terms").alias("term"))
-    contexts = met.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = contexts.groupBy("entity", "term").agg(F.sum("n").alias("pair_docs"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT).drop("contexts")
-    total = docs.count()
-    share = F.log2(F.col("entity_docs") / total)
-
-    def reached(term_docs: str) -> Column:
-        pmi = F.log2(F.col("pair_docs") * float(max(total, 1)) / (F.col("entity_docs") * F.col(term_docs)))
-        return (share < 0) & (pmi >= -ALPHA * share)
-
-    # Documents with some entity are a part of a term's documents, so pairs that fail with these alone fail with all.
-    least = some.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    pairs = settle(pairs.join(entities, "entity").join(least, "term").where(reached("least")).drop("least"))
-    scored = pairs.join(_frequencies(docs, _candidate_filter(pairs)), "term")
-    return settle(scored.where(reached("term_docs")).select("entity", "term", (F.col("pair_docs") >= F.col("term_docs")).alias("certain")))
-
-
-def term_spans(docs: DataFrame, terms: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, terms): the spans that the method adds to a document; `terms` has term and certain, `bits` is their filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = textbuf.texts(batch)
-            for a, b in textbuf.slices(col):
-                start, end, row, key = _passing(col, a, b, shared.value)
-                part, at = batch.slice(a, b - a), pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(1).take(at), part.column(2).take(at), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "text_key", "term", "start", "stop"])
-
-    found = _keyed(docs).mapInArrow(places, "doc_id long, text_key long, term long, start int, stop int").join(terms, "term")
-    return found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop", "certain"))).alias("terms"))
-
-
-def _disclosing_terms(docs: DataFrame, scanned: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(term, certain) for the terms that disclose any entity, and their filter."""
-    terms = disclosing(docs, scanned).groupBy("term").agg(F.bool_and("certain").alias("certain"))
-    return terms, _candidate_filter(terms)
-
-
-def _joined(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    extra = extra.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "terms")
-    return rows.join(extra, rows["doc_id"].eqNullSafe(extra["_id"]) & (rows["text_key"] == extra["_key"]), "left").drop("_id", "_key")
+    for batch in batches:
+        col = textbuf.texts(batch)
+        for a, b in textbuf.slices(col):
+            found = Slice(col, a, b)
+            flags = np.zeros((b - a, 5), np.int64)
+            flags[:, 0] = 1
+            for i, spans in found.spans.items():
+                flags[i, [k + 1 for _, k, _ in spans]] = 1
+            order = np.argsort(found.key, kind="stable")  # rows stay in order inside
+            key, row = found.key[order], found.row[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])) if len(key) else np.zeros(0, bool)
+            held.append(_summed(key[new], flags[row[new]]))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                if len(held[0][0]) > HELD // 2:
+                    yield from out()
+                    held = []
+    if held:
+        held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+        yield from out()
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, docs, n_email, n_ip, n_card, n_phone): each term's documents, and those that hold a kind."""
+    names = ["docs", *(f"n_{k}" for k in KINDS)]
+    parts = docs.select("text").mapInArrow(_counted, ", ".join(f"{c} long" for c in ["term", *names]))
+    return parts.groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _inside_of(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of the keys are in the sorted array."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+class Disclosure:
+    """What the corpus says of its terms: all that the operators need of it, written."""
+
+    def __init__(self, docs: DataFrame, scanned: DataFrame) -> None:
+        self.docs, self.spark = docs, docs.sparkSession
+        self.total = docs.count()
+        row = scanned.agg(*(F.count_if(F.col(f"n_{k}") > 0).alias(k) for k in KINDS)).first()
+        self.kinds = {k: int(row[k]) for k in KINDS}
+        terms = settle(term_counts(docs))
+        most = F.greatest(*(F.col(f"n_{k}") for k in KINDS)) / F.col("docs")
+        possible = most >= max(self.total, 1) ** (ALPHA - 1) * (1 - 1e-9)
+        self.candidates = terms.where(possible)
+        known = terms.where(~possible).orderBy(F.desc("docs"), "term").limit(HARMLESS).select("term").toArrow()  # HARMLESS rows at most
+        self.harmless = self.spark.sparkContext.broadcast(np.sort(known.column("term").to_numpy()))
+        some = scanned.where(F.size("entities") > 0)
+        mask = sum((F.col(f"n_{k}") > 0).cast("int") * 2**i for i, k in enumerate(KINDS))
+        texts = some.groupBy("text_key").agg(F.count("*").alias("times"), F.first("entities").alias("entities"), F.first(mask).alias("kinds"))
+        each = settle(texts.select("text_key", "times", "kinds", F.explode("entities").alias("entity")))
+        # Written first: Spark splits a hot entity in the join only if no aggregate stands before it.
+        self.entities = settle(each.groupBy("entity").agg(F.sum("times").alias("entity_docs")))
+        several = F.when(F.col("entity_docs") > 1, F.struct("entity", "entity_docs"))
+        self.texts = settle(each.join(self.entities, "entity").groupBy("text_key", "times", "kinds").agg(F.max(F.col("entity_docs") == 1).alias("single"), F.collect_list(several).alias("several")))
+        self.found = settle(self._placed(True, self.candidates).groupBy("text_key", "term", "docs", *(f"n_{k}" for k in KINDS)).agg(F.first("places").alias("places")))
+        self.everywhere = settle(self._everywhere())
+        n = self.everywhere.count()
+        # Few terms are looked for one by one; else all that aren't harmless are, and joined.
+        few = np.sort(self.everywhere.select("term").toArrow().column("term").to_numpy()) if n <= HARMLESS else None
+        self.any, self.few = n > 0, self.spark.sparkContext.broadcast(few)
+
+    def reached(self, pair: Column, entity: Column) -> Column:
+        """Whether PMI reaches ALPHA of the entity's information; `docs` are the term's."""
+        share = F.log2(entity / float(max(self.total, 1)))
+        return (share < 0) & (F.log2(pair * float(max(self.total, 1)) / (entity * F.col("docs"))) >= -ALPHA * share - 1e-9)
+
+    def _placed(self, protected: bool, terms: DataFrame) -> DataFrame:
+        """text_key, term, places and the columns of `terms`, for the texts with base spans or for the others."""
+        harmless, few = self.harmless, None if protected else self.few
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = textbuf.texts(batch)
+                for a, b in textbuf.slices(col):
+                    found = Slice(col, a, b)
+                    listed = few.value if few is not None else None
+                    wanted = _inside_of(found.key, listed) if listed is not None else ~_inside_of(found.key, harmless.value)
+                    keys, names, places = [], [], []
+                    for i in np.unique(found.row[wanted]).tolist():
+                        if protected == (i in found.spans):
+                            got, start, stop = found.places(i, wanted)
+                            keys += [batch.column(2)[a + i].as_py()] * len(got)
+                            names += got
+                            places += [[{"start": s, "stop": e} for s, e in zip(x, y, strict=True)] for x, y in zip(start, stop, strict=True)]
+                    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names, pa.int64()), pa.array(places, kind)], ["text_key", "term", "places"])
+
+        rows = _keyed(self.docs)
+        if protected:
+            rows = rows.where(F.col("text").rlike("[@0-9]"))
+        return rows.mapInArrow(run, "text_key binary, term long, places array<struct<start:int,stop:int>>").join(terms, "term")
+
+    def _everywhere(self) -> DataFrame:
+        """(term, certain): the terms of several documents that disclose a value of several documents."""
+        total, alpha = float(max(self.total, 1)), ALPHA
+        terms = self.found.where(F.col("docs") > 1).groupBy("text_key").agg(F.collect_list(F.struct("term", "docs")).alias("terms"))
+        both = self.texts.where(F.size("several") > 0).join(terms, "text_key").select("times", "several", "terms")
+
+        def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Values and terms of a text, where the term isn't in too many documents for the value."""
+            for batch in batches:
+                for times, several, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    term = np.array([t["term"] for t in found], np.int64)
+                    docs = np.array([t["docs"] for t in found])
+                    for c in several:
+                        got = term[docs <= total * (c["entity_docs"] / total) ** alpha * (1 + 1e-9)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), c["entity"])), pa.array(got), pa.array(np.full(len(got), times))], ["entity", "term", "times"])
+
+        pairs = both.mapInArrow(paired, "entity long, term long, times long").groupBy("entity", "term").agg(F.sum("times").alias("pair_docs"))
+        scored = pairs.join(self.entities, "entity").join(self.candidates.select("term", "docs"), "term")
+        scored = scored.where(self.reached(F.col("pair_docs"), F.col("entity_docs")))
+        return scored.groupBy("term").agg(F.max(F.col("pair_docs") >= F.col("docs")).alias("certain"))
+
+    def spans(self) -> DataFrame:
+        """(text_key, terms): the spans that the method adds to a text, by start."""
+        met = [(F.col("kinds").bitwiseAND(2**i) != 0) & (F.col(f"n_{k}") >= SUPPORT) & self.reached(F.col(f"n_{k}"), F.lit(self.kinds[k])) for i, k in enumerate(KINDS)]
+        all_ = [m & (F.col(f"n_{k}") == F.col("docs")) for m, k in zip(met, KINDS, strict=True)]
+        single = (F.col("docs") == 1) & (F.lit(self.total) > 1) | F.col("single") & self.reached(F.lit(1), F.lit(1))
+        rows = self.found.join(self.texts.select("text_key", "kinds", "single"), "text_key").join(self.everywhere.withColumn("paired", F.lit(True)), "term", "left")
+        hit = single | F.coalesce("paired", F.lit(False))
+        certain = (F.col("docs") == 1) | F.coalesce("certain", F.lit(False))
+        for m, c in zip(met, all_, strict=True):
+            hit, certain = hit | m, certain | c
+        rows = rows.where(hit).select("text_key", "places", certain.alias("certain"))
+        if self.any:
+            others = self._placed(False, self.everywhere).select("text_key", "places", "certain")
+            rows = rows.union(others.groupBy("text_key", "places").agg(F.first("certain").alias("certain")))
+        each = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("certain").alias("certain")))
+        return rows.select("text_key", each.alias("x")).groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("terms"))
+
+
+_TERMS = "array<struct<start:int,stop:int,certain:boolean>>"
+
+
+def _joined(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """`rows` with `_terms`, dealt so that a text that stands in many rows is no single task's."""
+    few = spans.select(F.col("text_key").alias("_text_key"), F.col("terms").alias("_terms"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+    dealt = rows.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    return dealt.join(few, (dealt[key] == few["_text_key"]) & (dealt["_at"] == few["_part"]), "left").drop("_text_key", "_part", "_at")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Each row's counts, base spans and all spans; `base` and `spans` are kind:start:end by start and kind."""
     scanned = settle(scan(docs))
-    extra = term_spans(docs, *_disclosing_terms(docs, scanned))
-    kind = lambda x: F.element_at(F.create_map(*(v for i, k in enumerate([*KINDS, "term"]) for v in (F.lit(k), F.lit(i)))), x)
-    old = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("a"), kind(F.split_part(s, F.lit(":"), F.lit(1))).alias("k"), s.alias("s")))
-    new = F.transform(F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,certain:boolean>>")), lambda x: F.struct(x["start"].alias("a"), F.lit(4).alias("k"), F.concat_ws(":", F.lit("term"), x["start"], x["stop"]).alias("s")))
-    spans = F.array_join(F.transform(F.array_sort(F.array_distinct(F.concat(old, new))), lambda x: x["s"]), ",")
+    spans = Disclosure(docs, scanned).spans()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for base, terms in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                each = [(int(s.split(":")[1]), KINDS.index(s.split(":")[0]), s) for s in base.split(",")] if base else []
+                each += [(t["start"], len(KINDS), f"term:{t['start']}:{t['stop']}") for t in terms or ()]
+                out.append(",".join(s for _, _, s in sorted(each)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.string())], [*batch.schema.names[:6], "spans"])
+
     shown = ["doc_id", *(f"n_{k}" for k in KINDS), "base"]
-    return _joined(scanned.select("text_key", *shown), extra).select(*shown, spans.alias("spans"))
+    rows = _joined(scanned.select(*shown, "text_key"), spans, "text_key").select(*shown, "_terms")
+    return rows.mapInArrow(merged, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 _PUT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -294,35 +394,36 @@ def replaced(text: str, terms: list[dict] | None) -> str:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """`docs` with `text` sanitised; other columns stay. Texts without a digit, @ or term that passes the filter are not moved."""
-    columns = docs.columns
+    """`docs` with `text` sanitised; other columns stay. Texts without a digit, @ or term that is looked for are not moved."""
+    columns, at = docs.columns, docs.columns.index("text")
     scanned = settle(scan(docs))
-    terms, bits = _disclosing_terms(docs, scanned)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    known = Disclosure(docs, scanned)
+    # Columns go by place from here on, so none of any name can clash.
+    names = [f"c{i}" for i in range(len(columns))]
+    plain, text = docs.toDF(*names), f"c{at}"
+    schema, any_, few, harmless = plain.schema, known.any, known.few, known.harmless
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = textbuf.texts(batch)
+            col = textbuf.texts(batch, text)
             has = np.zeros(len(col), bool)
             for a, b in textbuf.slices(col):
                 _, _, row, key = _terms(*textbuf.view(col, a, b))
-                has[a + row[_passes(key, shared.value)]] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], [*columns, "_has"])
+                has[a + row[_inside_of(key, few.value) if few.value is not None else ~_inside_of(key, harmless.value)]] = True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], [*names, "_has"])
 
-    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField("_has", BooleanType())]))
-    has = F.col("_has") | F.coalesce(F.col("text").rlike("[@0-9]"), F.lit(False))
-    extra = term_spans(docs, terms, bits).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("terms").alias("_terms"))
-    some = marked.where(has).drop("_has")
-    some = some.join(extra, some["doc_id"].cast("long").eqNullSafe(extra["_id"]) & (F.xxhash64(some["text"]) == extra["_key"]), "left").drop("_id", "_key")
+    marked = plain.mapInArrow(mark, StructType([*schema.fields, StructField("_has", BooleanType())])) if any_ else plain.withColumn("_has", F.lit(False))
+    has = F.col("_has") | F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
+    some = marked.where(has).drop("_has").withColumn("_key", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    some = _joined(some, known.spans(), "_key").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
-            at, terms = names.index("text"), batch.column(names.index("_terms")).to_pylist()
-            texts = pa.array([replaced(t, x) for t, x in zip(batch.column(at).to_pylist(), terms, strict=True)], batch.column(at).type)
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(names.index(c)) for c in columns], columns)
+            texts, terms = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
+            put = pa.array([None if t is None else replaced(t, x) for t, x in zip(texts, terms, strict=True)], batch.column(at).type)
+            yield pa.RecordBatch.from_arrays([put if i == at else batch.column(i) for i in range(len(names))], names)
 
-    return some.mapInArrow(run, docs.schema).unionByName(marked.where(~has).drop("_has"))
+    return some.mapInArrow(run, schema).union(marked.where(~has).drop("_has")).toDF(*columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
