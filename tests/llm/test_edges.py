@@ -20,7 +20,7 @@ ROWS = [
     (7, LONG + "end", "en", "hot", len(LONG)),
     (8, "漢字 かな 🙂 <|endoftext|> 4111 1111 1111 1111", "ja", "hot", 5),
 ]
-EXTRA = ["score", "ids", "size", "shard", "slot", "n_tokens", "v", "vid", "node", "rank", "terms", "mix_slot", "base", "part", "n"]
+EXTRA = ["_id", "_key", "_terms", "_has", "_row", "_source", "_part", "_at", "_hash", "_n", "text_key", "a.b", "c0", "score", "ids", "size", "shard", "slot", "n_tokens", "v", "vid", "node", "rank", "terms", "mix_slot", "base", "part", "n"]
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +62,9 @@ def test_odd_and_empty_tables(spark, tables, name):
         assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     if name == "op6_pii":
         assert all(r.n_email == 1 and r.n_phone == 1 for r in got if r.doc_id is None)
-        assert [(r.n_card, r.spans) for r in got if r.doc_id == 8] == [(1, "card:22:41")]
+        # The card stands once, so the terms that only its text has disclose it.
+        assert [(r.n_card, r.spans) for r in got if r.doc_id == 8] == [(1, "term:0:2,term:3:5,term:6:7,term:10:19,card:22:41")]
+        assert all(r.spans == "" for r in got if r.doc_id in (1, 2, 3, 4, 5, 6, 7))
     if name == "op5_shards":
         assert {(r.size, r.text_crc32) for r in got if r.doc_id in (2, 3)} == {(1, 0)}
         assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(16))

@@ -17,8 +17,9 @@ def test_less_than_one_block_from_the_target(spark):
     blocks = {}
     for r in rows:
         assert blocks.setdefault(r.mix_slot, (r.source, r.mix_block)) == (r.source, r.mix_block)
-    shares = mixing.whole(weights)
+    shares = {"a": 50, "b": 20, "c": 20, "d": 3}  # the given weights, in whole numbers
     total = sum(shares.values())
+    assert mixing.whole(weights) == shares
     # Up to the first source's end the mix follows the weights at every slot.
     ends = [max(t for t, (s, _) in blocks.items() if s == source) for source in sizes]
     had = dict.fromkeys(sizes, 0)
@@ -62,13 +63,23 @@ def test_less_than_one_block_from_the_flow_over_the_whole_mix():
     assert list(plan["f"]) == list(range(weighted, weighted + 9))
 
 
+def test_parts_and_blocks_grow_with_the_table(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise("other").alias("source"), F.lit("x").alias("a.b"))
+    whole = sorted(map(tuple, mixing.mix(docs, {"hot": 1, "other": 2}).collect()))
+    monkeypatch.setattr(mixing, "PART", 64)
+    assert sorted(map(tuple, mixing.mix(docs, {"hot": 1, "other": 2}).collect())) == whole
+    monkeypatch.setattr(mixing, "BLOCKS", 30)
+    rows = mixing.mix(docs, {"hot": 1, "other": 2}).collect()
+    assert {r.mix_slot for r in rows} == set(range(30)) and {r.mix_row for r in rows} == set(range(100))
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_any_number_of_sources(spark, monkeypatch, few):
     monkeypatch.setattr(mixing, "FEW", few)
     monkeypatch.setattr(mixing, "SHARED", few)
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), F.least(F.col("id"), F.lit(699)).cast("string")).alias("source"))
     weights = mixing.tempered(docs)
-    assert len(weights) == 700 and weights["site699"] == 4301**0.5
+    assert len(weights) == 700 and weights["site699"] == round(1000 * 4301**0.5)
     rows = mixing.mix(docs, weights).collect()
     assert sorted(r.doc_id for r in rows) == list(range(5000)) and len({r.source for r in rows}) == 700
     assert {r.mix_slot for r in rows} == set(range(699 + 269)) and len({(r.mix_slot, r.mix_row) for r in rows}) == 5000
@@ -82,8 +93,9 @@ def test_sources_without_weight_follow(spark):
 
 def test_whole_shares():
     assert mixing.whole({"a": 1, "b": 1}) == {"a": 1, "b": 1}
-    assert sum(mixing.whole({"a": 0.7, "b": 0.2, "c": 0.1}, 10).values()) in (2, 5, 10)
-    assert mixing.whole({"a": 0}) == {} and min(mixing.whole({str(i): 1.5**i for i in range(50)}).values()) >= 1
+    assert mixing.whole({"a": 0.5, "b": 0.3, "c": 0.2}) == {"a": 5, "b": 3, "c": 2}
+    assert mixing.whole({"web": 0.9995, "rare": 0.0005}) == {"web": 1999, "rare": 1}
+    assert mixing.whole({"a": 0}) == {}
 
 
 def test_weights_and_growth_of_shards(spark):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -246,14 +247,69 @@ def test_learnt_models_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in lang]) >= 0.98
 
 
-def test_bloom_filters_count_more_than_64_languages():
-    names = [f"l{i:03d}" for i in range(70)]
-    rng = np.random.default_rng(3)
-    found = {n: (np.sort(textbuf.mix(rng.integers(0, 1 << 60, 50).astype(np.uint64))), np.full(50, 4.0)) for n in names}
-    filters = langid.build(names, {}, found)
-    assert len(filters.tables) == 2
-    at = langid._positions(found["l066"][0])
-    assert ((filters.tables[1][at[0]] & filters.tables[1][at[1]] & filters.tables[1][at[2]]) >> np.uint64(2) & np.uint64(1)).all()
+def plain_grams(text):
+    """The n-grams of a text, with one blank for each run of other bytes and one before the first."""
+    raw = re.sub(b"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+    raw = raw if raw.startswith(b" ") or not raw else b" " + raw
+    return [raw[i : i + n] for n in langid.LENGTHS for i in range(len(raw) - n + 1)]
+
+
+def test_languages_are_those_of_exact_sets(spark):
+    """The filters' counts against those of plain sets, and what is decided by them."""
+    from tests.conftest import SMALL
+
+    path = f"{SMALL.replace('0.001', '0.01')}/documents.parquet"
+    docs = spark.read.parquet(path)
+    rows = sorted((r.doc_id, r.text or "", r.lang) for r in docs.collect())
+    total = {}
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            total.setdefault(lang, Counter()).update(plain_grams(text))
+    sums = {lang: sum(c.values()) for lang, c in total.items()}
+    kept = {lang: {g: n / sums[lang] for g, n in c.items() if n / sums[lang] >= langid.LEAST} for lang, c in total.items()}
+    most = {}
+    for c in kept.values():
+        for g, x in c.items():
+            most[g] = max(x, most.get(g, 0))
+    has = {lang: {g for g, x in c.items() if x >= langid.PART * most[g]} for lang, c in kept.items()}
+    filters = langid.fit(docs)
+    assert filters.names == sorted(total) and len(filters.names) > 2
+    off = 0
+    for _, text, _ in rows[:200]:
+        each = plain_grams(text)
+        want = np.array([sum(g in has[lang] for g in each) for lang in filters.names])
+        raw = np.frombuffer(text.lower().encode(), np.uint8)
+        got = filters.counts(*langid.grams(raw, np.array([0, len(raw)])), 1)[:, 0]
+        assert np.abs(got - want).max() <= 0.02 * len(each) + 3
+        off += want.max() > 0 and want.argmax() != got.argmax()
+    assert off <= 2
+
+
+def test_many_languages_are_learnt_and_told_apart(spark):
+    """200 languages, some of them of one short document."""
+    rng = random.Random(12)
+    rows = []
+    for lang in range(200):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(40)]
+        rows += [(1000 * lang + i, " ".join(rng.choice(words) for _ in range(30)), f"l{lang:03d}") for i in range(1 if lang % 10 == 0 else 8)]
+    rows = [(i + (zlib.crc32(str(i).encode()) % 4 == 2) * 500 if n % 8 == 0 else i, t, x) for n, (i, t, x) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(docs)
+    learnt = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert set(filters.names) == learnt and len(learnt) > 190 and len(filters.tables) == 4
+    got = {r.doc_id: r for r in langid.detect(spark, docs, filters).collect()}
+    assert np.mean([got[i].lang_pred == x for i, _, x in rows if x in learnt]) > 0.97
+    alone = spark.createDataFrame([(1, "an only short text", "one"), (3, "tout autre chose encore", "two")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.detect(spark, alone, langid.fit(alone)).collect()} == {1: "one", 3: "two"}
+
+
+def test_popcounts():
+    rng = np.random.default_rng(1)
+    mask, row = rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.sort(rng.integers(0, 4500, 5000))
+    want = np.zeros((64, 4500))
+    for m, r in zip(mask.tolist(), row.tolist(), strict=True):
+        want[[b for b in range(64) if m >> b & 1], r] += 1
+    assert (langid.popcounts(mask, row, 4500) == want).all() and (langid.popcounts(mask, row, 4500, 3) == want[:3]).all()
 
 
 @pytest.mark.parametrize("seed", range(3))

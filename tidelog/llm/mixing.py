@@ -11,15 +11,19 @@ as the flow gave it, give or take less than one.
 
 Weights are exact: a float is the decimal that it prints as, and all arithmetic is on whole numbers.
 The schedule is a fold over the slots by definition; the driver makes it from the sizes alone, for
-any number of sources, with a size and a weight for each and 8 bytes a block, and each row finds its block's slot by a join on its source and a stretch of
-blocks. No row is dropped or repeated.
+any number of sources, with a size and a weight for each and 8 bytes a block, and each row finds its
+block's slot by a join on its source and a stretch of blocks. Blocks have BLOCK rows, or as many more
+as keep them to BLOCKS (and one a source) on very large tables. No row is dropped or repeated.
 
-Numbering inside a source is done in BUCKETS parts by a hash of the row, so no task holds a whole
-source. Rows are worked on by DataFrame and SQL functions only.
+Rows of a source go by a hash of their key. They are numbered in parts, stretches of that hash which
+have about PART rows of the largest source, so no task holds a whole source; only rows with one and
+the same key stay in one part. Rows are worked on by DataFrame and SQL functions only.
 
 Defined results: a null source is a source of its own, named `unknown`; sources without a target
-weight get weight 0 and follow when the weighted ones are used up, in equal shares; rows alike in
-every key column get neighbouring places in any order; an empty table gives no rows.
+weight get weight 0 and follow when the weighted ones are used up, in equal shares; null keys are one
+key; rows with one key get neighbouring places in any order; texts of any length are carried whole; an
+empty table gives no rows; columns of any name are carried along, but for `mix_block`, `mix_slot` and
+`mix_row`, which are replaced.
 """
 
 from __future__ import annotations
@@ -39,29 +43,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import table
+from tidelog.llm.tables import quoted, table
 
-#: Rows of a block, parts of a source; blocks in a row of the schedule; blocks, and sources, up to which small tables are broadcast.
-BLOCK, BUCKETS, STRETCH, SHARED, FEW = 16, 256, 64, 1 << 20, 256
+#: Least rows of a block, blocks up to which there are so many; rows of a part; blocks in a row of the schedule; blocks, and rows of the table of parts, up to which these are broadcast.
+BLOCK, BLOCKS, PART, STRETCH, SHARED, FEW = 16, 1 << 20, 1 << 13, 64, 1 << 20, 1 << 14
 UNKNOWN = "unknown"
 
 
-def whole(weights: dict[str, float], period: int = 0) -> dict[str, int]:
-    """Whole numbers in the very ratio of the weights; with a `period`, shares of at most so many slots (at least 1 for each), largest remainders first."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if not weights:
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the very ratio of the weights."""
+    ratio = {s: Fraction(str(w)) for s, w in weights.items() if w > 0}
+    if not ratio:
         return {}
-    if period:
-        period = max(period, len(weights))
-        total, spare = sum(weights.values()), period - len(weights)
-        exact = {s: spare * w / total for s, w in weights.items()}
-        share = {s: 1 + int(x) for s, x in exact.items()}
-        for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(share.values())]:
-            share[s] += 1
-    else:
-        ratio = {s: Fraction(str(w)) for s, w in weights.items()}
-        unit = lcm(*(x.denominator for x in ratio.values()))
-        share = {s: int(x * unit) for s, x in ratio.items()}
+    unit = lcm(*(x.denominator for x in ratio.values()))
+    share = {s: int(x * unit) for s, x in ratio.items()}
     by = reduce(gcd, share.values())
     return {s: n // by for s, n in share.items()}
 
@@ -113,7 +108,7 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, arr
     return first | _edf(rest, dict.fromkeys(rest, 1), sum(blocks[s] for s in shares))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], block: int | None = None, source: str = "source", key: str = "doc_id") -> DataFrame:
     """All columns of `docs` and `mix_block`, `mix_slot` and `mix_row`: a row's block in its source, the block's slot and the row's place in it.
 
     Slots rise over the whole mix without gaps. The order of the mix is by slot and then row. Columns
@@ -122,16 +117,19 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK, source:
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")]
     # The rows' own columns travel in one, so none can clash with those of the plan.
-    rows = docs.select(F.struct(*kept).alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("_source"), F.xxhash64(*kept).alias("_hash"))
-    rows = rows.withColumn("_part", F.pmod("_hash", F.lit(BUCKETS)))
+    rows = docs.select(F.struct(*quoted(kept)).alias("_row"), F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("_source"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("_source").count().collect()}  # as the weights, a row a source
+    many = max(1, -(-max(sizes.values(), default=0) // PART))
+    block = block or max(BLOCK, -(-sum(sizes.values()) // BLOCKS))
+    bits = F.conv(F.substring(F.md5(F.col("_key").cast("binary")), 1, 13), 16, 10).cast("long")
+    rows = rows.withColumn("_hash", bits).withColumn("_part", F.floor(F.col("_hash") / 2**52 * many).cast("int"))
     parts = rows.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
     begins = parts.withColumn("_begin", F.sum("_n").over(W.partitionBy("_source").orderBy("_part")) - F.col("_n")).drop("_n")
-    sizes = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("_n")).collect()}
-    if len(sizes) <= FEW:
-        begins = F.broadcast(begins)  # BUCKETS rows a source
+    if len(sizes) * many <= FEW:
+        begins = F.broadcast(begins)  # `many` rows a source at most
     plan = schedule({s: -(-n // block) for s, n in sizes.items()}, weights)
-    inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", *([F.col("_row")[key]] if key in kept else []))) - 1
-    placed = rows.join(begins, ["_source", "_part"]).withColumn("_at", F.col("_begin") + inside)
+    inside = F.row_number().over(W.partitionBy("_source", "_part").orderBy("_hash", "_key")) - 1
+    placed = rows.withColumn("_inside", inside).join(begins, ["_source", "_part"]).withColumn("_at", F.col("_begin") + F.col("_inside"))
     placed = placed.withColumns({"mix_block": F.floor(F.col("_at") / block).cast("long"), "mix_row": (F.col("_at") % block).cast("int")})
     slots = _plan(spark, plan)
     if sum(map(len, plan.values())) <= SHARED:
@@ -152,13 +150,34 @@ def _plan(spark: SparkSession, plan: dict[str, array]) -> DataFrame:
     return spark.createDataFrame(pa.table(columns, ["_source", "_stretch", "_slots"]), "_source string, _stretch long, _slots array<long>")
 
 
-def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, float]:
-    """Target weights by the rows of each source to a power: small sources get more than their share."""
+def tempered(docs: DataFrame, power: float = 0.5, source: str = "source") -> dict[str, int]:
+    """Target weights by the rows of each source to a power, in whole thousandths: small sources get more than their share."""
     sizes = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit(UNKNOWN)).alias("s")).count().collect()
-    return {r[0]: float(r[1]) ** power for r in sizes}
+    return {r[0]: round(1000 * float(r[1]) ** power) for r in sizes}
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, mix_block, mix_slot, mix_row for every document, at weights by the square root of the sources' sizes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n_bytes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs, tempered(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_row")
+
+
+#: place(i, k) = sum over j of min(n_j, w_j k / w_i) is where the flow has given source i its first k blocks; then EDF, slot by slot.
+OP4_SQL = """
+WITH RECURSIVE rows_ AS (SELECT doc_id, source, coalesce(source, 'unknown') AS s, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS h FROM documents),
+size AS (SELECT greatest(16, CAST(ceil(count(*) / 1048576) AS BIGINT)) AS block FROM documents),
+placed AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY h, CAST(doc_id AS VARCHAR)) - 1 AS at FROM rows_),
+sources AS (SELECT s, CAST(ceil(count(*) / any_value(block)) AS HUGEINT) AS n, CAST(round(1000 * sqrt(count(*))) AS HUGEINT) AS w FROM placed, size GROUP BY s),
+named AS (SELECT *, row_number() OVER (ORDER BY n / w, s) AS i FROM sources),
+marks AS (SELECT i, w, n, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM named),
+place AS (SELECT m.i, m.k, m.n, any_value(m.w) AS w, sum(least(j.n * m.w, j.w * m.k)) AS x FROM marks m, named j GROUP BY 1, 2, 3),
+edges AS (SELECT a.i, a.k, CAST(a.x // a.w AS BIGINT) AS release, CAST((b.x + b.w - 1) // b.w AS BIGINT) AS due FROM place a JOIN place b ON a.i = b.i AND b.k = a.k + 1),
+f AS (
+  SELECT CAST(0 AS BIGINT) AS t, i, CAST(0 AS BIGINT) AS had, FALSE AS went FROM named
+  UNION ALL
+  SELECT t + 1, i, had + CASE WHEN nth = 1 THEN 1 ELSE 0 END, nth = 1 FROM (
+    SELECT f.t, f.i, f.had, row_number() OVER (ORDER BY CASE WHEN e.release <= f.t THEN 0 ELSE 1 END, e.due, f.i) AS nth
+    FROM f LEFT JOIN edges e ON e.i = f.i AND e.k = f.had WHERE f.t < (SELECT sum(n) FROM named)))
+SELECT p.doc_id, p.source, p.at // z.block AS mix_block, f.t - 1 AS mix_slot, CAST(p.at % z.block AS INTEGER) AS mix_row
+FROM placed p, size z JOIN named n ON n.s = p.s JOIN f ON f.i = n.i AND f.went AND f.had - 1 = p.at // z.block
+"""

@@ -27,5 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_near_duplicates": neardup.OP3_SQL,
+        "op4_mixing": mixing.OP4_SQL,
+        "op5_shards": shard.OP5_SQL,
         "op7_topk": topk.OP7_SQL,
     }
