@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, langid, neardup, pii, quality, textbuf, tokencount, vocab
 
@@ -60,6 +61,22 @@ def test_token_counts_are_the_librarys(texts):
     assert got == [len(vocab.tokenizer(path).encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_token_counts_of_whole_tables(spark, monkeypatch):
+    """The query against the library, text by text; also with a small table and cache."""
+    from tests.conftest import SMALL
+
+    lib = vocab.tokenizer(vocab.public(tokencount.VOCABULARY))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    want = {i: (len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in texts.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in tokencount.op2_token_counts(spark, SMALL).collect()} == want
+    assert all(r.over_limit == (r.n_tokens > 2048) for r in tokencount.op2_token_counts(spark, SMALL).collect())
+    monkeypatch.setattr(tokencount, "CACHED", 2000)
+    tiers = tokencount.Counts(tokencount.Table(["the", "of"], [1, 1]), vocab.public(tokencount.VOCABULARY))
+    for i, t in texts.items():
+        assert tiers.count([t]) == [want[i][1]]
+    assert len(tiers.known) <= 2 + 2000 + max(len(set(t.split())) for t in texts.values())
+
+
 def test_token_counts_of_odd_texts():
     path = vocab.public(tokencount.VOCABULARY)
     texts = mixed(4, ALPHABET, 400, 50)
@@ -215,7 +232,7 @@ def brute(rows, width, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"NODE": 8, "ROOM": 1500, "DEPTH": 2}])
+@pytest.mark.parametrize("limits", [{}, {"NODE": 8, "ROOM": 1500, "DEPTH": 2}, {"NODE": 4, "ROOM": 300, "DEPTH": 1, "FEW": 1, "HELD": 10}])
 def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, limits):
     """Also with nodes and rooms so small that branching, blocks and rooms of several blocks are needed."""
     for k, v in limits.items():
@@ -237,6 +254,60 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, limits):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
 
 
+def test_recall_on_a_large_node(spark):
+    """At the constants of production: 2,600 texts of one shape, in 650 groups of four whose members are at 0.85 or a little more from each other."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common, rows, pairs = [word() for _ in range(170)], [], []
+    for group in range(650):
+        own = [word() for _ in range(30)]  # the common part alone makes any two of them alike at about 0.72
+        for k in range(4):
+            rows.append((4 * group + k, " ".join([*common, *own, *(word() for _ in range(14 if k else 0))])))
+        pairs += [(4 * group, 4 * group + k) for k in (1, 2, 3)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()}
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    linked = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(linked) == 1950 and all(100 * len(sets[0] & sets[4 * k]) < 85 * len(sets[0] | sets[4 * k]) for k in range(1, 50))
+    found = np.mean([got[a] == got[b] for a, b in linked])
+    assert found >= 0.999 and all(c % 4 == 0 for c in got.values()) and len(set(got.values())) >= 650
+
+
+def test_large_families_meet_representatives_first(spark, monkeypatch):
+    """3,000 near copies of a text: each is read for a few rooms, not for one of every pair of blocks."""
+    monkeypatch.setattr(neardup, "ROOM", 1 << 13)
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join([*base, word()])) for i in range(3000)]
+    seen, rooms = [], neardup._in_rooms
+
+    def counted(given, limit, room, payload):
+        seen.append(given.agg(F.max("blocks")).first()[0])
+        return rooms(given, limit, room, payload)
+
+    seen_rows = spark.sparkContext.accumulator(0)
+    inner = neardup._linked
+
+    def linked(width, percent):
+        f = inner(width, percent)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    seen_rows.add(batch.num_rows)
+                    yield batch
+
+            return f(each())
+
+        return run
+
+    monkeypatch.setattr(neardup, "_in_rooms", counted)
+    monkeypatch.setattr(neardup, "_linked", linked)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r.component_id for r in got} == {0} and max(seen) > 15
+    assert seen_rows.value < 3 * len(rows)
+
+
 def test_learnt_models_on_held_out_rows(spark):
     from tests.conftest import SMALL
 
@@ -330,3 +401,65 @@ def test_components(spark, seed):
         to[max(x, y)] = min(x, y)
     got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: root(v) for v in to if root(v) != v}
+
+
+def test_trees_are_walked_as_defined():
+    """Scores against a walk of each tree for each row by itself."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0.2).astype(float)
+    forest = quality.boost(x, y)
+    for row, got in zip(x, forest.score(x), strict=True):
+        total = forest.prior
+        for t in range(quality.TREES):
+            node = 0
+            while node < 2**quality.DEPTH - 1:
+                node = 2 * node + (2 if row[forest.feature[t, node]] > forest.threshold[t, node] else 1)
+            total += forest.leaf[t, node - 2**quality.DEPTH + 1]
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
+    assert np.mean((forest.score(x) > 0.5) == y) > 0.95
+
+
+def test_the_first_split_has_the_largest_gain():
+    """The root of the first tree, and its leaves' values, by trying every cut of every feature."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 20, (250, 4)).astype(np.float32)  # fewer values than bins, so every cut is tried
+    y = ((x[:, 2] > 7) ^ (rng.random(250) < 0.1)).astype(float)
+    forest = quality.boost(x, y)
+    p = np.clip(y.mean(), 0.02, 0.98)
+    g, h = p - y, np.full(250, p * (1 - p))
+
+    def part(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + quality.LAMBDA)
+
+    gains = {(f, c): part(x[:, f] <= c) + part(x[:, f] > c) - part(np.ones(250, bool)) for f in range(4) for c in np.unique(x[:, f])[:-1] if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= 1}
+    best = max(gains, key=gains.get)
+    assert (forest.feature[0, 0], forest.threshold[0, 0]) == best
+    node = np.zeros(250, int)
+    for _ in range(quality.DEPTH):
+        node = 2 * node + 1 + (x[np.arange(250), forest.feature[0][node]] > forest.threshold[0][node])
+    for leaf in np.unique(node):
+        rows = node == leaf
+        assert abs(forest.leaf[0, leaf - 2**quality.DEPTH + 1] + quality.RATE * g[rows].sum() / (h[rows].sum() + quality.LAMBDA)) < 1e-12
+
+
+def test_statistics_against_plain_counting():
+    texts = ["", "One two two. THREE!", *mixed(5, ["Ab ", "c", "12 ", "! ", "é", "\n", "word ", "word word "], 30, 40)]
+    col = pa.array(texts, pa.string())
+    got = quality.features(*textbuf.view(col, 0, len(texts)))
+    for text, row in zip(texts, got, strict=True):
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        assert abs(row[0] - np.log1p(len(text.encode()))) < 1e-5 and abs(row[1] - np.log1p(len(words))) < 1e-5
+        lower = [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in words]
+        some = max(len(words), 1)
+        at = 2 + quality._CLASSES - 1 + 1  # after the sizes, the classes and the share of capitals
+        assert abs(row[at] - sum(len(w.encode()) for w in words) / some) < 1e-4
+        assert abs(row[at + 2] - len(set(lower)) / some) < 1e-6
+        assert abs(row[at + 3] - max([lower.count(w) for w in lower], default=0) / some) < 1e-6
+
+
+def test_an_id_with_any_number_of_rows_teaches_within_the_bound(spark):
+    docs = spark.range(500).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    forest = quality.fit(docs, labels, max_rows=20)
+    assert len(forest.leaf) == quality.TREES

@@ -9,14 +9,17 @@ a place is cut where the hash fires, and those joins are repaired: the text from
 pre-token before the join is encoded again until its splits agree with those after the join.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; strings of special
-tokens in a text become those tokens, as the library does by default; repeated rows each get a
-row. Caches are bounded (CHUNKS, PIECES) and only change the speed.
+tokens in a text become those tokens, as the library does by default; repeated rows and rows with a
+null id each get a row; texts of any length are encoded whole; an empty table gives no rows. `encode`
+carries columns of any name but for the one that it adds, which is replaced; `digests` reads doc_id
+and text alone. Caches are bounded (CHUNKS, PIECES; the older half goes) and only change the speed.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidelog.llm import textbuf, vocab
-from tidelog.llm.tables import table
+from tidelog.llm.tables import quoted, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes under the rolling hash; one joint in 2**RARE is a cut; entries in the caches; bytes of a piece that is cut further, and of one that is cached.
@@ -62,6 +65,13 @@ def fires(data: np.ndarray, at: np.ndarray, low: np.ndarray, rare: int) -> np.nd
     return far & ((key & _U(2**rare - 1)) == 0)
 
 
+def _room(cache: dict, most: int) -> None:
+    """The older half of a full cache goes."""
+    if len(cache) >= most:
+        for key in list(itertools.islice(cache, most - most // 2)):
+            del cache[key]
+
+
 class Coder:
     """Encodes texts of a worker; what it has encoded it knows."""
 
@@ -97,8 +107,7 @@ class Coder:
             long = len(raw) > LONG_PIECE and not any(s in raw for s in self.special)
             found = self._entry(self.repaired(raw) if long else self.ids(raw.decode()))
             if len(raw) <= SHORT:
-                if len(self.pieces) >= PIECES:
-                    self.pieces.clear()
+                _room(self.pieces, PIECES)
                 self.pieces[raw] = found
         return found
 
@@ -141,8 +150,7 @@ class Coder:
 
     def _keep(self, key: bytes, entry: tuple[bytes, bytes]) -> None:
         if len(key) <= LONG_PIECE:
-            if len(self.chunks) >= CHUNKS:
-                self.chunks.clear()
+            _room(self.chunks, CHUNKS)
             self.chunks[key] = entry
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
@@ -180,10 +188,10 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, int, int, list[tuple[bytes, bytes]]]]:
+def _runs(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, list[tuple[bytes, bytes]]]]:
     own = coder(path)
     for batch in batches:
-        col = textbuf.texts(batch)
+        col = textbuf.texts(batch, text)
         for a, b in textbuf.slices(col):
             yield batch, a, b, list(own.encode(*textbuf.view(col, a, b)))
 
@@ -191,16 +199,17 @@ def _runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Rec
 def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """All columns of `docs` and the ids of `text` as an array (a column called so is replaced)."""
     kept = [c for c in docs.columns if c != ids]
+    names = [f"c{i}" for i in range(len(kept))]  # by place, so that any name will do
+    plain, text = docs.select(*quoted(kept)).toDF(*names), f"c{kept.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, got in _runs(batches, path):
+        for batch, a, b, got in _runs(batches, path, text):
             values = [np.fromstring(x.decode(), np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in got]
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), lists], [*kept, ids])
+            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], [*names, "ids"])
 
-    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType())))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])).toDF(*kept, ids)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -6,16 +6,22 @@ branches by BRANCHES of them, so two vertices of similarity J part in all roots
 (1 - J) ** (TREES * BRANCHES): 3e-7 at J = 0.85. A node that holds one vertex ends; a node of at most
 NODE vertices is compared exhaustively by the sketches of its vertices; a larger one branches again
 by BRANCHES further tokens that its path chooses, DEPTH times at most, and what is larger even then
-is compared exhaustively in blocks, so no vertex is left out whatever a node's size.
+is compared in rooms, so no vertex is left out whatever a node's size.
 
 Vertices whose sketches agree well enough form families (components). Each family's texts are
-brought together once and compared in full, in rooms of about ROOM shingles (all pairs of blocks, if
-a family has more). Links are confirmed on the full sets, and their components are the result.
+brought together once and compared in full, in rooms of about ROOM shingles. Links are confirmed on
+the full sets, and their components are the result.
+
+Where a node or a family has more than one room, each block of it first meets itself and a few
+representatives of the whole. That connects near copies of one text, however many there are. Only
+those that are then not connected with the greater part of it meet every block, which is exact: a
+pair that isn't compared is of two that are connected already.
 
 Defined results: a null text or one without words has the empty set, is linked with nothing and is
-its own component; a text of fewer words than a shingle has one shingle, its words; repeated rows
-are equal sets; rows with a null id take part, and a component of such rows alone has a null id; a
-row is kept if its id is its component's. Other columns are not read.
+its own component; a text of fewer words than a shingle has one shingle, its words; texts of any
+length are read whole; repeated rows are equal sets; rows with a null id take part, and a component of
+such rows alone has a null id; a row is kept if its id is its component's; an empty table gives no
+rows. `near_duplicates` reads doc_id and text alone; `deduplicated` carries columns of any name.
 """
 
 from __future__ import annotations
@@ -27,14 +33,15 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.llm import textbuf
 from tidelog.llm.components import components
-from tidelog.llm.tables import settle, table
+from tidelog.llm.tables import quoted, settle, table
 
-TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 20
+TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 1024, 4, 1 << 20
+#: Representatives of a node or family that has several rooms; vertices of which a task remembers to what they are connected.
+FEW, HELD = 4, 1 << 18
 #: Standard deviations below the threshold down to which sketches count as alike; bits of the filter of texts.
 SIGMAS, FILTER = 4.2, 1 << 24
 
@@ -132,13 +139,41 @@ def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1), batch.column(2)], ["node", "vid", "sketch"])
 
 
+class Forest:
+    """Edges of a task, kept as one to the least vertex that a vertex is connected with."""
+
+    def __init__(self) -> None:
+        self.to: dict[bytes, bytes] = {}
+
+    def least(self, v: bytes) -> bytes:
+        path, to = [], self.to
+        while (up := to.setdefault(v, v)) != v:
+            path.append(v)
+            v = up
+        for x in path:
+            to[x] = v
+        return v
+
+    def add(self, a: bytes, b: bytes) -> None:
+        a, b = self.least(a), self.least(b)
+        if a != b:
+            self.to[max(a, b)] = min(a, b)
+
+    def edges(self) -> pa.RecordBatch:
+        found = [(self.least(v), v) for v in list(self.to)]
+        found = [e for e in found if e[0] != e[1]]
+        self.to = {}
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+
 def _alike(least: float):
     """Edges that connect the vertices of each node whose sketches agree in `least` of the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes]] = []
+        forest = Forest()
 
-        def edges(rows: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        def connect(rows: list[tuple[int, bytes, bytes]]) -> None:
             for _, same in groupby(rows, key=lambda r: r[0]):
                 group = list(same)
                 if len(group) < 2:
@@ -152,27 +187,61 @@ def _alike(least: float):
                     i = queue.pop()
                     near = (x[left] == x[i]).sum(1) >= least * PLACES
                     for j in left[near].tolist():
-                        yield group[i][1], group[j][1]
+                        forest.add(group[i][1], group[j][1])
                     queue += left[near].tolist()
                     left = left[~near]
 
-        def table_(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-            found = list(edges(rows))
-            return pa.RecordBatch.from_arrays([pa.array([min(e) for e in found], pa.binary()), pa.array([max(e) for e in found], pa.binary())], ["a", "b"])
-
         for batch in batches:
             held += zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             if held:
                 cut = len(held) - 1
                 while cut and held[cut - 1][0] == held[-1][0]:
                     cut -= 1
-                yield table_(held[:cut])
+                connect(held[:cut])
                 held = held[cut:]
-        yield table_(held)
+            if len(forest.to) > HELD:
+                yield forest.edges()
+        connect(held)
+        yield forest.edges()
 
     return run
 
 
+def _in_rooms(rows: DataFrame, limit: int, room, payload: list[str]) -> DataFrame:
+    """(a, b): edges that connect what `room` finds connected in each group of `rows` (group, vid, n, blocks and `payload`).
+
+    `room` is given (group, i, j, vid and payload), dealt by the first three.
+    """
+    shown = ["group", "i", "j", "vid", *payload]
+    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    zero = F.lit(0).cast("int")
+
+    def met(each: DataFrame) -> DataFrame:
+        return each.select(*shown).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(room, "a binary, b binary")
+
+    small, large = rows.where("blocks = 1"), rows.where("blocks > 1")
+    first = small.withColumns({"i": zero, "j": zero})
+    if large.isEmpty():
+        return met(first)
+    part = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(FEW))
+    some = settle(large.groupBy("group", part).agg(F.min("vid").alias("vid")).select("group", "vid", F.lit(True).alias("some")))
+    every = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
+    second = large.join(some, ["group", "vid"], "left").withColumn("i", F.explode(F.when(F.col("some"), every).otherwise(F.array(own)))).withColumn("j", zero)
+    edges = settle(met(first.select(*shown).union(second.select(*shown))))
+    label = components(edges).select(F.col("a").alias("vid"), F.col("b").alias("label"))
+    labels = settle(large.select("group", "vid", "n").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid")))
+    sizes = labels.groupBy("group", "label").agg(F.count("*").alias("size"))
+    greatest = settle(sizes.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("greatest")))
+    rest = settle(labels.join(greatest, "group").where(F.col("label") != F.col("greatest")).select("group", "vid", "n"))
+    if rest.isEmpty():
+        return edges
+    parts = settle(rest.groupBy("group").agg(F.ceil(F.sum("n") / limit).alias("parts")))
+    alone = large.join(rest.select("group", "vid"), ["group", "vid"], "left_semi").join(parts, "group")
+    alone = alone.withColumns({"i": F.pmod(F.xxhash64("vid", F.lit(9)), F.col("parts")).cast("int"), "j": F.explode(every)})
+    whole = large.join(parts, "group").withColumns({"j": own, "i": F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))})
+    return edges.union(met(alone.select(*shown).union(whole.select(*shown))))
+
+
 def _families(points: DataFrame, least: float) -> DataFrame:
     """(a, b): vertices with the least vertex of their family; single ones and the least are left out."""
     sketches = points.select("vid", "sketch")
@@ -183,7 +252,7 @@ def _families(points: DataFrame, least: float) -> DataFrame:
         return rows.join(settle(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)), "node")
 
     nodes = settle(counted(paths).join(sketches, "vid").select("node", "vid", "sketch", "size"))
-    found = [nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch")]
+    found, rest = [nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch")], None
     for _ in range(DEPTH):
         large = nodes.where(F.col("size") > NODE)
         if large.isEmpty():
@@ -191,21 +260,19 @@ def _families(points: DataFrame, least: float) -> DataFrame:
         nodes = settle(counted(settle(large.select("node", "vid", "sketch").mapInArrow(_branched, "node long, vid binary, sketch binary"))).select("node", "vid", "sketch", "size"))
         found.append(nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch"))
     else:
-        blocks = F.ceil(F.col("size") / (NODE // 2))
-        rest = _rooms(nodes.where(F.col("size") > NODE).withColumn("blocks", blocks))
-        found.append(rest.select(F.xxhash64("node", "i", "j").alias("node"), "vid", "sketch"))
+        rest = nodes.where(F.col("size") > NODE)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    dealt = every.repartition("node").sortWithinPartitions("node")
-    return components(dealt.mapInArrow(_alike(least), "a binary, b binary"))
+    edges = every.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(least), "a binary, b binary")
+    if rest is not None:
+        blocks = F.ceil(F.col("size") / (NODE // 2))
 
+        def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _alike(least)(pa.RecordBatch.from_arrays([pa.array(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), b.column(3), b.column(4)], ["node", "vid", "sketch"]) for b in batches)
 
-def _rooms(rows: DataFrame) -> DataFrame:
-    """Each row once for every pair (i, j), i <= j, of blocks that its own block is in."""
-    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
-    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    return each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("own", "other")
+        edges = edges.union(_in_rooms(rest.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch"), NODE // 2, room, ["sketch"]))
+    return components(edges)
 
 
 def _linked(width: int, percent: int):
@@ -241,22 +308,28 @@ def _linked(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[tuple, tuple[bytes, np.ndarray]]] = []
 
-        def out() -> pa.RecordBatch:
-            found = list(solve([x for _, x in held])) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([min(e) for e in found], pa.binary()), pa.array([max(e) for e in found], pa.binary())], ["a", "b"])
+        forest = Forest()
+
+        def connect() -> None:
+            if len(held) > 1:
+                for a, b in solve([x for _, x in held]):
+                    forest.add(a, b)
 
         for batch in batches:
-            rooms = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
-            vids = batch.column(4).to_pylist()
+            rooms = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            vids = batch.column(3).to_pylist()
             col = textbuf.texts(batch)
             for a, b in textbuf.slices(col):
                 keys, begin = shingles(*textbuf.view(col, a, b), width)
                 for k in range(a, b):
                     if held and held[0][0] != rooms[k]:
-                        yield out()
+                        connect()
                         held = []
+                        if len(forest.to) > HELD:
+                            yield forest.edges()
                     held.append((rooms[k], (vids[k], np.unique(keys[begin[k - a] : begin[k - a + 1]]))))
-        yield out()
+        connect()
+        yield forest.edges()
 
     return run
 
@@ -295,9 +368,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = settle(members.groupBy("family").agg(F.ceil(F.sum("n") / ROOM).alias("blocks")))
     texts = _wanted(docs, members)
     id_ = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    brought = texts.withColumn("id", id_).join(members.select("vid", "family", "id", "text_key"), ["id", "text_key"]).join(blocks, "family").select("text", "family", "vid", "blocks")
-    rooms = _rooms(brought).select("text", "family", "i", "j", "vid").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    links = rooms.mapInArrow(_linked(width, percent), "a binary, b binary")
+    brought = texts.withColumn("id", id_).join(members.select("vid", "n", "family", "id", "text_key"), ["id", "text_key"]).join(blocks, "family").select(F.col("family").alias("group"), "vid", "n", "blocks", "text")
+    links = _in_rooms(brought, ROOM, _linked(width, percent), ["text"])
     labels = components(links)
     label = labels.select(F.col("a").alias("vid"), F.col("b").alias("label"))
     ids = points.select("vid", "of").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
@@ -315,11 +387,12 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     kept = found["doc_id"].eqNullSafe(found["component_id"]) & (found["text_key"] == found["first_key"])
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     gone = found.where(~kept).select(id_.alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), id_.alias("_id"), F.xxhash64("text").alias("_key")).join(gone, ["_id", "_key"], "left_anti")
-    # What is left of a component is one row and others equal to it.
-    nth = F.row_number().over(W.partitionBy("_id", "_key").orderBy(F.lit(1)))
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("_row"), id_.alias("_id"), F.xxhash64("text").alias("_key"))
     empty = ~F.coalesce(F.col("_row")["text"], F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | empty).select("_row.*")
+    left = rows.where(~empty).join(gone, ["_id", "_key"], "left_anti")
+    # What is left of a component is one row and others with its id and text, of which any will do; they are reduced before they are dealt.
+    one = left.groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+    return one.select("_row.*").union(rows.where(empty).select("_row.*"))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

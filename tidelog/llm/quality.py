@@ -5,9 +5,11 @@ is decided by a hash of the id). `score` gives each document a score. Trees are
 trees held in flat arrays, walked for a whole batch at once.
 
 Defined results: a null or empty text has the statistics of an empty text and is scored like any
-other; repeated rows each get their score; an id with several labels counts with their rounded
-mean; null ids or labels teach nothing; with no labelled row at all every score is 0.5. Only
-`doc_id` and `text` are read, so other columns, whatever their names, play no part.
+other, a text of any length as a whole; repeated rows each get their score; an id with several
+labels counts with their rounded mean; null ids or labels teach nothing; of an id with several texts
+all teach, and of all labelled texts at most `max_rows` do, by a hash; with no labelled row at all every score is 0.5;
+an empty table gives no rows. Only `doc_id` and `text` are read, so other columns, whatever their
+names, play no part; `good` carries them all, `score` all but one called like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidelog.llm import textbuf
-from tidelog.llm.tables import held_out, table
+from tidelog.llm.tables import held_out, quoted, table
 
 #: At most so many labelled rows are gathered on the driver for fitting.
 MAX_ROWS = 20_000
@@ -145,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     known = known.groupBy("doc_id").agg(F.avg("quality").alias("y")).select("doc_id", (F.col("y") >= 0.5).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")  # max_rows ids at most
-    got = rows.mapInArrow(_feature_rows, "doc_id long, y int, x binary").toArrow()
+    made = rows.mapInArrow(_feature_rows, "doc_id long, y int, x binary")
+    got = made.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(max_rows).toArrow()  # an id may have any number of rows
     if not got.num_rows:
         return boost(np.zeros((0, 1)), np.zeros(0))
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(got.num_rows, -1)
@@ -154,21 +158,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     return boost(x[order], y[order])
 
 
+def _scores(batch: pa.RecordBatch, text: str, forest: Forest) -> np.ndarray:
+    col = textbuf.texts(batch, text)
+    return np.concatenate([np.zeros(0), *(forest.score(features(*textbuf.view(col, a, b))) for a, b in textbuf.slices(col))])
+
+
 def score(spark: SparkSession, docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
     """All columns of `docs` (any of them called `column` is replaced) and the score of `text`."""
     kept = [c for c in docs.columns if c != column]
+    names, text = [f"c{i}" for i in range(len(kept))], f"c{kept.index('text')}"  # by place, so that any name will do
     shared = spark.sparkContext.broadcast(forest)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = textbuf.texts(batch)
-            for a, b in textbuf.slices(col):
-                part = batch.slice(a, b - a)
-                got = shared.value.score(features(*textbuf.view(col, a, b)))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(got)], [*kept, column])
-
-    out = docs.select(*kept).schema.add(column, "double")
-    return docs.select(*kept).mapInArrow(scored, out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(batch, text, shared.value))], [*names, "score"])
+
+    plain = docs.select(*quoted(kept)).toDF(*names)
+    return plain.mapInArrow(scored, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*kept, column)
+
+
+def good(spark: SparkSession, docs: DataFrame, forest: Forest, least: float) -> DataFrame:
+    """The rows of `docs` whose text scores `least` or more."""
+    names, text = [f"c{i}" for i in range(len(docs.columns))], f"c{docs.columns.index('text')}"
+    shared = spark.sparkContext.broadcast(forest)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, text, shared.value) >= least))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

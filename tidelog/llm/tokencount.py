@@ -1,36 +1,43 @@
 """Token counts by a two-tier lookup of pre-token lengths, on the side of the map.
 
-Tier one is a compact hash table of the corpus's frequent pre-tokens, broadcast with a fixed bound
-of FREQUENT entries. Tier two is a bounded cache in each worker: pre-tokens that the table lacks
-are encoded by the library once and remembered. No pre-token is shuffled; only the bounded
-summaries from which the table is made are (PER_TASK entries a task at most). Whether a pre-token
-is in the table changes the speed, never a count.
+Tier one is a compact hash table of frequent pre-tokens, broadcast with a fixed bound of FREQUENT
+entries. It is made from a sample of SAMPLE documents at most (whole texts, chosen by a hash of the
+id), which LOADS tasks count; the driver merges their summaries. Tier two is a bounded cache in each
+worker, which lives on from task to task: pre-tokens that the table lacks are encoded by the library
+once and remembered; when it is full the older half goes. No pre-token is shuffled. Whether a
+pre-token is in the table or the cache changes the speed, never a count.
 
 A pre-token is here a maximal run without white space: the vocabulary's normaliser and splitter
 drop white space and never join across it, so a text has as many tokens as its runs together.
 Texts where that can't be relied on (special strings, control characters that Python alone takes
 for white space) go to the library whole.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get a row; a
-run longer than LONG characters is encoded each time and not cached.
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows and rows with a null id
+each get a row; texts of any length are counted whole; a run longer than LONG characters is encoded
+each time and not cached; an empty table gives no rows. Columns besides doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textbuf, vocab
-from tidelog.llm.tables import table
+from tidelog.llm.tables import sampled, table
 
 VOCABULARY = "word_bpe_49k.json"
-FREQUENT, PER_TASK, COUNTED, CACHED, LONG = 1 << 16, 1 << 14, 1 << 18, 1 << 19, 200
+#: Entries of the table; documents of the sample and tasks that count them; words counted in a task, at most; entries of the cache; characters of a run that is remembered.
+FREQUENT, SAMPLE, LOADS, COUNTED, CACHED, LONG = 1 << 16, 4096, 8, 1 << 18, 1 << 19, 200
 
 #: Characters that str.split() alone takes for white space, and the start of the special strings.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
@@ -60,14 +67,18 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(text.split())
             if len(seen) > 2 * COUNTED:
                 seen = Counter(dict(seen.most_common(COUNTED)))
-    top = [(w, n) for w, n in seen.most_common(PER_TASK) if len(w) <= LONG and not _ODD.search(w)]
+    top = [(w, n) for w, n in seen.most_common(FREQUENT) if len(w) <= LONG and not _ODD.search(w)]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "times"])
 
 
 def frequent(docs: DataFrame, path: str, size: int = FREQUENT) -> Table:
-    """The table for a corpus: every document is counted, `size` pre-tokens are kept."""
-    merged = docs.select("text").mapInArrow(_summaries, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    words = [r[0] for r in merged.orderBy(F.desc("times"), "word").limit(size).select("word").toLocalIterator()]
+    """The table for a corpus: the `size` most frequent pre-tokens of the sample."""
+    rows = sampled(docs.select("doc_id", "text"), SAMPLE, "text").repartition(LOADS)
+    got = rows.mapInArrow(_summaries, "word string, times long").toArrow()  # LOADS * FREQUENT rows at most
+    seen: Counter[str] = Counter()
+    for w, n in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        seen[w] += n
+    words = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
     return Table(words, [min(len(e.ids), 65535) for e in vocab.tokenizer(path).encode_batch(words, add_special_tokens=False)])
 
 
@@ -75,8 +86,8 @@ class Counts:
     """Both tiers in a worker."""
 
     def __init__(self, first: Table, path: str) -> None:
-        self.first, self.coder = first.load(), vocab.tokenizer(path)
-        self.known = dict(self.first)
+        self.known, self.coder = first.load(), vocab.tokenizer(path)  # the table's entries come first
+        self.first = len(self.known)
 
     def whole(self, text: str) -> int:
         return len(self.coder.encode(text, add_special_tokens=False).ids)
@@ -85,8 +96,9 @@ class Counts:
         runs = [None if _ODD.search(t) else t.split() for t in part]
         missing = set().union(*(r for r in runs if r)).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > FREQUENT + CACHED:
-                self.known = dict(self.first)
+            if len(self.known) + len(missing) > self.first + CACHED:
+                entries = list(self.known.items())
+                self.known = dict(entries[: self.first] + entries[self.first + CACHED // 2 :])  # the older half goes
                 missing = set().union(*(r for r in runs if r)).difference(self.known)
             words = list(missing)
             for i in range(0, len(words), 4096):
@@ -100,12 +112,31 @@ class Counts:
         return out
 
 
+_WORKER: dict[str, Counts] = {}
+
+
+def _tiers(shared, path: str) -> Counts:
+    """Both tiers for a broadcast table: one object in a worker, whatever tasks it runs."""
+    if shared.id not in _WORKER:
+        _WORKER.clear()
+        _WORKER[shared.id] = Counts(shared.table.value, path)
+    return _WORKER[shared.id]
+
+
+@dataclass
+class Shared:
+    """A broadcast table and its number among those of the application."""
+
+    id: str
+    table: Broadcast
+
+
 def count(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row of `docs`."""
-    shared = spark.sparkContext.broadcast(frequent(docs, path))
+    shared = Shared(uuid.uuid4().hex, spark.sparkContext.broadcast(frequent(docs, path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiers = Counts(shared.value, path)
+        tiers = _tiers(shared, path)
         for batch in batches:
             col = textbuf.texts(batch)
             for a, b in textbuf.slices(col):
