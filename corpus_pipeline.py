@@ -5,19 +5,24 @@ mixed to target weights (the rows are written in the order of the mix); texts be
 Stages keep the columns of `documents`, but for the last, which returns doc_id, source, lang,
 n_tokens, ids, and mix_file and mix_row: the place in the mix that the file and row read had.
 
-Every stage takes nulls, empty tables, repeated rows and further columns as its operator says.
+Every stage takes nulls, empty and very long texts, repeated rows, ties and empty tables as its operator
+says, and carries further columns of any name. The folders between the stages go when the application
+ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, mixing, neardup, pii, quality, vocab
-from tidelog.llm.tables import table
+from tidelog.llm.tables import quoted, table
 
 #: Documents that score below this go.
 LEAST_QUALITY = 0.5
@@ -26,7 +31,7 @@ LEAST_QUALITY = 0.5
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, doesn't reject."""
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(spark, docs, forest, "_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.good(spark, docs, forest, LEAST_QUALITY)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +46,10 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of a mix of the sources, at weights by the square root of their sizes."""
-    found = mixing.mix(docs, mixing.tempered(docs))
-    return found.repartitionByRange("mix_slot", "mix_row").sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns)
+    # The rows travel whole in one column, so that those of the mix clash with none.
+    rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), "source", "doc_id")
+    found = mixing.mix(rows, mixing.tempered(docs))
+    return found.repartitionByRange("mix_slot", "mix_row").sortWithinPartitions("mix_slot", "mix_row").select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +74,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _removed(spark: SparkSession, base: str) -> None:
+    """The folder of a run goes, if the application still runs."""
+    context = spark.sparkContext
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            path = context._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`; results between stages are in the folder that executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     base = f"{where.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, base)  # the result is read from it until then
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
