@@ -45,6 +45,10 @@ def test_circuit_breaker():
     calls = [(i, False) for i in range(5)] + [(10, True), (60_004, True), (60_005, True), (60_006, False)]
     after = [x[2] for x in run(fold.circuit_breaker(), calls)]
     assert after == ["CLOSED"] * 4 + ["OPEN", "OPEN", "HALF_OPEN", "CLOSED", "CLOSED"]
+    # Half open, the first failure opens again; after a success one more failure doesn't, and successes before an opening count.
+    calls = [(0, False), (1, False), (1001, False), (2001, True), (2002, False), (2003, False), (3003, True)]
+    after = [x[2] for x in run(fold.circuit_breaker(2, 1000, 2), calls)]
+    assert after == ["CLOSED", "OPEN", "OPEN", "HALF_OPEN", "HALF_OPEN", "OPEN", "CLOSED"]
 
 
 def test_token_bucket_keeps_the_rate():

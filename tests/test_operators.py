@@ -51,3 +51,59 @@ def test_isolation_depends_on_order(spark):
     topic = spark.createDataFrame([(0, 0, "t", None), (0, 1, "t", "ABORT"), (0, 2, "t", None), (0, 3, None, None)], "partition int, offset long, transaction_id string, marker string")
     assert sorted(r.offset for r in txn.read_committed(topic).collect()) == [0, 3]
     assert sorted(r.offset for r in txn.read_committed_lso(topic).collect()) == [3]
+
+
+def test_isolation_of_a_transaction_over_two_partitions(spark):
+    rows = [(0, 0, "t", None), (0, 1, "t", "ABORT"), (1, 0, "t", None), (1, 1, "u", None), (1, 2, "u", "COMMIT"), (1, 3, "u", None), (2, 0, "u", None), (2, 1, None, "ABORT"), (2, 2, None, None)]
+    topic = spark.createDataFrame(rows, "partition int, offset long, transaction_id string, marker string")
+    # The reader drains partition 0 first, so the marker hides what it reads of t in partition 1.
+    assert sorted((r.partition, r.offset) for r in txn.read_committed(topic).collect()) == [(0, 0), (1, 1), (1, 3), (2, 0), (2, 2)]
+    assert sorted((r.partition, r.offset) for r in txn.read_committed(topic, apart=True).collect()) == [(0, 0), (1, 0), (1, 1), (1, 3), (2, 0), (2, 2)]
+    assert sorted((r.partition, r.offset) for r in txn.read_committed_lso(topic).collect()) == [(1, 1), (2, 2)]
+
+
+def test_isolation_with_hardly_any_transaction(spark):
+    """99 of 100 records have none, and they are no single task's."""
+    rows = spark.range(50_000).select((F.col("id") % 2).cast("int").alias("partition"), F.floor(F.col("id") / 2).alias("offset"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("t"), (F.col("id") % 700).cast("string"))).alias("transaction_id"))
+    topic = rows.withColumn("marker", F.when((F.col("offset") % 500 == 0) & F.col("transaction_id").isNotNull(), "ABORT"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        shown = txn.read_committed(topic)
+        each = [r["count"] for r in shown.groupBy(F.spark_partition_id()).count().collect()]
+        assert shown.where("transaction_id IS NULL").count() == 49_500 and max(each) < 3 * sum(each) / 16
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+
+
+def test_ended_transactions_go_nowhere(spark):
+    steps = ["ONGOING", "PREPARE_COMMIT", "COMMITTED", "ONGOING", "PREPARE_ABORT", "ABORTED", "EMPTY"]
+    states = spark.createDataFrame([("t", i, s) for i, s in enumerate(steps)], "transaction_id string, seq long, state string")
+    assert sorted((r.before, r.state) for r in txn.illegal_steps(states).collect()) == [("ABORTED", "EMPTY"), ("COMMITTED", "ONGOING")]
+
+
+def test_sticky_assignment_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    for _ in range(4):
+        members, names = [f"m{i:02d}" for i in range(rng.randint(1, 12))], [f"t{i}" for i in range(rng.randint(1, 6))]
+        subs = sorted({(m, t) for m in members for t in names if rng.random() < 0.5} or {(members[0], names[0])})
+        counts = [(t, rng.randint(0, 9)) for t in names]
+        before = [(rng.choice(members), rng.choice(names), rng.randint(0, 9)) for _ in range(10)]
+        got = groups.sticky_assignment(spark.createDataFrame(subs, "member string, topic string"), spark.createDataFrame(counts, "topic string, partitions int"), spark.createDataFrame(before, "member string, topic string, partition int"))
+        known, of = sorted({m for m, _ in subs}), set(subs)
+        want, cursor = {}, 0
+        for t, n in sorted(counts):
+            for p in range(n):
+                owners = sorted(m for m, x, q in before if (x, q) == (t, p) and (m, t) in of)
+                if owners:
+                    want[t, p] = (owners[0], True)
+                    continue
+                turn = next((i for i in range(len(known)) if (known[(cursor + i) % len(known)], t) in of), None)
+                want[t, p] = (None if turn is None else known[(cursor + turn) % len(known)], False)
+                cursor = cursor if turn is None else (cursor + turn + 1) % len(known)
+        assert {(r.topic, r.partition): (r.member, r.kept) for r in got.collect()} == want

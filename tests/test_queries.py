@@ -46,22 +46,6 @@ def test_same_rows_as_sql(spark, duck, name):
         assert len(got)
 
 
-@pytest.mark.parametrize(
-    "name,part",
-    [("throttle_schedule", " WHERE user_id < 60"), ("circuit_breaker", " WHERE user_id < 60"), ("adaptive_fetch", " WHERE user_id < 40")],
-)
-def test_whole_tables(spark, tmp_path, name, part):
-    """`name`_all gives what the SQL gives without its filter, on events of users 0, 7, 14 and so on."""
-    duck, where = duckdb.connect(), f"{tmp_path}/events.parquet"
-    duck.sql(f"copy (select * replace (user_id * 7 as user_id) from '{SMALL}/events.parquet') to '{where}' (format parquet)")
-    duck.sql(f"create view events as select * from '{where}'")
-    sql = all_oracles()[name]
-    assert sql.count(part) == 1
-    want = duck.sql(sql.replace(part, "")).df()
-    got = entry.queries()[f"{name}_all"](spark, str(tmp_path)).toPandas()
-    assert rows(got) == rows(want) and len(got) == 1000 > len(duck.sql(sql).df())
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

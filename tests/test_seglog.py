@@ -68,3 +68,44 @@ def test_stream(spark, topic, tmp_path):
     q = stream.writeStream.format("memory").queryName("seglog_rows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("seglog_rows").count() == 1000
+
+
+def test_stream_reads_on_from_where_it_was(spark, tmp_path):
+    """Positions are bytes and offsets: what is appended is read once, also by a reader that starts again, and a torn frame waits."""
+    path = tmp_path / "topic" / "0"
+    path.mkdir(parents=True)
+    frame = [frames.pack(i, None, f"v{i}".encode()) for i in range(30)]
+    log = path / f"{0:020d}.log"
+    log.write_bytes(b"".join(frame[:10]) + frame[10][:7])
+    reader = seglog.StreamReader({"path": str(tmp_path / "topic")})
+    first = reader.latestOffset()
+    read = lambda a, b: [r[1] for p in seglog.StreamReader({"path": str(tmp_path / "topic")}).partitions(a, b) for r in reader.read(p)]
+    assert read(reader.initialOffset(), first) == list(range(10)) and first[str(log)] == [sum(map(len, frame[:10])), 10]
+    log.write_bytes(b"".join(frame[:20]))
+    (path / f"{20:020d}.log").write_bytes(b"".join(frame[20:]))
+    second = reader.latestOffset()
+    assert read(first, second) == list(range(10, 30)) and read(second, reader.latestOffset()) == []
+    assert seglog.StreamReader({"path": str(tmp_path / "topic")}).latestOffset() == second
+    late = seglog.StreamReader({"path": str(tmp_path / "topic"), "startingOffsets": "latest"})
+    assert read(late.initialOffset(), late.latestOffset()) == []
+
+
+def test_files_larger_than_a_block(tmp_path, monkeypatch):
+    monkeypatch.setattr(seglog, "BLOCK", 64)
+    path = tmp_path / "x.log"
+    values = [os.urandom(n) for n in (0, 1, 500, 63, 64, 65, 3000, 2)]
+    path.write_bytes(b"".join(frames.pack(i, b"k" * i, v) for i, v in enumerate(values)))
+    got = list(seglog.scan(seglog.Segment(str(path), 3, 100), True))
+    assert [(r[1], r[2], r[3], r[4]) for r in got] == [(100 + i, i, b"k" * i, v) for i, v in enumerate(values)]
+    path.write_bytes(path.read_bytes()[:-1])
+    got = list(seglog.scan(seglog.Segment(str(path), 3, 100), True))
+    assert len(got) == 8 and got[-1][6] == "the frame is cut off" and got[-1][7] == 26 + 7 + 2 - 1
+
+
+def test_a_partition_is_written_by_several_tasks(spark, tmp_path):
+    seglog.register(spark)
+    rows = spark.range(1000).select(F.lit(0).alias("partition"), F.col("id").alias("offset"), F.col("id").alias("timestamp"), F.lit(None).cast("string").alias("key"), F.col("id").cast("string").alias("value"))
+    seglog.write(rows, str(tmp_path / "t"), segment_records=64)
+    assert len(glob.glob(f"{tmp_path}/t/0/*.log")) == 16
+    back = spark.read.format("seglog").option("path", str(tmp_path / "t")).load().orderBy("offset").collect()
+    assert [(r.offset, r.value.decode()) for r in back] == [(i, str(i)) for i in range(1000)]

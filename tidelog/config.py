@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 import os
 from collections.abc import Mapping
 from typing import Any
@@ -24,6 +25,23 @@ class Config:
             if name.startswith(prefix):
                 self.set(name[len(prefix) :].lower().replace("__", "."), _read(text))
 
+    @classmethod
+    def from_file(cls, path: str, defaults: Mapping[str, Any] | None = None, environment: Mapping[str, str] | None = None, prefix: str = "TIDELOG_") -> Config:
+        """Settings of a JSON file, or of a YAML file where the library for that is installed."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("YAML files need the library yaml; JSON files don't") from e
+            given = yaml.safe_load(text)
+        else:
+            given = json.loads(text)
+        if not isinstance(given or {}, Mapping):
+            raise ValueError(f"{path} holds no mapping")
+        return cls(defaults or {}, given or {}, environment, prefix)
+
     def get(self, name: str, default: Any = None) -> Any:
         at: Any = self.values
         for part in name.split("."):

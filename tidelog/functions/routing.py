@@ -50,7 +50,8 @@ def sticky(key: Column, keyless: Column, n: int, run: int = 100) -> Column:
 
 
 def random(key: Column, number: Column, n: int, seed: int = 0) -> Column:
-    return F.floor(F.rand(seed) * n).cast("int")
+    """By the record's number and a seed, so that a task that runs again gives what it gave before."""
+    return md5_mod(F.concat(number.cast("string"), F.lit(f":{seed}")), n)
 
 
 PARTITIONERS: dict[str, Callable[..., Column]] = {"default": default, "key_hash": key_hash, "round_robin": round_robin, "random": random, "sticky": sticky}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidelog.functions.routing import md5_mod
+
 #: Bytes of a frame besides its key and value.
 FRAME = 26
 #: The estimated part of a value that a codec leaves, and phrases of errors worth another try.
@@ -35,8 +37,15 @@ def backoff_ms(base: Column, attempt: Column, most: int = 32000) -> Column:
     return F.least(base * F.pow(F.lit(2), attempt), F.lit(most)).cast("long")
 
 
-def retryable(message: Column) -> Column:
-    return F.coalesce(F.lower(message).rlike("|".join(RETRYABLE)), F.lit(False))
+def jittered_ms(base: Column, attempt: Column, number: Column, seed: int = 0, most: int = 32000, jitter: int = 20) -> Column:
+    """The wait and 0 to `jitter` ms by a number and a seed, so that a task that runs again waits as long."""
+    return backoff_ms(base, attempt, most) + md5_mod(F.concat(number.cast("string"), F.lit(f":{seed}")), jitter + 1)
+
+
+def retryable(message: Column, kind: Column | None = None) -> Column:
+    """By the kind of error if it is one of two (`RetryableError`, `NonRetryableError`), else by phrases of its message."""
+    by_phrase = F.coalesce(F.lower(message).rlike("|".join(RETRYABLE)), F.lit(False))
+    return by_phrase if kind is None else F.when(kind == "RetryableError", True).when(kind == "NonRetryableError", False).otherwise(by_phrase)
 
 
 def file_name(base_offset: Column, suffix: str = ".log") -> Column:
@@ -108,6 +117,7 @@ def eta(elapsed: Column, progress: Column) -> Column:
 
 
 def next_phase(phase: Column, ok: Column) -> Column:
+    # The phases in order.
     steps = ("PENDING", "ADDING_REPLICAS", "WAITING_CATCHUP", "REMOVING_REPLICAS", "COMPLETED")
     after = F.create_map(*(F.lit(x) for pair in zip(steps, steps[1:], strict=False) for x in pair))
     return F.when(phase.isin("COMPLETED", "FAILED", "CANCELLED"), phase).when(ok, F.element_at(after, phase)).otherwise("FAILED")

@@ -14,6 +14,11 @@ def placement(partition: Column, brokers: int, replicas: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)), lambda i: ((partition + i) % brokers).cast("int")))
 
 
+def live_placement(live: Column, replicas: Column) -> Column:
+    """The first live brokers, or none if there are too few of them; `live` is in order."""
+    return F.when(F.size(live) >= replicas, F.slice(live, F.lit(1), replicas)).otherwise(F.slice(live, 1, 0))
+
+
 def in_sync(replicas: DataFrame, most: int = 10) -> DataFrame:
     """Replica rows (partition, broker, leo, is_leader) with the leader's log end, the lag and whether each is in sync."""
     end = F.max(F.when(F.col("is_leader"), F.col("leo"))).over(W.partitionBy(*BY))

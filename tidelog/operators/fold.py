@@ -6,6 +6,7 @@ from one Arrow batch to the next, so memory does not grow with a key's records.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -73,6 +74,19 @@ def age_chunks(linger: int) -> tuple[tuple[int, int | None], Step]:
     return (0, None), step
 
 
+def rotation(limit: int, age: int) -> tuple[tuple[int, int, int | None], Step]:
+    """Segments that close before the first record that comes when they hold `limit` bytes or are `age` old. Values are (size, time)."""
+
+    def step(state: tuple[int, int, int | None], value: tuple) -> tuple[tuple[int, int, int | None], tuple]:
+        segment, filled, made = state
+        size, at = value
+        if made is not None and (filled >= limit or at - made >= age):
+            segment, filled, made = segment + 1, 0, None
+        return (segment, filled + size, at if made is None else made), (segment,)
+
+    return (0, 0, None), step
+
+
 def sparse_index(interval: int, index_first: bool = False) -> tuple[tuple[int, int], Step]:
     """Whether a record of a given frame size gets an index entry, and its position in the segment."""
 
@@ -131,36 +145,43 @@ def token_bucket(rate: int) -> tuple[tuple[int, int | None], Step]:
     return (0, None), step
 
 
-def circuit_breaker(failures: int = 5, pause: int = 60_000, successes: int = 2) -> tuple[tuple[str, int, int], Step]:
-    """The breaker's state before and after each (time in ms, succeeded), and whether the call was let through."""
+def circuit_breaker(failures: int = 5, pause: int = 60_000, successes: int = 2) -> tuple[tuple[str, int, int, int], Step]:
+    """The breaker's state before and after each (time in ms, succeeded), and whether the call was let through.
 
-    def step(state: tuple[str, int, int], value: tuple) -> tuple[tuple[str, int, int], tuple]:
-        name, count, opened = state
+    A success forgets the failures before it, so while half open one failure after a success doesn't open it again;
+    the successes counted while half open are kept when it does open.
+    """
+
+    def step(state: tuple[str, int, int, int], value: tuple) -> tuple[tuple[str, int, int, int], tuple]:
+        name, failed, went, last = state
         at, ok = value
-        if name == "OPEN" and at - opened >= pause:
-            name, count = "HALF_OPEN", 0
+        if name == "OPEN" and at - last >= pause:
+            name = "HALF_OPEN"
         before, let = name, name != "OPEN"
         if let and ok:
-            count = count + 1 if name == "HALF_OPEN" else 0
-            if name == "HALF_OPEN" and count >= successes:
-                name, count = "CLOSED", 0
+            failed = 0
+            went += name == "HALF_OPEN"
+            if name == "HALF_OPEN" and went >= successes:
+                name, went = "CLOSED", 0
         elif let:
-            count = count + 1 if name == "CLOSED" else failures
-            if count >= failures:
-                name, count, opened = "OPEN", 0, at
-        return (name, count, opened), (before, let, name)
+            failed, last = failed + 1, at
+            name = "OPEN" if failed >= failures else name
+        return (name, failed, went, last), (before, let, name)
 
-    return ("CLOSED", 0, 0), step
+    return ("CLOSED", 0, 0, 0), step
 
 
-def round_robin_cursor(subscriptions: dict[str, set[str]], members: list[str]) -> tuple[int, Step]:
-    """Who gets each topic's next partition: the first subscriber from the cursor on, which then moves past."""
+def shared_cursor() -> tuple[int, Step]:
+    """Where each topic's turn begins: the place among its subscribers of the first from the cursor on, which then moves past the last that got a partition.
+
+    Values are (numbers of the topic's subscribers among all members in order, partitions, members).
+    """
 
     def step(cursor: int, value: tuple) -> tuple[int, tuple]:
-        for i in range(len(members)):
-            member = members[(cursor + i) % len(members)]
-            if value[0] in subscriptions[member]:
-                return (cursor + i + 1) % len(members), (member,)
-        return cursor, (None,)
+        numbers, partitions, members = value
+        if not numbers or not partitions:
+            return cursor, (0,)
+        first = bisect_left(numbers, cursor) % len(numbers)
+        return (numbers[(first + partitions - 1) % len(numbers)] + 1) % members, (first,)
 
     return 0, step

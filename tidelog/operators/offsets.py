@@ -23,17 +23,26 @@ def active_groups(commits: DataFrame, now: int) -> DataFrame:
     return commits.where((F.col("expires") >= now) & F.col("committed").isNotNull()).select("group_id").distinct()
 
 
-def start_offsets(assigned: DataFrame, committed: DataFrame, ends: DataFrame, reset: str) -> DataFrame:
-    """Where each assigned partition starts: its commit, else by the reset strategy (earliest, latest, none)."""
+def deleted(commits: DataFrame, group: str) -> DataFrame:
+    """The commits and, for all partitions of a deleted group, an empty one behind them."""
+    of = commits.where(F.col("group_id") == group).groupBy("group_id", "topic_partition").agg(F.max("seq").alias("seq"), F.max("expires").alias("expires"))
+    return commits.select("group_id", "topic_partition", "committed", "expires", "seq").union(of.select("group_id", "topic_partition", F.lit(None).cast("long"), "expires", F.col("seq") + 1))
+
+
+def start_offsets(assigned: DataFrame, committed: DataFrame, ends: DataFrame, reset: str, report: bool = False) -> DataFrame:
+    """Where each assigned partition starts: its commit, else by the reset strategy (earliest, latest, none).
+
+    With `none` a partition without commit is an error; with `report` it has a null start and is called `error` instead.
+    """
     rows = assigned.join(committed, ["group_id", "topic_partition"], "left").join(ends, "topic_partition", "left")
     if reset not in ("earliest", "latest", "none"):
         raise ValueError(f"unknown reset strategy {reset!r}")
     other: Column = {
         "earliest": F.lit(0).cast("long"),
         "latest": F.coalesce(F.col("log_end"), F.lit(-1)).cast("long"),
-        "none": F.raise_error(F.lit("no committed offset")).cast("long"),
+        "none": F.lit(None).cast("long") if report else F.raise_error(F.lit("no committed offset")).cast("long"),
     }[reset]
-    how = F.when(F.col("committed").isNotNull(), "committed").otherwise(reset)
+    how = F.when(F.col("committed").isNotNull(), "committed").otherwise("error" if reset == "none" else reset)
     return rows.select("group_id", "topic_partition", F.coalesce("committed", other).alias("start"), how.alias("how"))
 
 

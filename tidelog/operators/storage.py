@@ -70,3 +70,27 @@ def floor_lookup(entries: DataFrame, probes: DataFrame, by: str) -> DataFrame:
 def index_differences(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Entries of a stored index that a rebuild doesn't have, and the other way round."""
     return stored.exceptAll(rebuilt).withColumn("side", F.lit("stored")).union(rebuilt.exceptAll(stored).withColumn("side", F.lit("rebuilt")))
+
+
+def index_truncated(entries: DataFrame, ends: DataFrame, by: str) -> DataFrame:
+    """Entries below where each log has been cut (`end`)."""
+    return entries.join(ends, by).where(F.col("offset") < F.col("end")).drop("end")
+
+
+def index_recovered(stored: DataFrame, rebuilt: DataFrame, by: str, looked_at: int = 10) -> DataFrame:
+    """Stored entries of the logs whose first `looked_at` are those of a rebuild, and rebuilt ones of the others; `kept` says which."""
+    nth = F.row_number().over(W.partitionBy(by).orderBy("offset"))
+    first = lambda x: x.select(by, "offset", "position", nth.alias("nth")).where(F.col("nth") <= looked_at)
+    both = first(stored).join(first(rebuilt).select(by, "nth", F.col("offset").alias("o"), F.col("position").alias("p"), F.lit(1).alias("has")), [by, "nth"], "left")
+    wrong = both.groupBy(by).agg(F.max(~((F.col("offset") == F.col("o")) & (F.col("position") == F.col("p")) & F.col("has").isNotNull())).alias("x"), F.count("*").alias("n"))
+    bad = wrong.where(F.coalesce("x", F.lit(True))).select(by)
+    known = stored.select(by).distinct()
+    kept = stored.join(bad, by, "left_anti").withColumn("kept", F.lit(True))
+    again = rebuilt.join(known.join(bad, by, "left_anti"), by, "left_anti").withColumn("kept", F.lit(False))
+    return kept.unionByName(again)
+
+
+def pruned(found: DataFrame, start: int) -> DataFrame:
+    """Segments that hold offset `start` or a later one: the next of the log begins after it, or there is none."""
+    following = F.lead("base_offset").over(W.partitionBy("partition").orderBy("base_offset"))
+    return found.withColumn("next_offset", following).where(F.col("next_offset").isNull() | (F.col("next_offset") > start))

@@ -12,26 +12,43 @@ FOLLOWS = {
     "ONGOING": ("PREPARE_COMMIT", "PREPARE_ABORT"),
     "PREPARE_COMMIT": ("COMMITTED",),
     "PREPARE_ABORT": ("ABORTED",),
-    "COMMITTED": ("EMPTY", "ONGOING"),
-    "ABORTED": ("EMPTY", "ONGOING"),
+    "COMMITTED": (),
+    "ABORTED": (),
 }
 
 
-def read_committed(topic: DataFrame) -> DataFrame:
-    """Without markers and without records whose transaction was aborted by an earlier marker; no transaction, never hidden."""
-    abort = F.when((F.col("marker") == "ABORT") & F.col("transaction_id").isNotNull(), 1)
-    order = W.partitionBy("partition", "transaction_id").orderBy("offset").rowsBetween(W.unboundedPreceding, -1)
-    hidden = F.col("transaction_id").isNotNull() & F.max(abort).over(order).isNotNull()
-    return topic.withColumn("_hidden", hidden).where(F.col("marker").isNull() & ~F.col("_hidden")).drop("_hidden")
+def _dealt() -> Column:
+    """The transaction, or for records without one a text that no transaction is called and that few records share."""
+    return F.coalesce(F.col("transaction_id"), F.concat(F.lit("\0"), (F.col("offset") % 65536).cast("string")))
+
+
+def read_committed(topic: DataFrame, apart: bool = False, markers: DataFrame | None = None) -> DataFrame:
+    """Without markers and without records whose transaction was aborted by an earlier marker; no transaction, never hidden.
+
+    A reader remembers aborted transactions over all partitions, which it drains in order, so earlier is before by
+    (partition, offset). With `apart` each partition has its own reader, and earlier is before in the same partition.
+    Markers are reduced to the first of each transaction before they meet the records; `markers` (partition, offset,
+    transaction_id, marker) says where they are, if not in `topic` (the log that `topic` was made from, say).
+    """
+    log = topic if markers is None else markers
+    place = F.struct("partition", "offset")
+    by = [_dealt().alias("_dealt"), *([F.col("partition").alias("_partition")] if apart else [])]
+    aborts = log.where((F.col("marker") == "ABORT") & F.col("transaction_id").isNotNull()).groupBy(*by).agg(F.min(place).alias("_abort"))
+    rows = topic.where(F.col("marker").isNull()).select("*", *by)
+    shown = rows.join(aborts, ["_dealt", *(["_partition"] if apart else [])], "left")
+    return shown.where(F.col("_abort").isNull() | (place < F.col("_abort"))).select(*topic.columns)
 
 
 def read_committed_lso(topic: DataFrame) -> DataFrame:
-    """Without markers, records of a transaction with any ABORT marker, and records after its last marker (still open)."""
-    by = W.partitionBy("partition", "transaction_id")
-    ends = F.max(F.when(F.col("marker").isNotNull(), F.col("offset"))).over(by)
-    aborted = F.max(F.when(F.col("marker") == "ABORT", 1)).over(by).isNotNull()
-    shown = F.col("transaction_id").isNull() | (~F.col("_aborted") & (F.col("offset") < F.col("_end")))
-    return topic.withColumns({"_end": ends, "_aborted": aborted}).where(F.col("marker").isNull() & F.coalesce(shown, F.lit(False))).drop("_end", "_aborted")
+    """Without markers, records of a transaction with an ABORT marker anywhere, and records after its last marker in their partition (still open)."""
+    marks = topic.where(F.col("marker").isNotNull() & F.col("transaction_id").isNotNull())
+    ends = marks.groupBy("partition", "transaction_id").agg(F.max("offset").alias("_end"), F.max(F.col("marker") == "ABORT").alias("_aborted"))
+    # One row for each partition of a transaction from here on.
+    over = ends.groupBy("transaction_id").agg(F.max("_aborted").alias("_aborted"), F.collect_list(F.struct("partition", "_end")).alias("_ends"))
+    ended = over.where(~F.col("_aborted")).select(F.col("transaction_id").alias("_dealt"), F.explode("_ends").alias("_x")).select("_dealt", F.col("_x.partition").alias("_partition"), F.col("_x._end").alias("_end"))
+    rows = topic.where(F.col("marker").isNull()).withColumn("_dealt", _dealt())
+    rows = rows.join(ended, (rows["_dealt"] == ended["_dealt"]) & (rows["partition"] == ended["_partition"]), "left").drop("_dealt", "_partition")
+    return rows.where(F.col("transaction_id").isNull() | (F.col("offset") < F.col("_end"))).drop("_end")
 
 
 def latest(states: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def replica_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("partition", *(F.col("r")[i].alias(n) for i, n in enumerate(("leader", "second", "third"))))
 
 
-def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = topics.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("partition")).agg(F.count("*").alias("leo"))
     each = ends.select("partition", "leo", F.posexplode(cluster.placement(F.col("partition"), 12, 3)).alias("i", "broker"))
     return each.select("partition", "broker", (F.col("i") == 0).alias("is_leader"), (F.col("leo") - F.col("i") * ((F.col("partition") * 7) % 9)).cast("long").alias("leo"))
@@ -26,12 +26,12 @@ def _replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("isr", f"WITH {REPLICAS} SELECT partition, broker, is_leader, leo, in_sync FROM rows_")
 def isr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
-    return cluster.in_sync(_replicas(spark, sf_dir)).select("partition", "broker", "is_leader", "leo", "in_sync")
+    return cluster.in_sync(replicas(spark, sf_dir)).select("partition", "broker", "is_leader", "leo", "in_sync")
 
 
 @query("replica_lag", f"WITH {REPLICAS} SELECT partition, broker, leader_leo, leo, lag FROM rows_ WHERE NOT is_leader")
 def replica_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.in_sync(_replicas(spark, sf_dir)).where("NOT is_leader").select("partition", "broker", "leader_leo", "leo", "lag")
+    return cluster.in_sync(replicas(spark, sf_dir)).where("NOT is_leader").select("partition", "broker", "leader_leo", "leo", "lag")
 
 
 _HIGH = f"WITH {REPLICAS}, hw AS (SELECT partition, min(leo) FILTER (in_sync) AS high_watermark, count(*) FILTER (in_sync) AS isr, count(*) AS replicas FROM rows_ GROUP BY 1)"
@@ -39,7 +39,7 @@ _HIGH = f"WITH {REPLICAS}, hw AS (SELECT partition, min(leo) FILTER (in_sync) AS
 
 @query("high_watermark", f"{_HIGH} SELECT * FROM hw")
 def high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.high_watermark(cluster.in_sync(_replicas(spark, sf_dir)))
+    return cluster.high_watermark(cluster.in_sync(replicas(spark, sf_dir)))
 
 
 @query("under_replicated", f"{_HIGH} SELECT partition, isr, replicas FROM hw WHERE isr < replicas")
@@ -61,7 +61,7 @@ def ack_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isr_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: replicas that last fetched more than 10 s ago go; when each fetched is made up from its numbers."""
     fetched = F.col("partition") * 1700 + F.col("broker") * 300
-    return _replicas(spark, sf_dir).select("partition", "broker", "leo", (F.col("is_leader") | ~scalar.replica_lagging(fetched, F.lit(20_000), 10_000)).alias("stays"))
+    return replicas(spark, sf_dir).select("partition", "broker", "leo", (F.col("is_leader") | ~scalar.replica_lagging(fetched, F.lit(20_000), 10_000)).alias("stays"))
 
 
 _STATE = "CASE s_suppkey % 5 WHEN 0 THEN 'STARTING' WHEN 4 THEN 'SHUTTING_DOWN' ELSE 'RUNNING' END"
@@ -89,6 +89,17 @@ def controller_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _live(spark, sf_dir).agg(F.min("broker").alias("controller"))
 
 
+@query("controller_placement", f"""WITH live AS (SELECT list(s_suppkey ORDER BY s_suppkey) AS l FROM supplier WHERE {_ALIVE}), a AS (SELECT unnest(range(12)) AS p, unnest([1, 2, 3, 5, 8, 100000, 1, 2, 3, 5, 8, 100000]) AS rf)
+SELECT CAST(p AS INTEGER) AS partition, CAST(rf AS INTEGER) AS replicas, CASE WHEN len(l) >= rf THEN array_to_string(l[1:rf], ',') ELSE '' END AS brokers FROM a, live""")
+def controller_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B13 as a controller does it: the first live brokers, or none where there are too few."""
+    live = _live(spark, sf_dir).agg(F.array_sort(F.collect_set("broker")).alias("live"))  # the brokers of a cluster
+    sizes = F.array(*map(F.lit, (1, 2, 3, 5, 8, 100_000)))
+    rows = spark.range(12).select(F.col("id").cast("int").alias("partition"), sizes[(F.col("id") % 6).cast("int")].alias("replicas")).join(F.broadcast(live))
+    placed = cluster.live_placement(F.col("live"), F.col("replicas"))
+    return rows.select("partition", "replicas", F.array_join(F.transform(placed, lambda b: b.cast("string")), ",").alias("brokers"))
+
+
 @query("leader_election", f"""WITH live AS (SELECT s_suppkey AS b FROM supplier WHERE {_ALIVE}), p AS (SELECT unnest(range(100)) AS p),
 r AS (SELECT p, (p + i) % 100 AS b, i FROM p, (SELECT unnest(range(3)) AS i)),
 c AS (SELECT p, arg_min(r.b, r.i) FILTER (live.b IS NOT NULL AND r.i < 2) AS clean, arg_min(r.b, r.i) FILTER (live.b IS NOT NULL) AS dirty FROM r LEFT JOIN live ON r.b = live.b GROUP BY 1)
@@ -128,17 +139,18 @@ def vote_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEADER = "leader AS (SELECT c_nationkey AS node, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS index, c_nationkey % 3 + 2 AS term FROM customer)"
-_FOLLOWER = "follower AS (SELECT node, index, CASE WHEN index > 20 + node THEN 1 ELSE term END AS term FROM leader WHERE index <= 40)"
+_FOLLOWER = "sized AS (SELECT *, count(*) OVER (PARTITION BY node) AS size FROM leader), follower AS (SELECT node, index, CASE WHEN 5 * index > 3 * size + node THEN 1 ELSE term END AS term FROM sized WHERE 5 * index <= 4 * size)"
 
 
 @query("log_conflict", f"""WITH {_LEADER}, {_FOLLOWER}, b AS (SELECT coalesce(l.node, f.node) AS node, coalesce(l.index, f.index) AS index, l.term AS lt, f.term AS ft FROM leader l FULL JOIN follower f ON l.node = f.node AND l.index = f.index),
 c AS (SELECT *, min(CASE WHEN lt <> ft THEN index END) OVER (PARTITION BY node) AS first FROM b)
 SELECT node, index, CAST(CASE WHEN ft IS NOT NULL AND (first IS NULL OR index < first) THEN ft ELSE lt END AS INTEGER) AS term, CASE WHEN ft IS NOT NULL AND (first IS NULL OR index < first) THEN 'kept' ELSE 'appended' END AS "from" FROM c""")
 def log_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A follower's log after the leader's entries."""
+    """A follower's log after the leader's entries; it has four fifths of them, and from about three fifths on others."""
     c = topics.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("node"), "c_custkey")
     leader = topics.numbered(c, ["c_custkey"], "index", ("node",)).select("node", (F.col("index") + 1).alias("index"), (F.col("node") % 3 + 2).cast("int").alias("term"))
-    follower = leader.where("index <= 40").withColumn("term", F.when(F.col("index") > 20 + F.col("node"), 1).otherwise(F.col("term")))
+    sized = leader.join(leader.groupBy("node").agg(F.count("*").alias("size")), "node").where("5 * index <= 4 * size")
+    follower = sized.select("node", "index", F.when(F.expr("5 * index > 3 * size + node"), 1).otherwise(F.col("term")).alias("term"))
     return cluster.log_conflict(leader, follower)
 
 
@@ -189,11 +201,22 @@ def metadata_epoch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.epoch_filter(rows, ["cluster", "partition"], "event_id")
 
 
-_CALLS = "calls AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 60)"
+@query("metadata_cache", f"""WITH {_UPDATES}, l AS (SELECT cluster, partition, max(u.event_id) AS at FROM u GROUP BY 1, 2)
+SELECT l.cluster, l.partition, u.leader, epoch_us(e.ts) // 1000 AS loaded, 1706659200000 - epoch_us(e.ts) // 1000 < 300000 AS fresh FROM l JOIN u ON u.event_id = l.at JOIN events e ON e.event_id = l.at""")
+def metadata_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cached leader of each partition, and whether it may be used as it is: five minutes after it was loaded it may not."""
+    e = topics.table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    rows = e.select("event_id", (u % 6).cast("int").alias("cluster"), (u % 30).cast("int").alias("partition"), u.alias("leader"), topics.millis("ts", e).alias("loaded"))
+    last = rows.groupBy("cluster", "partition").agg(F.max_by(F.struct("leader", "loaded"), "event_id").alias("x")).select("cluster", "partition", "x.leader", "x.loaded")
+    return last.withColumn("fresh", ~scalar.metadata_stale(F.col("loaded"), F.lit(1_706_659_200_000), 300_000))
+
 
+_CALLS = "calls AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, event_type <> 'error' AS ok, CAST(round(value * 100) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 
-def _calls(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
-    e = topics.table(spark, sf_dir, "events").where(users)
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = topics.table(spark, sf_dir, "events")
     rows = e.select("user_id", "event_id", topics.millis("ts", e).alias("ms"), (F.col("event_type") != "error").alias("ok"), F.round(F.col("value") * 100).cast("long").alias("bytes"), "ts")
     return topics.numbered(rows, ["ts", "event_id"], "n", ("user_id",)).drop("ts")
 
@@ -208,43 +231,52 @@ def _calls(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
 SELECT event_id, goes FROM f WHERE n > 0""")
 def throttle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each request may go at 5000 bytes a second; null for one that is too large."""
-    return _throttled(_calls(spark, sf_dir, "user_id < 60"))
+    return fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "bytes"], *fold.token_bucket(5000), "goes long").select("event_id", "goes")
+
 
+@query("throttle_two_level")
+def throttle_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each request may go by a limit for all and then one for its partition; compared with a plain loop on a small table.
 
-@query("throttle_schedule_all")
-def throttle_schedule_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`throttle_schedule` for every user; the recursive SQL is too slow for that and is compared on a small table."""
-    return _throttled(_calls(spark, sf_dir))
+    The limit for all makes one order of all requests, which is folded as such; partitions are folded apart.
+    """
+    calls = _calls(spark, sf_dir).withColumns({"one": F.lit(0), "partition": (F.col("user_id") % 8).cast("int")})
+    first = fold.ordered_fold(calls, ["one"], ["ms", "event_id"], ["ms", "bytes"], *fold.token_bucket(20_000), "global_goes long")
+    both = fold.ordered_fold(first.where("global_goes IS NOT NULL"), ["partition"], ["global_goes", "event_id"], ["global_goes", "bytes"], *fold.token_bucket(5000), "goes long")
+    return both.select("event_id", "partition", "global_goes", "goes")
 
 
-def _throttled(calls: DataFrame) -> DataFrame:
-    return fold.ordered_fold(calls, ["user_id"], ["n"], ["ms", "bytes"], *fold.token_bucket(5000), "goes long").select("event_id", "goes")
+@query("throttle_metrics", f"""WITH RECURSIVE {_CALLS}, f AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS ms, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS tokens, CAST(NULL AS BIGINT) AS last, CAST(NULL AS BIGINT) AS goes FROM (SELECT DISTINCT user_id FROM calls)
+  UNION ALL
+  SELECT user_id, n, ms, bytes, CASE WHEN bytes > 5000 THEN tokens ELSE least(5000000, filled + wait * 5000) - 1000 * bytes END, CASE WHEN bytes > 5000 THEN last ELSE now + wait END, CASE WHEN bytes > 5000 THEN NULL ELSE now + wait END FROM (
+    SELECT *, greatest(0, (1000 * bytes - filled + 4999) // 5000) AS wait FROM (
+      SELECT *, CASE WHEN last IS NULL THEN tokens ELSE least(5000000, tokens + (now - last) * 5000) END AS filled FROM (
+        SELECT c.user_id, c.n, c.ms, c.bytes, f.tokens, f.last, CASE WHEN f.last IS NULL THEN c.ms ELSE greatest(c.ms, f.last) END AS now FROM f JOIN calls c ON c.user_id = f.user_id AND c.n = f.n + 1))))
+SELECT user_id, count(goes) AS went, count(*) - count(goes) AS refused, CAST(coalesce(sum(bytes) FILTER (goes IS NOT NULL), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(goes - ms), 0) AS BIGINT) AS waited_ms FROM f WHERE n > 0 GROUP BY 1""")
+def throttle_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a throttle let through for each user, and how long that waited."""
+    rows = fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "bytes"], *fold.token_bucket(5000), "goes long")
+    went = F.col("goes").isNotNull()
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.groupBy("user_id").agg(F.count("goes").alias("went"), F.count_if(~went).alias("refused"), zero(F.when(went, F.col("bytes"))).alias("bytes"), zero(F.col("goes") - F.col("ms")).alias("waited_ms"))
 
 
 @query("circuit_breaker", f"""WITH RECURSIVE {_CALLS}, f AS (
-  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 'CLOSED' AS name, 0 AS count, CAST(0 AS BIGINT) AS opened, 'CLOSED' AS before, TRUE AS let FROM (SELECT DISTINCT user_id FROM calls)
+  SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, 'CLOSED' AS name, 0 AS failed, 0 AS went, CAST(0 AS BIGINT) AS last, 'CLOSED' AS before, TRUE AS let FROM (SELECT DISTINCT user_id FROM calls)
   UNION ALL
   SELECT user_id, n, event_id,
-    CASE WHEN let AND ok AND before = 'HALF_OPEN' AND c + 1 >= 2 THEN 'CLOSED' WHEN let AND NOT ok AND (before = 'HALF_OPEN' OR c + 1 >= 2) THEN 'OPEN' ELSE before END,
-    CASE WHEN let AND ok THEN CASE WHEN before = 'HALF_OPEN' AND c + 1 < 2 THEN c + 1 ELSE 0 END WHEN let THEN CASE WHEN before = 'HALF_OPEN' OR c + 1 >= 2 THEN 0 ELSE c + 1 END ELSE c END,
-    CASE WHEN let AND NOT ok AND (before = 'HALF_OPEN' OR c + 1 >= 2) THEN ms ELSE opened END, before, let FROM (
+    CASE WHEN let AND ok AND before = 'HALF_OPEN' AND went + 1 >= 2 THEN 'CLOSED' WHEN let AND NOT ok AND failed + 1 >= 2 THEN 'OPEN' ELSE before END,
+    CASE WHEN let AND ok THEN 0 WHEN let THEN failed + 1 ELSE failed END,
+    CASE WHEN let AND ok AND before = 'HALF_OPEN' THEN CASE WHEN went + 1 >= 2 THEN 0 ELSE went + 1 END ELSE went END,
+    CASE WHEN let AND NOT ok THEN ms ELSE last END, before, let FROM (
     SELECT *, before <> 'OPEN' AS let FROM (
-      SELECT c.user_id, c.n, c.event_id, c.ms, c.ok, f.opened, CASE WHEN f.name = 'OPEN' AND c.ms - f.opened >= 21600000 THEN 'HALF_OPEN' ELSE f.name END AS before, CASE WHEN f.name = 'OPEN' AND c.ms - f.opened >= 21600000 THEN 0 ELSE f.count END AS c
+      SELECT c.user_id, c.n, c.event_id, c.ms, c.ok, f.last, f.failed, f.went, CASE WHEN f.name = 'OPEN' AND c.ms - f.last >= 21600000 THEN 'HALF_OPEN' ELSE f.name END AS before
       FROM f JOIN calls c ON c.user_id = f.user_id AND c.n = f.n + 1)))
 SELECT event_id, before, let, name AS after FROM f WHERE n > 0""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opens after two failures for six hours, closes after two successes."""
-    return _broken(_calls(spark, sf_dir, "user_id < 60"))
-
-
-@query("circuit_breaker_all")
-def circuit_breaker_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`circuit_breaker` for every user, as `throttle_schedule_all`."""
-    return _broken(_calls(spark, sf_dir))
-
-
-def _broken(calls: DataFrame) -> DataFrame:
-    return fold.ordered_fold(calls, ["user_id"], ["n"], ["ms", "ok"], *fold.circuit_breaker(2, 21_600_000, 2), "before string, let boolean, after string").select("event_id", "before", "let", "after")
+    """Opens after two failures for six hours from the last, closes after two successes."""
+    return fold.ordered_fold(_calls(spark, sf_dir), ["user_id"], ["n"], ["ms", "ok"], *fold.circuit_breaker(2, 21_600_000, 2), "before string, let boolean, after string").select("event_id", "before", "let", "after")
 
 
 _COMMANDS = """commands AS (SELECT event_id // 1000 AS term, event_id AS index, CASE WHEN event_type IN ('signup', 'error') THEN 'broker' WHEN event_type = 'view' THEN 'leader' ELSE 'topic' END AS kind,
@@ -271,6 +303,6 @@ def raft_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("leader_routing", f"WITH {REPLICAS} SELECT CAST(l_suppkey % 8 AS INTEGER) AS partition, r.broker, count(*) AS requests FROM lineitem JOIN rows_ r ON r.partition = l_suppkey % 8 AND r.is_leader GROUP BY 1, 2")
 def leader_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests go to their partition's leader."""
-    leaders = _replicas(spark, sf_dir).where("is_leader").select("partition", "broker")
+    leaders = replicas(spark, sf_dir).where("is_leader").select("partition", "broker")
     asked = topics.table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).cast("int").alias("partition")).agg(F.count("*").alias("requests"))
     return asked.join(leaders, "partition").select("partition", "broker", "requests")

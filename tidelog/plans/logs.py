@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import routing, scalar
 from tidelog.operators import fold, storage, topics
+from tidelog.plans import stored
 from tidelog.plans.registry import query
 from tidelog.plans.sqltext import CHANGES, EVENTS, SEGMENTS
 
@@ -18,28 +19,28 @@ _SHOWN_SQL = 'partition, "offset", timestamp, key, value'
 @query("topic_read", f'WITH {EVENTS} SELECT {_SHOWN_SQL} FROM topic WHERE partition = 3 AND "offset" >= 100 ORDER BY "offset" LIMIT 100')
 def topic_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One partition from an offset on."""
-    topic = topics.events_topic(spark, sf_dir).where("partition = 3")
+    topic = stored.events(spark, sf_dir).where("partition = 3")
     return topic.where(F.col("offset") >= 100).orderBy("offset").limit(100).select(*_SHOWN)
 
 
 @query("topic_read_limit_per_partition", f'WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY "offset") AS n FROM topic WHERE "offset" >= 50) SELECT {_SHOWN_SQL} FROM n WHERE n <= 20')
 def topic_read_limit_per_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.read(topics.events_topic(spark, sf_dir), 50, 20).select(*_SHOWN)
+    return topics.read(stored.events(spark, sf_dir), 50, 20).select(*_SHOWN)
 
 
 @query("point_lookup", f'WITH {EVENTS} SELECT {_SHOWN_SQL} FROM topic WHERE "offset" = 42')
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.events_topic(spark, sf_dir).where(F.col("offset") == 42).select(*_SHOWN)
+    return stored.events(spark, sf_dir).where(F.col("offset") == 42).select(*_SHOWN)
 
 
 @query("list_offsets_by_time", f'WITH {EVENTS} SELECT partition, min("offset") FILTER (timestamp >= 1705312800000) AS at_time, min("offset") AS earliest, max("offset") + 1 AS latest FROM topic GROUP BY 1')
 def list_offsets_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.list_offsets(topics.events_topic(spark, sf_dir), 1_705_312_800_000)
+    return topics.list_offsets(stored.events(spark, sf_dir), 1_705_312_800_000)
 
 
 @query("topic_stats", f'WITH {EVENTS} SELECT partition, count(*) AS records, min("offset") AS first, max("offset") AS last, count(DISTINCT "offset" // 100) AS segments FROM topic GROUP BY 1')
 def topic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics.stats(topics.events_topic(spark, sf_dir))
+    return topics.stats(stored.events(spark, sf_dir))
 
 
 _KEYLESS = "SELECT event_id, ts, CASE WHEN user_id % 5 <> 0 THEN CAST(user_id AS VARCHAR) END AS key FROM events"
@@ -77,10 +78,10 @@ def part_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyless(spark, sf_dir).select("event_id", routing.sticky(F.col("key"), F.col("nth"), 8).alias("partition"))
 
 
-@query("part_random")
+@query("part_random", f"SELECT event_id, {routing.md5_mod_sql("CAST(event_id AS VARCHAR) || ':0'", 8)} AS partition FROM events")
 def part_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """no SQL gives the same random numbers."""
-    return topics.table(spark, sf_dir, "events").select("event_id", routing.partitioner("random")(F.lit(None), F.lit(0), 8).alias("partition"))
+    """F5, by number and seed."""
+    return topics.table(spark, sf_dir, "events").select("event_id", routing.partitioner("random")(F.lit(None), F.col("event_id"), 8).alias("partition"))
 
 
 @query("frame_size", "SELECT event_id, CAST(octet_length(encode(CAST(user_id AS VARCHAR))) + octet_length(encode(props)) + 26 AS BIGINT) AS size FROM events")
@@ -125,11 +126,34 @@ _SIZED = f'WITH RECURSIVE {EVENTS}, sized AS (SELECT partition, "offset", timest
 SELECT partition, chunk AS batch, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY 1, 2""")
 def batches_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last batch of a partition is what a flush finds."""
-    rows = topics.events_topic(spark, sf_dir).select("partition", "offset", (F.octet_length("key") + F.octet_length("value")).cast("long").alias("size"))
+    rows = stored.events(spark, sf_dir).select("partition", "offset", (F.octet_length("key") + F.octet_length("value")).cast("long").alias("size"))
     found = fold.ordered_fold(rows, ["partition"], ["offset"], ["size"], *fold.greedy_chunks(1024), "batch long")
     return found.groupBy("partition", "batch").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))
 
 
+@query("batches_drained", f"""{_SIZED}, {_CHUNKS.format(name='f', key='partition', shown='size', shown_s='s.size', rows='sized', limit=1024)}
+SELECT partition, count(DISTINCT chunk) FILTER (chunk < 5) AS in_flight, count(DISTINCT chunk) FILTER (chunk >= 5) AS pending, count(*) FILTER (chunk < 5) AS sent FROM f GROUP BY 1""")
+def batches_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a drain sends of each partition's batches with five in flight at most, and what has to wait."""
+    first = F.col("batch") < 5
+    rows = batches_by_size(spark, sf_dir)
+    return rows.groupBy("partition").agg(F.count_if(first).alias("in_flight"), F.count_if(~first).alias("pending"), F.sum(F.when(first, F.col("records"))).alias("sent"))
+
+
+@query("segments_by_age", f"""{_SIZED}, f AS (
+  SELECT partition, "offset", n, timestamp, size AS filled, CAST(0 AS BIGINT) AS segment, timestamp AS made FROM sized WHERE n = 1
+  UNION ALL
+  SELECT s.partition, s."offset", s.n, s.timestamp, CASE WHEN f.filled >= 16384 OR s.timestamp - f.made >= 604800000 THEN s.size ELSE f.filled + s.size END,
+         CASE WHEN f.filled >= 16384 OR s.timestamp - f.made >= 604800000 THEN f.segment + 1 ELSE f.segment END, CASE WHEN f.filled >= 16384 OR s.timestamp - f.made >= 604800000 THEN s.timestamp ELSE f.made END
+  FROM f JOIN sized s ON s.partition = f.partition AND s.n = f.n + 1)
+SELECT partition, segment, min("offset") AS base_offset, count(*) AS records FROM f GROUP BY 1, 2""")
+def segments_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment closes before the record that finds it full (16 KiB) or a week old."""
+    rows = stored.events(spark, sf_dir).select("partition", "offset", "timestamp", (F.octet_length("key") + F.octet_length("value")).cast("long").alias("size"))
+    found = fold.ordered_fold(rows, ["partition"], ["offset"], ["size", "timestamp"], *fold.rotation(16384, 604_800_000), "segment long")
+    return found.groupBy("partition", "segment").agg(F.min("offset").alias("base_offset"), F.count("*").alias("records"))
+
+
 @query("batches_by_age", f"""{_SIZED}, f AS (
   SELECT partition, n, timestamp, CAST(0 AS BIGINT) AS batch, timestamp AS created FROM sized WHERE n = 1
   UNION ALL
@@ -138,7 +162,7 @@ def batches_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT partition, batch, count(*) AS records, min(timestamp) AS created FROM f GROUP BY 1, 2""")
 def batches_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 with a linger of an hour."""
-    rows = topics.events_topic(spark, sf_dir).select("partition", "offset", "timestamp")
+    rows = stored.events(spark, sf_dir).select("partition", "offset", "timestamp")
     found = fold.ordered_fold(rows, ["partition"], ["offset"], ["timestamp"], *fold.age_chunks(3_600_000), "batch long")
     return found.groupBy("partition", "batch").agg(F.count("*").alias("records"), F.min("timestamp").alias("created"))
 
@@ -165,12 +189,12 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).withColumnRenamed("offset", "rel_offset")
 
 
-@query("index_floor_lookup", f"""WITH RECURSIVE {_INDEX}, probes AS (SELECT source, n - 1 AS "offset" FROM framed WHERE (n - 1) % 7 = 3)
+@query("index_floor_lookup", f"""WITH RECURSIVE {_INDEX}, probes AS (SELECT source, n - 1 AS "offset" FROM framed)
 SELECT p.source, p."offset", e."offset" AS rel_offset, e.position FROM probes p ASOF LEFT JOIN entries e ON p.source = e.source AND p."offset" >= e."offset" """)
 def index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index entry from which a lookup would scan."""
     docs = topics.table(spark, sf_dir, "documents").select("source", "doc_id")
-    probes = topics.numbered(docs, ["doc_id"], by=("source",)).where(F.col("offset") % 7 == 3)
+    probes = topics.numbered(docs, ["doc_id"], by=("source",))
     return storage.floor_lookup(_index(spark, sf_dir), probes, "source")
 
 
@@ -183,6 +207,24 @@ def index_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.index_differences(stored, rebuilt)
 
 
+@query("index_truncate", f'WITH RECURSIVE {_INDEX}, ends AS (SELECT source, count(*) // 2 AS "end" FROM documents GROUP BY 1) SELECT source, e."offset" AS rel_offset, position FROM entries e JOIN ends USING (source) WHERE e."offset" < "end"')
+def index_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries that stay when each log is cut to its first half."""
+    ends = topics.table(spark, sf_dir, "documents").groupBy("source").agg(F.floor(F.count("*") / 2).alias("end"))
+    return storage.index_truncated(_index(spark, sf_dir), ends, "source").withColumnRenamed("offset", "rel_offset")
+
+
+@query("index_recover", f"""WITH RECURSIVE {_INDEX}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY "offset") AS nth FROM entries),
+stored AS (SELECT *, CASE WHEN "offset" % 11 = 0 THEN position + 1 ELSE position END AS damaged FROM ranked),
+bad AS (SELECT DISTINCT source FROM stored WHERE nth <= 10 AND damaged <> position)
+SELECT source, "offset" AS rel_offset, CASE WHEN source IN (FROM bad) THEN position ELSE damaged END AS position, source NOT IN (FROM bad) AS kept FROM stored""")
+def index_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored index is kept if its first ten entries are those of a rebuild; else the rebuild takes its place."""
+    rebuilt = _index(spark, sf_dir)
+    found = rebuilt.withColumn("position", F.when(F.col("offset") % 11 == 0, F.col("position") + 1).otherwise(F.col("position")))
+    return storage.index_recovered(found, rebuilt, "source").withColumnRenamed("offset", "rel_offset")
+
+
 _CLOSED = f"WITH {EVENTS}, {SEGMENTS}"
 _AGE = f"(NOT active AND {NOW} - last_ts > 1209600000)"
 _OVER = "(NOT active AND coalesce(sum(CASE WHEN active THEN 0 ELSE size END) OVER (PARTITION BY partition ORDER BY base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < sum(size) OVER (PARTITION BY partition) - 20000)"
@@ -191,42 +233,49 @@ _SEGMENT_COLUMNS = "partition, segment, base_offset, size, last_ts, active"
 
 @query("retention_time", f'{_CLOSED} SELECT {_SEGMENT_COLUMNS}, {_AGE} AS "delete" FROM segments')
 def retention_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.retention(storage.segments(topics.events_topic(spark, sf_dir)), NOW, hours=336)
+    return storage.retention(storage.segments(stored.events(spark, sf_dir)), NOW, hours=336)
 
 
 @query("retention_size", f'{_CLOSED} SELECT {_SEGMENT_COLUMNS}, {_OVER} AS "delete" FROM segments')
 def retention_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.retention(storage.segments(topics.events_topic(spark, sf_dir)), NOW, limit=20_000)
+    return storage.retention(storage.segments(stored.events(spark, sf_dir)), NOW, limit=20_000)
 
 
 @query("retention_both", f'{_CLOSED} SELECT {_SEGMENT_COLUMNS}, {_AGE} OR {_OVER} AS "delete" FROM segments')
 def retention_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.retention(storage.segments(topics.events_topic(spark, sf_dir)), NOW, hours=336, limit=20_000)
+    return storage.retention(storage.segments(stored.events(spark, sf_dir)), NOW, hours=336, limit=20_000)
 
 
 @query("segment_names", f"{_CLOSED} SELECT partition, base_offset, lpad(CAST(base_offset AS VARCHAR), 20, '0') || '.log' AS log_name, lpad(CAST(base_offset AS VARCHAR), 20, '0') || '.index' AS index_name FROM segments")
 def segment_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18, S14."""
-    found = storage.segments(topics.events_topic(spark, sf_dir))
+    found = storage.segments(stored.events(spark, sf_dir))
     return found.select("partition", "base_offset", scalar.file_name(F.col("base_offset")).alias("log_name"), scalar.file_name(F.col("base_offset"), ".index").alias("index_name"))
 
 
+@query("segment_prune", f"""{_CLOSED}, n AS (SELECT *, lead(base_offset) OVER (PARTITION BY partition ORDER BY base_offset) AS next_offset FROM segments)
+SELECT partition, segment, base_offset, next_offset FROM n WHERE next_offset IS NULL OR next_offset > 250""")
+def segment_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments that a read from offset 250 on opens."""
+    return storage.pruned(storage.segments(stored.events(spark, sf_dir)), 250).select("partition", "segment", "base_offset", "next_offset")
+
+
 _LATEST = f'WITH {CHANGES}, latest AS (SELECT partition, key, min("offset") AS first, max("offset") AS last, arg_max(value, "offset") AS value FROM log GROUP BY 1, 2)'
 
 
 @query("compact_latest_per_key", f'{_LATEST} SELECT partition, key, row_number() OVER (PARTITION BY partition ORDER BY first) - 1 AS "offset", value FROM latest')
 def compact_latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.compact(topics.changelog_topic(spark, sf_dir))
+    return storage.compact(stored.changes(spark, sf_dir))
 
 
 @query("compact_preserve_offsets", f'{_LATEST} SELECT partition, key, last AS "offset", value FROM latest')
 def compact_preserve_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.compact(topics.changelog_topic(spark, sf_dir), preserve_offsets=True)
+    return storage.compact(stored.changes(spark, sf_dir), preserve_offsets=True)
 
 
 @query("compaction_gate", f"WITH {CHANGES} SELECT partition, count(*) AS records, count(DISTINCT key) AS keys, round(1 - count(DISTINCT key) / count(*), 6) AS ratio, 1 - count(DISTINCT key) / count(*) >= 0.5 AS compacts FROM log GROUP BY 1")
 def compaction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.compaction_gate(topics.changelog_topic(spark, sf_dir))
+    return storage.compaction_gate(stored.changes(spark, sf_dir))
 
 
 @query("fetch_batch", f"""WITH {EVENTS}, req AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS partition), r AS (SELECT partition, CAST(partition * 10 AS BIGINT) AS start, CAST(500 + 100 * partition AS BIGINT) AS max_bytes FROM req),
@@ -237,14 +286,14 @@ def fetch_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     wanted = spark.range(8).select(F.col("id").cast("int").alias("partition"), (F.col("id") * 10).alias("start"), (500 + 100 * F.col("id")).alias("max_bytes"))
-    topic = topics.events_topic(spark, sf_dir)
+    topic = stored.events(spark, sf_dir)
     size = scalar.frame_size(F.col("key"), F.col("value"))
     rows = topic.join(F.broadcast(wanted), "partition").where(F.col("offset") >= F.col("start"))  # as many rows as partitions
     rows = rows.withColumn("upto", F.sum(size).over(W.partitionBy("partition").orderBy("offset"))).where("upto <= max_bytes")
     return rows.groupBy("partition").agg(F.count("*").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.max("upto").alias("bytes"))
 
 
-@query("adaptive_fetch", """WITH RECURSIVE g AS (SELECT user_id, CAST(round(value * 9000) AS BIGINT) AS got, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id < 40),
+@query("adaptive_fetch", """WITH RECURSIVE g AS (SELECT user_id, CAST(round(value * 9000) AS BIGINT) AS got, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (
   SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS got, CAST(65536 AS BIGINT) AS size, 0 AS fulls, 0 AS empties FROM (SELECT DISTINCT user_id FROM g)
   UNION ALL
@@ -253,16 +302,7 @@ f AS (
 SELECT user_id, n, got, size FROM f WHERE n > 0""")
 def adaptive_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next fetch size after each fetch; the bytes got are made from the events' values."""
-    return _adapted(topics.table(spark, sf_dir, "events").where("user_id < 40"))
-
-
-@query("adaptive_fetch_all")
-def adaptive_fetch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`adaptive_fetch` for every user; the recursive SQL is too slow for that and is compared on a small table."""
-    return _adapted(topics.table(spark, sf_dir, "events"))
-
-
-def _adapted(e: DataFrame) -> DataFrame:
+    e = topics.table(spark, sf_dir, "events")
     rows = topics.numbered(e, ["ts", "event_id"], "n", ("user_id",)).select("user_id", (F.col("n") + 1).alias("n"), F.round(F.col("value") * 9000).cast("long").alias("got"))
     return fold.ordered_fold(rows, ["user_id"], ["n"], ["got"], *fold.adaptive_size(), "size long")
 
@@ -278,14 +318,22 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.table(spark, sf_dir, "events").select("event_id", scalar.backoff_ms(F.lit(100), F.col("event_id") % 12).alias("wait_ms"))
 
 
+@query("backoff_jitter", f"SELECT event_id, CAST(least(100 * pow(2, event_id % 12), 32000) AS BIGINT) + {routing.md5_mod_sql("CAST(event_id AS VARCHAR) || ':0'", 21)} AS wait_ms FROM events")
+def backoff_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 with up to 20 ms more."""
+    e = F.col("event_id")
+    return topics.table(spark, sf_dir, "events").select("event_id", scalar.jittered_ms(F.lit(100), e % 12, e).alias("wait_ms"))
+
+
 _MESSAGE = "CASE event_id % 6 WHEN 0 THEN 'Request TIMEOUT after ' || event_id WHEN 1 THEN 'Connection refused' WHEN 2 THEN 'unknown topic' WHEN 3 THEN 'Broken pipe!' WHEN 4 THEN 'the service unavailable now' END"
 
 
-@query("retryable_errors", f"SELECT event_id, coalesce(regexp_matches(lower({_MESSAGE}), 'timeout|connection refused|connection reset|broken pipe|temporarily unavailable|service unavailable'), FALSE) AS retry FROM events")
+@query("retryable_errors", f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE coalesce(regexp_matches(lower({_MESSAGE}), 'timeout|connection refused|connection reset|broken pipe|temporarily unavailable|service unavailable'), FALSE) END AS retry FROM events")
 def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 6
     message = F.when(kind == 0, F.concat(F.lit("Request TIMEOUT after "), F.col("event_id").cast("string"))).when(kind == 1, "Connection refused").when(kind == 2, "unknown topic").when(kind == 3, "Broken pipe!").when(kind == 4, "the service unavailable now")
-    return topics.table(spark, sf_dir, "events").select("event_id", scalar.retryable(message).alias("retry"))
+    type_ = F.when(F.col("event_id") % 7 == 0, "RetryableError").when(F.col("event_id") % 7 == 1, "NonRetryableError")
+    return topics.table(spark, sf_dir, "events").select("event_id", scalar.retryable(message, type_).alias("retry"))
 
 
 @query("parse_servers", "WITH s AS (SELECT s_suppkey, unnest(['host' || s_suppkey || ':' || (9092 + s_suppkey % 3), 'alt-' || s_nationkey]) AS server, unnest([0, 1]) AS id FROM supplier) SELECT s_suppkey, id, split_part(server, ':', 1) AS host, CAST(split_part(server, ':', 2) AS INTEGER) AS port FROM s WHERE len(string_split(server, ':')) = 2")
@@ -297,18 +345,29 @@ def parse_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("s_suppkey", "id", F.col("parts")[0].alias("host"), F.col("parts")[1].cast("int").alias("port"))
 
 
-@query("compression_benchmark")
+@query("compression_benchmark", f"SELECT codec, count(*) AS documents, CAST(sum({_BYTES}) AS BIGINT) AS bytes, count(*) AS restored, codec <> 'none' AS smaller FROM documents, (SELECT unnest(['none', 'gzip', 'snappy', 'lz4', 'zstd']) AS codec) GROUP BY 1")
 def compression_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Real sizes by codec over all documents; no SQL compresses."""
+    """For each codec how many documents came back as they were, and whether it made all of them together smaller."""
+    from tidelog.functions.codecs import CODECS
+
+    sizes = compression_sizes(spark, sf_dir)
+    each = sizes.select("none", "same", F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.col(c).alias("size")) for c in CODECS))).alias("x"))
+    sums = each.groupBy("x.codec").agg(F.count("*").alias("documents"), F.sum("none").alias("bytes"), F.count_if("same").alias("restored"), F.sum("x.size").alias("size"))
+    return sums.select("codec", "documents", "bytes", "restored", (F.col("size") < F.col("bytes")).alias("smaller"))
+
+
+@query("compression_sizes")
+def compression_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each document's bytes under each codec; no SQL compresses."""
     from tidelog.functions.codecs import benchmark
 
     return benchmark(topics.table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("frame_round_trip")
+@query("frame_round_trip", f"WITH {EVENTS} SELECT {_SHOWN_SQL}, CAST(NULL AS VARCHAR) AS error FROM topic")
 def frame_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records to frames with CRC-32C and back; no SQL makes the checksum."""
+    """Records to frames with CRC-32C and back."""
     from tidelog.functions.frames import decoded, encoded
 
-    topic = topics.events_topic(spark, sf_dir).select("partition", "offset", "timestamp", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    topic = stored.events(spark, sf_dir).select("partition", "offset", "timestamp", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
     return decoded(encoded(topic)).select("partition", "offset", "timestamp", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "error")

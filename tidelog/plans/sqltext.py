@@ -46,6 +46,6 @@ steps AS (SELECT transaction_id, ts, event_id, timestamp AS since,
 states AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY ts, event_id) AS seq FROM steps)"""
 
 MEMBERS = """
-subs AS (SELECT DISTINCT 'm' || c_custkey AS member, c_mktsegment AS topic FROM customer WHERE c_custkey <= 40),
+subs AS (SELECT DISTINCT 'm' || c_custkey AS member, c_mktsegment AS topic FROM customer),
 counts AS (SELECT c_mktsegment AS topic, CAST(5 + count(*) % 13 AS INTEGER) AS partitions FROM customer GROUP BY 1),
 every AS (SELECT topic, CAST(unnest(range(partitions)) AS INTEGER) AS partition FROM counts)"""

@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-from tidelog.functions.frames import pack, unpack
+from tidelog.functions.frames import LARGEST, pack, unpack
 
 SCHEMA = "partition int, offset long, timestamp long, key binary, value binary, attributes int, error string, corrupt_bytes long"
+BLOCK = 4 << 20
 _FILE = re.compile(r"^(\d{20})\.log$")
 
 
@@ -48,20 +50,40 @@ def segments(path: str) -> list[Segment]:
     return out
 
 
+def _frames(path: str, at: int, offset: int, stop: int | None = None) -> Iterator[tuple]:
+    """(offset, timestamp, key, value, attributes, end) of each frame from byte `at` on; at the first that can't be read, the error instead.
+
+    A file is read BLOCK bytes at a time, so memory has a block and a frame at most.
+    """
+    with open(path, "rb") as f:
+        f.seek(at)
+        held, begin, size = b"", 0, stop if stop is not None else os.fstat(f.fileno()).st_size
+        while at < size:
+            left = len(held) - begin
+            need = 4 + int.from_bytes(held[begin : begin + 4], "big") if left >= 4 else 8
+            if left < need and left < size - at and need <= LARGEST + 4:
+                held = held[begin:] + f.read(min(max(BLOCK, need - left), size - at - left))
+                begin = 0
+                continue
+            try:
+                timestamp, key, value, attributes, end = unpack(held, begin)
+            except ValueError as e:
+                yield str(e), size - at
+                return
+            at, begin = at + end - begin, end
+            yield offset, timestamp, key, value, attributes, at
+            offset += 1
+
+
 def scan(segment: Segment, report: bool) -> Iterator[tuple]:
-    with open(segment.path, "rb") as f:
-        data = f.read()
-    at, offset = 0, segment.base
-    while at < len(data):
-        try:
-            timestamp, key, value, attributes, end = unpack(data, at)
-        except ValueError as e:
+    for frame in _frames(segment.path, 0, segment.base):
+        if len(frame) == 2:
             if report:
-                yield segment.partition, None, None, None, None, None, str(e), len(data) - at
+                yield segment.partition, None, None, None, None, None, *frame
             return
+        offset, timestamp, key, value, attributes, _ = frame
         if offset >= segment.start:
             yield segment.partition, offset, timestamp, key, value, attributes, None, None
-        at, offset = end, offset + 1
 
 
 class Reader(DataSourceReader):
@@ -82,39 +104,60 @@ class Reader(DataSourceReader):
                 yield row
 
 
+@dataclass
+class Tail(InputPartition):
+    path: str
+    partition: int
+    byte: int
+    offset: int
+    stop: int
+
+
 class StreamReader(DataSourceStreamReader):
-    """A position is the file sizes seen so far; only whole frames beyond them are read."""
+    """A position has, for each file, the byte and the offset up to which whole frames have been seen.
+
+    The driver hops from length to length over what is new; tasks read from there on, so no byte is read twice. Option `startingOffsets` is
+    `earliest` (default) or `latest`.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.late = options["path"], options.get("startingOffsets", "earliest") == "latest"
+        self.seen: dict[str, list[int]] = {}
 
     def initialOffset(self) -> dict:
-        return {}
+        return self.latestOffset() if self.late else {}
 
     def latestOffset(self) -> dict:
-        return {s.path: os.path.getsize(s.path) for s in segments(self.path)}
+        out = {}
+        for s in segments(self.path):
+            at, offset = self.seen.get(s.path, [0, s.base])
+            size = os.path.getsize(s.path)
+            with open(s.path, "rb") as f:
+                while at + 8 <= size:
+                    f.seek(at)
+                    end = at + 4 + int.from_bytes(f.read(4), "big")
+                    if end > size:
+                        break
+                    at, offset = end, offset + 1
+            out[s.path] = self.seen[s.path] = [at, offset]
+        return out
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         by_path = {s.path: s for s in segments(self.path)}
         out = []
-        for path, size in end.items():
-            if size > start.get(path, 0):
-                s = by_path[path]
-                out.append(Segment(path, s.partition, s.base, start.get(path, 0), size))
+        for path, (stop, _) in end.items():
+            s = by_path[path]
+            at, offset = start.get(path, [0, s.base])
+            if stop > at:
+                out.append(Tail(path, s.partition, at, offset, stop))
         return list(out)
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read(partition.stop)
-        at, offset = 0, partition.base
-        while at < len(data):
-            try:
-                timestamp, key, value, attributes, end = unpack(data, at)
-            except ValueError:
+    def read(self, partition: Tail) -> Iterator[tuple]:
+        for frame in _frames(partition.path, partition.byte, partition.offset, partition.stop):
+            if len(frame) == 2:
                 return
-            if at >= partition.start:
-                yield partition.partition, offset, timestamp, key, value, attributes, None, None
-            at, offset = end, offset + 1
+            offset, timestamp, key, value, attributes, _ = frame
+            yield partition.partition, offset, timestamp, key, value, attributes, None, None
 
 
 @dataclass
@@ -123,23 +166,25 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceWriter):
-    """Rows of a task must be sorted by partition and offset, and no partition be in two tasks."""
+    """Rows of a task must be sorted by partition and offset, and no stretch of `segmentRecords` offsets of a partition be in two tasks."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.limit = options["path"], int(options.get("segmentBytes", 1 << 30))
+        self.path, self.limit, self.records = options["path"], int(options.get("segmentBytes", 1 << 30)), int(options.get("segmentRecords", 1 << 20))
 
     def write(self, rows: Iterator) -> Written:
         files, out, filled, now = [], None, 0, None
+        tag = uuid.uuid4().hex  # no other task's, on whatever host
         for r in rows:
-            if r["partition"] != now or filled >= self.limit:
+            place = r["partition"], r["offset"] // self.records
+            if place != now or filled >= self.limit:
                 if out:
                     out.close()
                 folder = os.path.join(self.path, str(r["partition"]))
                 os.makedirs(folder, exist_ok=True)
                 final = os.path.join(folder, f"{r['offset']:020d}.log")
-                part = f"{final}.part-{os.getpid()}-{len(files)}"
+                part = f"{final}.part-{tag}-{len(files)}"
                 files.append((part, final))
-                out, filled, now = open(part, "wb"), 0, r["partition"]  # noqa: SIM115
+                out, filled, now = open(part, "wb"), 0, place  # noqa: SIM115
             frame = pack(r["timestamp"], r["key"], r["value"] or b"")
             out.write(frame)
             filled += len(frame)
@@ -181,11 +226,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SegmentLog)
 
 
-def write(topic, path: str, segment_bytes: int = 1 << 30) -> None:
-    """Write (partition, offset, timestamp, key, value) rows as segment files."""
+def write(topic, path: str, segment_bytes: int = 1 << 30, segment_records: int = 1 << 20) -> None:
+    """Write (partition, offset, timestamp, key, value) rows as segment files; a partition is written by a task for each `segment_records` offsets."""
     from pyspark.sql import functions as F
 
     rows = topic.select("partition", "offset", "timestamp", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
     nothing = {"attributes": F.lit(0), "error": F.lit(None).cast("string"), "corrupt_bytes": F.lit(None).cast("long")}
-    dealt = rows.withColumns(nothing).repartition("partition").sortWithinPartitions("partition", "offset")
-    dealt.write.format("seglog").mode("append").option("path", path).option("segmentBytes", str(segment_bytes)).save()
+    dealt = rows.withColumns(nothing).repartition("partition", F.floor(F.col("offset") / segment_records)).sortWithinPartitions("partition", "offset")
+    dealt.write.format("seglog").mode("append").option("path", path).option("segmentBytes", str(segment_bytes)).option("segmentRecords", str(segment_records)).save()

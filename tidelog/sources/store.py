@@ -22,6 +22,8 @@ from tidelog.operators import topics as topic_ops
 
 RECORDS = "partition int, offset long, timestamp long, key string, value string, transaction_id string, marker string"
 CATALOG = "version long, name string, partitions int, config string, deleted boolean"
+PRODUCERS = "version long, transactional_id string, epoch int"
+VOTES = "version long, node string, document string"
 COMMITS = "seq long, group_id string, topic string, topic_partition int, committed long, expires long, slot int"
 WEEK = 7 * 86_400_000
 #: Partitions of the table of committed offsets, by a hash of the group.
@@ -58,6 +60,56 @@ class ProducerConfig:
             raise ValueError("an idempotent producer needs acks=-1 and at most 5 requests in flight")
 
 
+class Fenced(RuntimeError):
+    """A producer with the same transactional id has been started since."""
+
+
+class TransactionalProducer:
+    """Sends records in transactions; one with the same id that was started before may do nothing any more.
+
+    A transaction's records are visible to readers of committed records once its marker is written; the marker goes to
+    every partition that it wrote to.
+    """
+
+    def __init__(self, store: Store, transactional_id: str) -> None:
+        self.store, self.id = store, transactional_id
+        self.epoch = store.start_producer(transactional_id)
+        self._number, self._topics = 0, None
+
+    @property
+    def transaction_id(self) -> str:
+        return f"{self.id}-{self.epoch}-{self._number}"
+
+    def _check(self, inside: bool) -> None:
+        if self.store.epoch(self.id) != self.epoch:
+            raise Fenced(f"{self.id!r} has been started again")
+        if inside != (self._topics is not None):
+            raise ValueError("no transaction has begun" if inside else "a transaction has begun already")
+
+    def begin(self) -> str:
+        self._check(False)
+        self._number, self._topics = self._number + 1, []
+        return self.transaction_id
+
+    def send(self, topic: str, records: DataFrame, order: list[str], by: str = "default") -> None:
+        self._check(True)
+        self.store.append(topic, records, order, by, self.transaction_id)
+        if topic not in self._topics:
+            self._topics.append(topic)
+
+    def _end(self, marker: str) -> None:
+        self._check(True)
+        for topic in self._topics:
+            self.store.end_transaction(topic, self.transaction_id, marker)
+        self._topics = None
+
+    def commit(self) -> None:
+        self._end("COMMIT")
+
+    def abort(self) -> None:
+        self._end("ABORT")
+
+
 class Store:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
@@ -115,7 +167,7 @@ class Store:
     def append(self, name: str, records: DataFrame, order: list[str], by: str = "default", transaction_id: str | None = None, stretch: int = 3_600_000) -> None:
         """Route (key, value, timestamp, ...) rows and write them behind what is there, in `order` per partition.
 
-        Rows that go in turn are numbered in stretches of the first (numeric) column of the order.
+        Rows are numbered in stretches of the first (numeric) column of the order, so no task has a whole partition.
         """
         n, _, _ = self.describe(name)
         rows = records
@@ -133,9 +185,9 @@ class Store:
                 rows = rows.withColumn("_nth", F.lit(0).cast("long"))
             rows = rows.withColumn("partition", partitioner(by)(F.col("key"), F.col("_nth"), n))
         ends = self.read(name).groupBy("partition").agg((F.max("offset") + 1).alias("_end"))
-        numbered = topic_ops.numbered(rows, order, "_nr").join(F.broadcast(ends), "partition", "left")  # a row for each partition
+        numbered = topic_ops.numbered(rows, order, "_nr", stretch=F.floor(F.col(order[0]) / stretch)).join(F.broadcast(ends), "partition", "left")  # a row for each partition
         out = numbered.withColumn("offset", F.col("_nr") + F.coalesce("_end", F.lit(0))).select(*(c.split()[0] for c in RECORDS.split(", ")))
-        out.repartition("partition").sortWithinPartitions("partition", "offset").write.mode("append").partitionBy("partition").parquet(f"{self.base}/{self._place(name)}")
+        topic_ops.write(out, f"{self.base}/{self._place(name)}", "append")
 
     def end_transaction(self, name: str, transaction_id: str, marker: str) -> None:
         """A COMMIT or ABORT marker in every partition that the transaction wrote to."""
@@ -148,6 +200,34 @@ class Store:
     def list_offsets(self, name: str, at: int) -> DataFrame:
         return topic_ops.list_offsets(self.read(name), at)
 
+    # Producers and votes.
+    def epoch(self, transactional_id: str) -> int | None:
+        """The epoch of the producer that was started last with this id."""
+        rows = self._table("producers", PRODUCERS).where(F.col("transactional_id") == transactional_id)
+        return rows.agg(F.max("epoch")).first()[0]
+
+    def start_producer(self, transactional_id: str) -> int:
+        """A new epoch, which fences those before; what they left open is aborted by the caller or stays unseen."""
+        version = (self._table("producers", PRODUCERS).agg(F.max("version")).first()[0] or 0) + 1
+        before = self.epoch(transactional_id)
+        epoch = 0 if before is None else before + 1
+        self.spark.createDataFrame([(version, transactional_id, epoch)], PRODUCERS).coalesce(1).write.mode("append").parquet(f"{self.base}/producers")
+        return epoch
+
+    def vote(self, node: str, term: int, voted_for: str | None) -> None:
+        """A node's term and vote, which it must remember when it starts again; terms never fall, and a vote stands for its term."""
+        now, given = self.voted(node)
+        if term < now or (term == now and given not in (None, voted_for)):
+            raise ValueError(f"{node!r} has voted in term {now} already")
+        version = (self._table("votes", VOTES).agg(F.max("version")).first()[0] or 0) + 1
+        document = json.dumps({"current_term": term, "voted_for": voted_for})
+        self.spark.createDataFrame([(version, node, document)], VOTES).coalesce(1).write.mode("append").parquet(f"{self.base}/votes")
+
+    def voted(self, node: str) -> tuple[int, str | None]:
+        rows = self._table("votes", VOTES).where(F.col("node") == node).agg(F.max_by("document", "version"))
+        found = json.loads(rows.first()[0] or "{}")
+        return found.get("current_term", 0), found.get("voted_for")
+
     # Committed offsets.
     def commit(self, group: str, name: str, positions: DataFrame, now: int, keep: int = WEEK) -> None:
         """positions: topic_partition, committed (null deletes)."""

@@ -30,7 +30,7 @@ def deduplicated(records: DataFrame, producer: str = "user_id", order: str = "n"
 
 
 def read_committed(topic: DataFrame) -> DataFrame:
-    """Records whose transaction has had no ABORT marker so far, and no markers."""
+    """Records whose transaction has had no ABORT marker in their partition so far, and no markers."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         aborted = bool(state.get[0]) if state.exists else False
@@ -42,7 +42,10 @@ def read_committed(topic: DataFrame) -> DataFrame:
         state.update((aborted,))
         yield rows[keep]
 
-    return topic.groupBy("partition", "transaction_id").applyInPandasWithState(step, topic.schema, "aborted boolean", "append", GroupStateTimeout.NoTimeout)
+    # Records without a transaction need no state, and would all be one key's.
+    plain = topic.where("transaction_id IS NULL AND marker IS NULL")
+    some = topic.where("transaction_id IS NOT NULL").groupBy("partition", "transaction_id")
+    return some.applyInPandasWithState(step, topic.schema, "aborted boolean", "append", GroupStateTimeout.NoTimeout).union(plain)
 
 
 def latest_per_key(changes: DataFrame) -> DataFrame:
