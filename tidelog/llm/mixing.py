@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.tables import quoted, table
 
 #: Least rows of a block, blocks up to which there are so many; rows of a part; blocks in a row of the schedule; blocks, and rows of the table of parts, up to which these are broadcast.
-BLOCK, BLOCKS, PART, STRETCH, SHARED, FEW = 16, 1 << 20, 1 << 13, 64, 1 << 20, 1 << 14
+BLOCK, BLOCKS, PART, STRETCH, SHARED, FEW = 16, 1 << 20, 1 << 10, 64, 1 << 20, 1 << 14
 UNKNOWN = "unknown"
 
 

@@ -6,7 +6,8 @@ branches by BRANCHES of them, so two vertices of similarity J part in all roots
 (1 - J) ** (TREES * BRANCHES): 3e-7 at J = 0.85. A node that holds one vertex ends; a node of at most
 NODE vertices is compared exhaustively by the sketches of its vertices; a larger one branches again
 by BRANCHES further tokens that its path chooses, DEPTH times at most, and what is larger even then
-is compared in rooms, so no vertex is left out whatever a node's size.
+is compared exhaustively all the same, so no vertex is left out whatever a node's size. One task
+compares ALONE vertices at most; a node of more is compared in rooms.
 
 Vertices whose sketches agree well enough form families (components). Each family's texts are
 brought together once and compared in full, in rooms of about ROOM shingles. Links are confirmed on
@@ -39,7 +40,9 @@ from tidelog.llm import textbuf
 from tidelog.llm.components import components
 from tidelog.llm.tables import quoted, settle, table
 
-TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 1024, 4, 1 << 20
+TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 18
+#: Vertices of a node that one task compares; half as many are a block of a larger node.
+ALONE = 1024
 #: Representatives of a node or family that has several rooms; vertices of which a task remembers to what they are connected.
 FEW, HELD = 4, 1 << 18
 #: Standard deviations below the threshold down to which sketches count as alike; bits of the filter of texts.
@@ -252,26 +255,28 @@ def _families(points: DataFrame, least: float) -> DataFrame:
         return rows.join(settle(rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)), "node")
 
     nodes = settle(counted(paths).join(sketches, "vid").select("node", "vid", "sketch", "size"))
-    found, rest = [nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch")], None
+    found = [nodes.where(F.col("size") <= NODE)]
     for _ in range(DEPTH):
         large = nodes.where(F.col("size") > NODE)
         if large.isEmpty():
             break
         nodes = settle(counted(settle(large.select("node", "vid", "sketch").mapInArrow(_branched, "node long, vid binary, sketch binary"))).select("node", "vid", "sketch", "size"))
-        found.append(nodes.where(F.col("size") <= NODE).select("node", "vid", "sketch"))
+        found.append(nodes.where(F.col("size") <= NODE))
     else:
-        rest = nodes.where(F.col("size") > NODE)
+        found.append(nodes.where(F.col("size") > NODE))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    edges = every.repartition("node").sortWithinPartitions("node").mapInArrow(_alike(least), "a binary, b binary")
-    if rest is not None:
-        blocks = F.ceil(F.col("size") / (NODE // 2))
+    alone = every.where(F.col("size") <= ALONE).select("node", "vid", "sketch").repartition("node").sortWithinPartitions("node")
+    edges = alone.mapInArrow(_alike(least), "a binary, b binary")
+    rest = every.where(F.col("size") > ALONE)
+    if not rest.isEmpty():
 
         def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _alike(least)(pa.RecordBatch.from_arrays([pa.array(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), b.column(3), b.column(4)], ["node", "vid", "sketch"]) for b in batches)
 
-        edges = edges.union(_in_rooms(rest.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch"), NODE // 2, room, ["sketch"]))
+        blocks = F.ceil(F.col("size") / (ALONE // 2))
+        edges = edges.union(_in_rooms(rest.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch"), ALONE // 2, room, ["sketch"]))
     return components(edges)
 
 

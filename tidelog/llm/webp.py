@@ -1,21 +1,30 @@
-"""Lossless WebP (VP8L): a decoder of the whole format, and a writer of literal images.
+"""Lossless WebP (VP8L): a decoder of the whole format, and a writer.
 
 The decoder reads prefix codes (simple and normal, grouped by an entropy image), back-references,
 the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
-Images are arrays of uint32 pixels, 0xAARRGGBB. Images whose codes all have one length, without
-back-references or cache, are decoded for all pixels at once; others symbol by symbol.
+Images are arrays of uint32 pixels, 0xAARRGGBB. Where each code has one length and there is no cache,
+the pixels between two back-references are decoded at once, a block at a time; other images are
+decoded symbol by symbol.
+
+The writer uses codes of one length, back-references for what comes again, and of the transforms
+that one, or none, which gives the fewest bits: palette, predictor (from the left or from above) or
+subtract-green.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from tidelog.llm import textbuf
+
 # Fixed values of the format.
 MAGIC, VERSION_BITS, SIZE_BITS = 0x2F, 3, 14
 CODE_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTHS, DISTANCES, CACHE_FACTOR = 24, 40, 0x1E35A7BD
 BLACK = 0xFF000000
+#: Pixels that are worked on at once; of a window whose hash may start a back-reference; least and most of a back-reference.
+BLOCK, WINDOW, LEAST, MOST = 1 << 16, 8, 16, 4096
 #: The near places that distance codes 1 to 120 stand for, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -129,34 +138,65 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(which.max()) + 1
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    if which is None and not cache_bits and all(c.flat is not None for c in codes[0][:4]) and codes[0][0].symbols[-1] < 256:
-        return _flat(bits, width * height, codes[0]).reshape(height, width)
+    if which is None and not cache_bits and all(c.flat is not None for c in codes[0]):
+        return _by_runs(bits, width, width * height, codes[0]).reshape(height, width)
     return _by_symbol(bits, width, height, codes, which, block, cache_bits)
 
 
-def _flat(bits: Bits, n: int, codes: list[Code]) -> np.ndarray:
-    """All pixels at once: each takes the same number of bits."""
+def _by_runs(bits: Bits, width: int, n: int, codes: list[Code]) -> np.ndarray:
+    """The pixels up to the next back-reference at once: each takes the same number of bits."""
     widths = [c.bits for c in codes[:4]]
     per = sum(widths)
-    out = np.zeros(n, np.uint32)
-    end = bits.at + n * per
-    if end > bits.size:
-        raise ValueError("the image is cut off")
-    raw = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 : -(-end >> 3)]
-    table = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * per].reshape(n, per)
-    at = 0
-    for code, wide, shift in zip(codes, widths, (8, 16, 0, 24), strict=False):
-        symbols = np.array(code.symbols, np.uint32) << np.uint32(shift)
-        if wide:
-            # The first bit of a code is its highest.
-            out |= symbols[np.packbits(table[:, at : at + wide], axis=1).ravel() >> (8 - wide)]
-        else:
-            out |= symbols[0]
-        at += wide
-    bits.at = end
+    symbols = [np.array(c.symbols, np.uint32) for c in codes[:4]]
+    low = np.cumsum([0, *widths]).tolist()
+    out, at, step = np.zeros(n, np.uint32), 0, 64
+    raw = np.frombuffer(bits.data, np.uint8)
+
+    def column(table: np.ndarray, i: int) -> np.ndarray:
+        if not widths[i]:
+            return np.broadcast_to(symbols[i][:1], len(table))
+        # The first bit of a code is its highest.
+        cells = table[:, low[i] : low[i + 1]]
+        index = np.zeros(len(table), np.uint16)
+        for j in range(widths[i]):
+            index = (index << np.uint16(1)) | cells[:, j]
+        return symbols[i][index]
+
+    while at < n:
+        k = min(step, n - at)
+        start, stop = bits.at >> 3, -(-(bits.at + k * per) // 8)
+        cells = np.unpackbits(raw[start:stop], bitorder="little")[bits.at & 7 :][: k * per]
+        if len(cells) < k * per:
+            cells = np.pad(cells, (0, k * per - len(cells)))  # what follows the last pixels is not read
+        table = cells.reshape(k, per)
+        green = column(table, 0)
+        other = np.flatnonzero(green >= 256)
+        got = int(other[0]) if len(other) else k
+        part = table[:got]
+        out[at : at + got] = (green[:got] << np.uint32(8)) | (column(part, 1) << np.uint32(16)) | column(part, 2) | (column(part, 3) << np.uint32(24))
+        at, bits.at = at + got, bits.at + got * per
+        if bits.at > bits.size:
+            raise ValueError("the image is cut off")
+        step = min(4 * step, BLOCK)
+        if got < k:
+            length = _amount(bits, codes[0].read(bits) - 256)
+            distance = _distance(bits, codes[4], width)
+            if distance > at or at + length > n:
+                raise ValueError("a back-reference leaves the image")
+            seen = out[at - distance : min(at, at - distance + length)]
+            out[at : at + length] = seen if len(seen) == length else np.resize(seen, length)
+            at, step = at + length, 64
     return out
 
 
+def _distance(bits: Bits, code: Code, width: int) -> int:
+    distance = _amount(bits, code.read(bits))
+    if distance > len(NEAR):
+        return distance - len(NEAR)
+    x, y = NEAR[distance - 1]
+    return max(1, x + y * width)
+
+
 def _by_symbol(bits: Bits, width: int, height: int, codes: list[list[Code]], which: np.ndarray | None, block: int, cache_bits: int) -> np.ndarray:
     n = width * height
     out = [0] * n
@@ -173,12 +213,7 @@ def _by_symbol(bits: Bits, width: int, height: int, codes: list[list[Code]], whi
             at += 1
         elif green < 256 + LENGTHS:
             length = _amount(bits, green - 256)
-            distance = _amount(bits, group[4].read(bits))
-            if distance > len(NEAR):
-                distance -= len(NEAR)
-            else:
-                x, y = NEAR[distance - 1]
-                distance = max(1, x + y * width)
+            distance = _distance(bits, group[4], width)
             if distance > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
             if distance >= length:
@@ -244,6 +279,14 @@ def _undo_predictor(pixels: np.ndarray, modes: np.ndarray, block: int) -> np.nda
     out[0, 0] = (out[0, 0] + [0, 0, 0, 255]) & 255
     out[0] = np.cumsum(out[0], axis=0) & 255  # the first row: from the left
     mode = (modes >> 8) & 15
+    if (mode == mode[0, 0]).all() and mode[0, 0] in (1, 2):  # one way all over: sums along it
+        if mode[0, 0] == 2:
+            return (np.cumsum(out, axis=0) & 255).astype(np.uint8).view("<u4")[..., 0]
+        first = np.cumsum(out[:, 0], axis=0) & 255
+        first[0] = out[0, 0]
+        out[1:, 0] = first[1:]
+        out[1:] = np.cumsum(out[1:], axis=1)
+        return (out & 255).astype(np.uint8).view("<u4")[..., 0]
     for y in range(1, height):
         row, above = out[y], out[y - 1]
         row[0] = (row[0] + above[0]) & 255
@@ -337,46 +380,103 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Collects bits, low end first."""
+    """Collects bits, low end first; whole bytes are packed as they come."""
 
     def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
+        self.parts: list[bytes] = []
         self.value, self.n = 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.n
         self.n += n
+        if self.n >= 512:
+            self.parts.append((self.value & ((1 << 512) - 1)).to_bytes(64, "little"))
+            self.value, self.n = self.value >> 512, self.n - 512
 
-    def settle(self) -> None:
+    def array(self, bits: np.ndarray) -> None:
         if self.n:
             raw = np.frombuffer(self.value.to_bytes(-(-self.n // 8), "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little", count=self.n))
-            self.value, self.n = 0, 0
-
-    def array(self, bits: np.ndarray) -> None:
-        self.settle()
-        self.parts.append(bits)
+            bits = np.concatenate([np.unpackbits(raw, bitorder="little", count=self.n), bits])
+        whole = len(bits) // 8 * 8
+        self.parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+        rest = np.packbits(bits[whole:], bitorder="little").tobytes()
+        self.value, self.n = int.from_bytes(rest, "little"), len(bits) - whole
 
     def bytes(self) -> bytes:
-        self.settle()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return b"".join([*self.parts, self.value.to_bytes(-(-self.n // 8), "little")])
 
 
-def _even(values: np.ndarray) -> np.ndarray:
-    """Symbols of a code of one length: those used, and unused ones up to a power of two, nearest first."""
-    used = np.bincount(values, minlength=256) > 0
+def _even(used: np.ndarray) -> np.ndarray:
+    """Symbols of a code of one length: those used (a flag for each), and unused ones up to a power of two, nearest first."""
+    used = used.copy()
     n = int(used.sum())
     size = 1 << (n - 1).bit_length()
     if size > n:
         spare = np.flatnonzero(~used)
         low = np.flatnonzero(used)[0]
-        order = np.argsort((spare - low) % 256, kind="stable")
+        order = np.argsort((spare - low) % len(used), kind="stable")
         used[spare[order[: size - n]]] = True
     return np.flatnonzero(used)
 
 
+def _prefix(amount: int) -> tuple[int, int, int]:
+    """The prefix of a length or distance, its extra bits and their number."""
+    amount -= 1
+    if amount < 4:
+        return amount, 0, 0
+    high = amount.bit_length() - 1
+    extra = high - 1
+    return 2 * high + (amount >> extra & 1), amount & ((1 << extra) - 1), extra
+
+
+def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of what comes again, in order and apart from each other.
+
+    Windows are chosen by their content, an eighth of them; a chosen one that was there before is extended both ways.
+    """
+    n = len(pixels)
+    if n < 2 * LEAST:
+        return []
+    starts = 4 * np.arange(n - WINDOW + 1)
+    key = textbuf.hashes(np.ascontiguousarray(pixels, "<u4").view(np.uint8), starts, starts + 4 * WINDOW)
+    at = np.flatnonzero((key & np.uint64(7)) == 0)
+    order = np.argsort(key[at], kind="stable")
+    same = np.flatnonzero(key[at][order][1:] == key[at][order][:-1])
+    here, there = at[order[same + 1]], at[order[same]]
+    by = np.argsort(here)
+    here, there = here[by], there[by]
+    out: list[tuple[int, int, int]] = []
+    done, i = 0, 0
+    while i < len(here):
+        a, distance = int(here[i]), int(here[i] - there[i])
+        if distance > (1 << 20) - len(NEAR):
+            i += 1
+            continue
+        back = 0
+        while a - back > done and a - back - distance > 0 and pixels[a - back - 1] == pixels[a - back - 1 - distance]:
+            back += 1
+        a -= back
+        length, step = 0, 64
+        while a + length < n:
+            b = min(n, a + length + step)
+            differ = np.flatnonzero(pixels[a + length : b] != pixels[a + length - distance : b - distance])
+            if len(differ):
+                length += int(differ[0])
+                break
+            length, step = b - a, min(4 * step, BLOCK)
+        if length >= LEAST:
+            for cut in range(0, length, MOST):
+                if min(MOST, length - cut) >= LEAST:
+                    out.append((a + cut, min(MOST, length - cut), distance))
+                    done = a + cut + min(MOST, length - cut)
+            i = int(np.searchsorted(here, done))
+        else:
+            i += 1
+    return out
+
+
 def _put_even_code(out: Writer, symbols: np.ndarray, size: int) -> None:
-    if len(symbols) <= 2:
+    if len(symbols) <= 2 and symbols[-1] < 256:
         out.put(1, 1)
         out.put(len(symbols) - 1, 1)
         out.put(1, 1)
@@ -435,30 +535,97 @@ def _put_even_code(out: Writer, symbols: np.ndarray, size: int) -> None:
             out.put(extra, n)
 
 
-def _put_literals(out: Writer, pixels: np.ndarray, main: bool) -> None:
-    """An image without cache, groups and back-references, each channel in a code of one length."""
+def _codes(used: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
+    """The symbols of each code, and the bits of one."""
+    symbols = [_even(u) for u in used]
+    return symbols, [len(s).bit_length() - 1 for s in symbols]
+
+
+def _used(pixels: np.ndarray) -> list[np.ndarray]:
+    """Which values green, red, blue and alpha have."""
+    channels = _channels(pixels.ravel())
+    return [np.bincount(channels[:, i], minlength=256) > 0 for i in (1, 2, 0, 3)]
+
+
+def _put_image(out: Writer, pixels: np.ndarray, main: bool) -> None:
+    """An image without cache and groups, each channel in a code of one length; the main one with back-references."""
+    height, width = pixels.shape
+    flat = pixels.ravel()
+    found = references(flat) if main else []
+    literal = np.ones(len(flat), bool)
+    for a, length, _ in found:
+        literal[a : a + length] = False
+    near = {}
+    for i, (x, y) in enumerate(NEAR):
+        near.setdefault(max(1, x + y * width), i + 1)
+    steps = [(a, length, _prefix(length), _prefix(near.get(distance, distance + len(NEAR)))) for a, length, distance in found]
+    used = _used(flat[literal])
+    used[0] = np.pad(used[0], (0, LENGTHS))
+    used.append(np.zeros(DISTANCES, bool))
+    used[4][0] = not steps
+    for _, _, length, distance in steps:
+        used[0][256 + length[0]] = used[4][distance[0]] = True
     out.put(0, 1)
     if main:
         out.put(0, 1)
-    channels = _channels(pixels.ravel())
-    columns = []
-    for i, size in ((1, 256 + LENGTHS), (2, 256), (0, 256), (3, 256)):
-        symbols = _even(channels[:, i])
-        _put_even_code(out, symbols, size)
-        bits = len(symbols).bit_length() - 1
-        if bits:
-            code = np.zeros(256, np.uint8)
-            code[symbols] = np.arange(len(symbols)) << (8 - bits)
-            columns.append(np.unpackbits(code[channels[:, i]][:, None], axis=1, count=bits))
-    out.put(1, 1)  # the code of distances: one symbol, never used
-    out.put(0, 2)
-    out.put(0, 1)
-    if columns:
-        out.array(np.concatenate(columns, axis=1).ravel())
+    symbols, bits = _codes(used)
+    for s, size in zip(symbols, (256 + LENGTHS, 256, 256, 256, DISTANCES), strict=True):
+        _put_even_code(out, s, size)
+    index = []
+    for s, size in zip(symbols, (256 + LENGTHS, 256, 256, 256, DISTANCES), strict=True):
+        at = np.zeros(size, np.uint16)
+        at[s] = np.arange(len(s))
+        index.append(at)
+
+    def put_pixels(a: int, b: int) -> None:
+        for c in range(a, b, BLOCK):
+            channels = _channels(flat[c : min(b, c + BLOCK)])
+            columns = []
+            for i, (place, n) in enumerate(zip((1, 2, 0, 3), bits[:4], strict=True)):
+                value = index[i][channels[:, place]]
+                columns += [((value >> np.uint16(j)) & np.uint16(1)).astype(np.uint8) for j in range(n - 1, -1, -1)]  # the highest bit comes first
+            if columns:
+                out.array(np.column_stack(columns).ravel())
+
+    def put_symbol(i: int, symbol: int, extra: int, n: int) -> None:
+        code = int(index[i][symbol])
+        for j in range(bits[i] - 1, -1, -1):
+            out.put(code >> j & 1, 1)
+        out.put(extra, n)
+
+    at = 0
+    for a, n, length, distance in steps:
+        put_pixels(at, a)
+        put_symbol(0, 256 + length[0], *length[1:])
+        put_symbol(4, distance[0], *distance[1:])
+        at = a + n
+    put_pixels(at, len(flat))
+
+
+def _predicted(pixels: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of each pixel when the one to the left (1) or above (2) has been taken off."""
+    c = _channels(pixels).astype(np.int16)
+    out = c.copy()
+    out[0, 0] -= np.array([0, 0, 0, 255], np.int16)
+    out[0, 1:] -= c[0, :-1]
+    out[1:, 0] -= c[:-1, 0]
+    out[1:, 1:] -= c[1:, :-1] if mode == 1 else c[:-1, 1:]
+    return (out & 255).astype(np.uint8).view("<u4")[..., 0]
+
+
+def _without_green(pixels: np.ndarray) -> np.ndarray:
+    out = _channels(pixels).copy()
+    out[..., 0] -= out[..., 1]
+    out[..., 2] -= out[..., 1]
+    return out.view("<u4")[..., 0]
+
+
+def _bits_of(pixels: np.ndarray) -> int:
+    return pixels.size * sum((int(u.sum()) - 1).bit_length() for u in _used(pixels))
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """A WebP file of an image: literals, over a palette where few pixels differ."""
+    """A WebP file of an image."""
     height, width = pixels.shape
     out = Writer()
     out.put(MAGIC, 8)
@@ -472,14 +639,28 @@ def encode(pixels: np.ndarray) -> bytes:
         out.put(PALETTE, 2)
         out.put(len(palette) - 1, 8)
         steps = np.diff(_channels(palette), axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8)
-        _put_literals(out, steps.view("<u4").reshape(1, -1), False)
+        _put_image(out, steps.view("<u4").reshape(1, -1), False)
         index = np.searchsorted(palette, pixels).astype(np.uint32)
         pack = _bundle(len(palette))
         per, wide = 8 >> pack, _blocks(width, pack)
         index = np.pad(index, ((0, 0), (0, (wide << pack) - width))).reshape(height, wide, 1 << pack)
         pixels = ((index << (np.arange(1 << pack, dtype=np.uint32) * np.uint32(per))).sum(2).astype(np.uint32) << 8) | np.uint32(BLACK)
+    else:
+        # A transform pays if its image needs fewer bits by more than it costs to say so.
+        best, kind, mode = _bits_of(pixels) - 256, None, 0
+        for k, m, made in ((SUBTRACT_GREEN, 0, _without_green(pixels)), (PREDICTOR, 1, _predicted(pixels, 1)), (PREDICTOR, 2, _predicted(pixels, 2))):
+            if (size := _bits_of(made)) < best:
+                best, kind, mode, chosen = size, k, m, made
+        if kind is not None:
+            out.put(1, 1)
+            out.put(kind, 2)
+            if kind == PREDICTOR:
+                out.put(7, 3)  # blocks of 512 pixels a side, all of one way
+                ways = np.full((_blocks(height, 9), _blocks(width, 9)), BLACK | mode << 8, np.uint32)
+                _put_image(out, ways, False)
+            pixels = chosen
     out.put(0, 1)
-    _put_literals(out, pixels, True)
+    _put_image(out, pixels, True)
     body = out.bytes()
     chunk = b"VP8L" + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) & 1)
     return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
