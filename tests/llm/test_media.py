@@ -52,6 +52,15 @@ def test_payloads(raw):
     assert media.to_payload(webp.decode(media.store(payload)), len(payload)) == payload
 
 
+def test_pixel_arrays(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "é" * 5000)], "doc_id long, text string")
+    stored = media.images(docs).cache()
+    got = {r.doc_id: r for r in media.pixel_arrays(stored).collect()}
+    assert got[1].width == 16 and got[1].pixels == b"a".ljust(64, b"\0") and got[2].pixels == bytes(64)
+    assert got[None].pixels[:10_000] == ("é" * 5000).encode() and got[None].width * got[None].height * 4 == len(got[None].pixels)
+    assert media.pixel_arrays(stored.selectExpr("doc_id", "cast(null as binary) as media")).where("pixels is not null").isEmpty()
+
+
 def test_query_rows(spark):
     import hashlib
     import zlib

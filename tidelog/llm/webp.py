@@ -13,6 +13,8 @@ subtract-green.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from tidelog.llm import textbuf
@@ -25,6 +27,8 @@ LENGTHS, DISTANCES, CACHE_FACTOR = 24, 40, 0x1E35A7BD
 BLACK = 0xFF000000
 #: Pixels that are worked on at once; of a window whose hash may start a back-reference; least and most of a back-reference.
 BLOCK, WINDOW, LEAST, MOST = 1 << 16, 8, 16, 4096
+#: Pixels by which a transform that can't pay is told.
+SOME = 256
 #: The near places that distance codes 1 to 120 stand for, nearest first.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
@@ -72,6 +76,8 @@ class Code:
         return symbol
 
     def _fill(self) -> list[tuple[int, int]]:
+        if not self.bits:
+            return [(self.symbols[0], 0)]
         table = [(0, 0)] * (1 << self.bits)
         code, before = 0, 0
         for n, s in sorted(self._used):
@@ -99,20 +105,37 @@ def _read_code(bits: Bits, size: int) -> Code:
         first[CODE_ORDER[i]] = bits.read(3)
     inner = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    table = inner.table = inner.table or inner._fill()
+    mask, data, where = (1 << inner.bits) - 1, bits.data, bits.at
     at, last = 0, 8
     while at < size and left:
         left -= 1
-        x = inner.read(bits)
+        # A code and its extra bits are 14 bits at most.
+        start = where >> 3
+        window = int.from_bytes(data[start : start + 3], "little") >> (where & 7)
+        x, n = table[window & mask]
+        where += n
         if x < 16:
             lengths[at] = x
             at += 1
             last = x or last
             continue
-        value, n = (last, 3 + bits.read(2)) if x == 16 else (0, 3 + bits.read(3)) if x == 17 else (0, 11 + bits.read(7))
+        window >>= n
+        if x == 16:
+            value, n, wide = last, 3 + (window & 3), 2
+        elif x == 17:
+            value, n, wide = 0, 3 + (window & 7), 3
+        else:
+            value, n, wide = 0, 11 + (window & 127), 7
+        where += wide
         if at + n > size:
             raise ValueError("code lengths run over")
-        lengths[at : at + n] = [value] * n
+        if value:
+            lengths[at : at + n] = [value] * n
         at += n
+    bits.at = where
+    if where > bits.size:
+        raise ValueError("the image is cut off")
     return Code(lengths)
 
 
@@ -149,7 +172,7 @@ def _by_runs(bits: Bits, width: int, n: int, codes: list[Code]) -> np.ndarray:
     per = sum(widths)
     symbols = [np.array(c.symbols, np.uint32) for c in codes[:4]]
     low = np.cumsum([0, *widths]).tolist()
-    out, at, step = np.zeros(n, np.uint32), 0, 64
+    out, at, step = np.zeros(n, np.uint32), 0, 512
     raw = np.frombuffer(bits.data, np.uint8)
 
     def column(table: np.ndarray, i: int) -> np.ndarray:
@@ -157,6 +180,8 @@ def _by_runs(bits: Bits, width: int, n: int, codes: list[Code]) -> np.ndarray:
             return np.broadcast_to(symbols[i][:1], len(table))
         # The first bit of a code is its highest.
         cells = table[:, low[i] : low[i + 1]]
+        if widths[i] <= 8:
+            return symbols[i][np.packbits(cells, axis=1).ravel() >> (8 - widths[i])]
         index = np.zeros(len(table), np.uint16)
         for j in range(widths[i]):
             index = (index << np.uint16(1)) | cells[:, j]
@@ -185,7 +210,7 @@ def _by_runs(bits: Bits, width: int, n: int, codes: list[Code]) -> np.ndarray:
                 raise ValueError("a back-reference leaves the image")
             seen = out[at - distance : min(at, at - distance + length)]
             out[at : at + length] = seen if len(seen) == length else np.resize(seen, length)
-            at, step = at + length, 64
+            at, step = at + length, 128
     return out
 
 
@@ -429,6 +454,9 @@ def _prefix(amount: int) -> tuple[int, int, int]:
     return 2 * high + (amount >> extra & 1), amount & ((1 << extra) - 1), extra
 
 
+_ODD = textbuf.mix(np.arange(1, WINDOW // 2 + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, distance) of what comes again, in order and apart from each other.
 
@@ -437,8 +465,11 @@ def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
     n = len(pixels)
     if n < 2 * LEAST:
         return []
-    starts = 4 * np.arange(n - WINDOW + 1)
-    key = textbuf.hashes(np.ascontiguousarray(pixels, "<u4").view(np.uint8), starts, starts + 4 * WINDOW)
+    two = pixels[:-1].astype(np.uint64) | (pixels[1:].astype(np.uint64) << np.uint64(32))
+    m = n - WINDOW + 1
+    with np.errstate(over="ignore"):
+        key = sum(two[i : i + m] * _ODD[i // 2] for i in range(0, WINDOW, 2))
+        key ^= key >> np.uint64(29)
     at = np.flatnonzero((key & np.uint64(7)) == 0)
     order = np.argsort(key[at], kind="stable")
     same = np.flatnonzero(key[at][order][1:] == key[at][order][:-1])
@@ -476,39 +507,48 @@ def references(pixels: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _put_even_code(out: Writer, symbols: np.ndarray, size: int) -> None:
+    out.put(*_even_code(symbols.astype(np.uint16).tobytes(), size))
+
+
+@functools.lru_cache(1024)
+def _even_code(listed: bytes, size: int) -> tuple[int, int]:
+    """How a code of one length is written, as a number and its bits."""
+    symbols = np.frombuffer(listed, np.uint16)
     if len(symbols) <= 2 and symbols[-1] < 256:
-        out.put(1, 1)
-        out.put(len(symbols) - 1, 1)
-        out.put(1, 1)
-        for s in symbols:
-            out.put(int(s), 8)
-        return
+        value, n = 1 | (len(symbols) - 1) << 1 | 1 << 2, 3
+        for s in symbols.tolist():
+            value |= s << n
+            n += 8
+        return value, n
     bits = len(symbols).bit_length() - 1
-    lengths = np.zeros(size, np.int64)
-    lengths[symbols] = bits
+    # Stretches of symbols that have a code: first and last.
+    cut = np.flatnonzero(np.diff(symbols.astype(np.int32)) != 1)
+    firsts = symbols[np.append(0, cut + 1)].tolist()
+    lasts = symbols[np.append(cut, len(symbols) - 1)].tolist()
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
-    edges = np.flatnonzero(np.diff(lengths, prepend=-1)).tolist()
-    for a, b in zip(edges, [*edges[1:], size], strict=True):
-        value, run = int(lengths[a]), b - a
-        if value == 0 and b == size:
-            break
-        if value:
-            tokens.append((value, 0, 0))
-            run -= 1
+    at = 0
+    for first, last in zip(firsts, lasts, strict=True):
+        run = first - at
+        while run >= 11:
+            n = min(run, 138)
+            tokens.append((18, n - 11, 7))
+            run -= n
+        if run >= 3:
+            tokens.append((17, run - 3, 3))
+            run = 0
+        tokens += [(0, 0, 0)] * run
+        tokens.append((bits, 0, 0))
+        run = last - first
         while run >= 3:
-            if value:
-                n = min(run, 6)
-                tokens.append((16, n - 3, 2))
-            elif run >= 11:
-                n = min(run, 138)
-                tokens.append((18, n - 11, 7))
-            else:
-                n = run
-                tokens.append((17, n - 3, 3))
+            n = min(run, 6)
+            tokens.append((16, n - 3, 2))
             run -= n
-        tokens += [(value, 0, 0)] * run
+        tokens += [(bits, 0, 0)] * run
+        at = last + 1
+    if len(tokens) == 1:  # at least two are written
+        tokens.append((0, 0, 0))
     kinds = sorted({t[0] for t in tokens})
-    inner = {s: (max(1, (len(kinds) - 1).bit_length())) for s in kinds}
+    inner = dict.fromkeys(kinds, max(1, (len(kinds) - 1).bit_length()))
     short = (1 << inner[kinds[0]]) - len(kinds)  # so many of them get a code one bit shorter
     if len(kinds) > 1:
         for s in kinds[:short]:
@@ -519,20 +559,19 @@ def _put_even_code(out: Writer, symbols: np.ndarray, size: int) -> None:
         before = n
         codes[s] = (int(f"{code:0{n}b}"[::-1], 2), n) if len(kinds) > 1 else (0, 0)
         code += 1
-    out.put(0, 1)
-    count = max(CODE_ORDER.index(s) for s in kinds) + 1
-    count = max(count, 4)
-    out.put(count - 4, 4)
+    count = max(4, max(CODE_ORDER.index(s) for s in kinds) + 1)
+    value, n = (count - 4) << 1, 5
     for s in CODE_ORDER[:count]:
-        out.put(inner.get(s, 0), 3)
-    out.put(1, 1)  # as many tokens as follow
+        value |= inner.get(s, 0) << n
+        n += 3
     wide = 2 + 2 * max(0, ((len(tokens) - 2).bit_length() - 1) // 2)
-    out.put((wide - 2) // 2, 3)
-    out.put(len(tokens) - 2, wide)
-    for s, extra, n in tokens:
-        out.put(*codes[s])
-        if n:
-            out.put(extra, n)
+    value |= (1 | (wide - 2) // 2 << 1 | (len(tokens) - 2) << 4) << n  # as many tokens as follow
+    n += 4 + wide
+    for s, extra, more in tokens:
+        c, m = codes[s]
+        value |= (c | extra << m) << n
+        n += m + more
+    return value, n
 
 
 def _codes(used: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
@@ -541,10 +580,23 @@ def _codes(used: list[np.ndarray]) -> tuple[list[np.ndarray], list[int]]:
     return symbols, [len(s).bit_length() - 1 for s in symbols]
 
 
+_PLACE = np.arange(4, dtype=np.uint16) * np.uint16(256)
+
+
 def _used(pixels: np.ndarray) -> list[np.ndarray]:
     """Which values green, red, blue and alpha have."""
     channels = _channels(pixels.ravel())
-    return [np.bincount(channels[:, i], minlength=256) > 0 for i in (1, 2, 0, 3)]
+    seen = np.bincount((channels + _PLACE).ravel(), minlength=1024).reshape(4, 256) > 0
+    return [seen[i] for i in (1, 2, 0, 3)]
+
+
+@functools.lru_cache(64)
+def _near(width: int) -> dict[int, int]:
+    """The least code of each distance that has one of a near place."""
+    near: dict[int, int] = {}
+    for i, (x, y) in enumerate(NEAR):
+        near.setdefault(max(1, x + y * width), i + 1)
+    return near
 
 
 def _put_image(out: Writer, pixels: np.ndarray, main: bool) -> None:
@@ -555,9 +607,7 @@ def _put_image(out: Writer, pixels: np.ndarray, main: bool) -> None:
     literal = np.ones(len(flat), bool)
     for a, length, _ in found:
         literal[a : a + length] = False
-    near = {}
-    for i, (x, y) in enumerate(NEAR):
-        near.setdefault(max(1, x + y * width), i + 1)
+    near = _near(width) if found else {}
     steps = [(a, length, _prefix(length), _prefix(near.get(distance, distance + len(NEAR)))) for a, length, distance in found]
     used = _used(flat[literal])
     used[0] = np.pad(used[0], (0, LENGTHS))
@@ -577,15 +627,21 @@ def _put_image(out: Writer, pixels: np.ndarray, main: bool) -> None:
         at[s] = np.arange(len(s))
         index.append(at)
 
+    # The highest bit of a code comes first.
+    left = [(at << np.uint16(max(0, 8 - n))).astype(np.uint8) for at, n in zip(index[:4], bits, strict=False)]
+
     def put_pixels(a: int, b: int) -> None:
         for c in range(a, b, BLOCK):
             channels = _channels(flat[c : min(b, c + BLOCK)])
             columns = []
             for i, (place, n) in enumerate(zip((1, 2, 0, 3), bits[:4], strict=True)):
-                value = index[i][channels[:, place]]
-                columns += [((value >> np.uint16(j)) & np.uint16(1)).astype(np.uint8) for j in range(n - 1, -1, -1)]  # the highest bit comes first
+                if 0 < n <= 8:
+                    columns.append(np.unpackbits(left[i][channels[:, place]][:, None], axis=1, count=n))
+                elif n:
+                    value = index[i][channels[:, place]]
+                    columns.append(np.column_stack([((value >> np.uint16(j)) & np.uint16(1)).astype(np.uint8) for j in range(n - 1, -1, -1)]))
             if columns:
-                out.array(np.column_stack(columns).ravel())
+                out.array(np.concatenate(columns, axis=1).ravel())
 
     def put_symbol(i: int, symbol: int, extra: int, n: int) -> None:
         code = int(index[i][symbol])
@@ -620,8 +676,18 @@ def _without_green(pixels: np.ndarray) -> np.ndarray:
     return out.view("<u4")[..., 0]
 
 
+def _least_bits(pixels: np.ndarray) -> list[int]:
+    """What a pixel needs at least without green, and predicted from the left and from above: by SOME evenly spread ones."""
+    flat, width = pixels.ravel(), pixels.shape[1]
+    at = width + 1 + np.arange(SOME) * max(0, len(flat) - width - 1) // SOME
+    at = at[(at < len(flat)) & (at % width > 0)]
+    c = [_channels(flat[x]) for x in (at, at - 1, at - width)]
+    made = [_without_green(flat[at]), *((c[0] - other).view("<u4")[..., 0] for other in c[1:])]
+    return [_bits_of(m) // max(1, m.size) for m in made]
+
+
 def _bits_of(pixels: np.ndarray) -> int:
-    return pixels.size * sum((int(u.sum()) - 1).bit_length() for u in _used(pixels))
+    return pixels.size * sum((max(1, int(u.sum())) - 1).bit_length() for u in _used(pixels))
 
 
 def encode(pixels: np.ndarray) -> bytes:
@@ -648,7 +714,11 @@ def encode(pixels: np.ndarray) -> bytes:
     else:
         # A transform pays if its image needs fewer bits by more than it costs to say so.
         best, kind, mode = _bits_of(pixels) - 256, None, 0
-        for k, m, made in ((SUBTRACT_GREEN, 0, _without_green(pixels)), (PREDICTOR, 1, _predicted(pixels, 1)), (PREDICTOR, 2, _predicted(pixels, 2))):
+        for (k, m), least in zip(((SUBTRACT_GREEN, 0), (PREDICTOR, 1), (PREDICTOR, 2)), _least_bits(pixels), strict=True):
+            # The values that some pixels take are no more than all take: what they need already, the image needs.
+            if least * pixels.size >= best:
+                continue
+            made = _without_green(pixels) if k == SUBTRACT_GREEN else _predicted(pixels, m)
             if (size := _bits_of(made)) < best:
                 best, kind, mode, chosen = size, k, m, made
         if kind is not None:
