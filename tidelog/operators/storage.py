@@ -17,8 +17,9 @@ def compact(log: DataFrame, preserve_offsets: bool = False) -> DataFrame:
 
     New offsets are dense unless the old ones are kept. A partition without any key is left alone.
     """
-    keyed = log.where(F.col("key").isNotNull()).select("partition").distinct()
     latest = log.groupBy("partition", "key").agg(F.min("offset").alias("first"), F.max_by(F.struct("offset", "value"), "offset").alias("last"))
+    # One row a key from here on; partitions without keys are found among those.
+    keyed = latest.where(F.col("key").isNotNull()).select("partition").distinct()
     if preserve_offsets:
         kept = latest.select("partition", "key", F.col("last.offset").alias("offset"), F.col("last.value").alias("value"))
     else:
@@ -59,12 +60,20 @@ def retention(found: DataFrame, now: int, hours: float | None = None, limit: int
 
 
 def floor_lookup(entries: DataFrame, probes: DataFrame, by: str) -> DataFrame:
-    """For each probe the last entry at or before its offset: an as-of join by union and a running last value."""
+    """For each probe the last entry at or before its offset: an as-of join by union and a running last value.
+
+    The values run inside stretches of offsets; where a stretch begins, the last entry of those before it stands, of
+    which there is one a stretch. So no task sees a whole log.
+    """
     left = entries.select(by, F.col("offset").alias("at"), F.lit(0).alias("probe"), F.struct(F.col("offset").alias("rel_offset"), "position").alias("entry"))
     right = probes.select(by, F.col("offset").alias("at"), F.lit(1).alias("probe"), F.lit(None).cast(left.schema["entry"].dataType).alias("entry"))
-    order = W.partitionBy(by).orderBy("at", "probe").rowsBetween(W.unboundedPreceding, 0)
-    found = left.union(right).withColumn("entry", F.last("entry", ignorenulls=True).over(order))
-    return found.where("probe = 1").select(by, F.col("at").alias("offset"), F.col("entry.rel_offset").alias("rel_offset"), F.col("entry.position").alias("position"))
+    rows = left.union(right).withColumn("_stretch", F.floor(F.col("at") / STRETCH))
+    inside = F.last("entry", ignorenulls=True).over(W.partitionBy(by, "_stretch").orderBy("at", "probe").rowsBetween(W.unboundedPreceding, 0))
+    ends = rows.groupBy(by, "_stretch").agg(F.max_by("entry", F.when(F.col("entry").isNotNull(), F.col("at"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(W.partitionBy(by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
+    begins = ends.select(by, "_stretch", before.alias("begin"))
+    found = rows.withColumn("entry", inside).where("probe = 1").join(begins, [by, "_stretch"]).withColumn("entry", F.coalesce("entry", "begin"))
+    return found.select(by, F.col("at").alias("offset"), F.col("entry.rel_offset").alias("rel_offset"), F.col("entry.position").alias("position"))
 
 
 def index_differences(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:

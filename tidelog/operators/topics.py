@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidelog.functions.routing import md5_mod
+from tidelog.functions.scalar import FRAME, frame_size
 
 PARTITIONS, DAY = 8, 86_400_000
 #: Offsets of a partition that are written by one task.
@@ -74,6 +77,18 @@ def read(topic: DataFrame, start: int, most: int = 100) -> DataFrame:
     return found.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
 
 
+def fetch(topic: DataFrame, requests: dict[int, tuple[int, int]]) -> DataFrame:
+    """The records that fit each request: by partition, an offset to start from and bytes (of frames) at most; `upto` is their sum so far.
+
+    A record has a frame's bytes at least, so each request is also a range of offsets, which reaches the scan.
+    """
+    wanted = [(F.col("partition") == p) & (F.col("offset") >= start) & (F.col("offset") < start + most // FRAME) for p, (start, most) in requests.items()]
+    limit = F.coalesce(*(F.when(F.col("partition") == p, F.lit(most)) for p, (_, most) in requests.items()))
+    upto = F.sum(frame_size(F.col("key"), F.col("value"))).over(W.partitionBy("partition").orderBy("offset"))
+    rows = topic.where(reduce(lambda a, b: a | b, wanted))
+    return rows.withColumn("upto", upto).where(F.col("upto") <= limit)
+
+
 def list_offsets(topic: DataFrame, at: int) -> DataFrame:
     """The first offset at or after a time in each partition, and the earliest and next ones."""
     return topic.groupBy("partition").agg(

@@ -12,6 +12,8 @@ from tidelog.plans.registry import query
 from tidelog.plans.sqltext import CHANGES, EVENTS, SEGMENTS
 
 NOW = 1_706_659_200_000  # 2024-01-31, in milliseconds
+#: Ids of documents that are numbered in one go.
+IDS = 1 << 20
 _SHOWN = ["partition", "offset", "timestamp", "key", "value"]
 _SHOWN_SQL = 'partition, "offset", timestamp, key, value'
 
@@ -178,7 +180,7 @@ entries AS (SELECT source, n - 1 AS "offset", position FROM f WHERE entry)"""
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = topics.table(spark, sf_dir, "documents").select("source", "doc_id", scalar.frame_size(F.lit(None).cast("string"), F.col("text")).alias("size"))
-    rows = topics.numbered(docs, ["doc_id"], by=("source",))
+    rows = topics.numbered(docs, ["doc_id"], by=("source",), stretch=F.floor(F.col("doc_id") / IDS))
     found = fold.ordered_fold(rows, ["source"], ["offset"], ["size"], *fold.sparse_index(4096), "position long, entry boolean")
     return found.where("entry").select("source", "offset", "position")
 
@@ -194,7 +196,7 @@ SELECT p.source, p."offset", e."offset" AS rel_offset, e.position FROM probes p
 def index_floor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index entry from which a lookup would scan."""
     docs = topics.table(spark, sf_dir, "documents").select("source", "doc_id")
-    probes = topics.numbered(docs, ["doc_id"], by=("source",))
+    probes = topics.numbered(docs, ["doc_id"], by=("source",), stretch=F.floor(F.col("doc_id") / IDS))
     return storage.floor_lookup(_index(spark, sf_dir), probes, "source")
 
 
@@ -283,14 +285,8 @@ x AS (SELECT t.partition, t."offset", r.max_bytes, sum(octet_length(encode(key))
 SELECT partition, count(*) AS records, min("offset") AS first, max("offset") AS last, CAST(max(upto) AS BIGINT) AS bytes FROM x WHERE upto <= max_bytes GROUP BY 1""")
 def fetch_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each requested partition the records from an offset on that fit its bytes."""
-    from pyspark.sql import Window as W
-
-    wanted = spark.range(8).select(F.col("id").cast("int").alias("partition"), (F.col("id") * 10).alias("start"), (500 + 100 * F.col("id")).alias("max_bytes"))
-    topic = stored.events(spark, sf_dir)
-    size = scalar.frame_size(F.col("key"), F.col("value"))
-    rows = topic.join(F.broadcast(wanted), "partition").where(F.col("offset") >= F.col("start"))  # as many rows as partitions
-    rows = rows.withColumn("upto", F.sum(size).over(W.partitionBy("partition").orderBy("offset"))).where("upto <= max_bytes")
-    return rows.groupBy("partition").agg(F.count("*").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.max("upto").alias("bytes"))
+    found = topics.fetch(stored.events(spark, sf_dir), {p: (10 * p, 500 + 100 * p) for p in range(8)})
+    return found.groupBy("partition").agg(F.count("*").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.max("upto").alias("bytes"))
 
 
 @query("adaptive_fetch", """WITH RECURSIVE g AS (SELECT user_id, CAST(round(value * 9000) AS BIGINT) AS got, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

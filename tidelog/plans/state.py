@@ -55,7 +55,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("seq_assign", f'WITH {EVENTS} SELECT event_id, row_number() OVER (PARTITION BY user_id, partition ORDER BY "offset") - 1 AS seq FROM topic')
 def seq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence numbers from 0 for each producer and partition."""
-    return topics.numbered(stored.events(spark, sf_dir), ["offset"], "seq", ("user_id", "partition")).select("event_id", "seq")
+    return topics.numbered(stored.events(spark, sf_dir), ["offset"], "seq", ("user_id", "partition"), F.floor(F.col("offset") / storage.STRETCH)).select("event_id", "seq")
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = stored.events(spark, sf_dir)
     state = F.when(F.col("event_type") == "error", "PREPARE_ABORT").when(F.col("event_type") == "signup", "PREPARE_COMMIT").when(F.col("event_type") == "purchase", "COMMITTED").otherwise("ONGOING")
     rows = topic.select("transaction_id", "ts", "event_id", F.col("timestamp").alias("since"), state.alias("state"))
-    return topics.numbered(rows, ["ts", "event_id"], "seq", ("transaction_id",))
+    return topics.numbered(rows, ["ts", "event_id"], "seq", ("transaction_id",), F.floor(F.col("since") / topics.DAY))
 
 
 _LATEST = f"WITH {EVENTS}, {STATES}, latest AS (SELECT transaction_id, arg_max(state, seq) AS state, max(since) AS since FROM states GROUP BY 1)"

@@ -15,10 +15,11 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tidelog.operators import topics
 
-_KNOWN: dict[tuple, str] = {}
+_KNOWN: dict[tuple, tuple[str, StructType]] = {}
 
 
 def _removed(spark: SparkSession, path: str) -> None:
@@ -44,10 +45,12 @@ def _stored(spark: SparkSession, sf_dir: str, table: str, make: Callable[[SparkS
     key = (spark.sparkContext.applicationId, sf_dir, table, *_state(spark, f"{sf_dir}/{table}.parquet"))
     if key not in _KNOWN:
         path = f"{shared_folder(spark)}/topic-{table}-{uuid.uuid4().hex}"
-        topics.write(make(spark, sf_dir), path)
+        topic = make(spark, sf_dir)
+        topics.write(topic, path)
         atexit.register(_removed, spark, path)
-        _KNOWN[key] = path
-    return spark.read.schema(make(spark, sf_dir).schema).parquet(_KNOWN[key])
+        _KNOWN[key] = path, topic.schema
+    path, schema = _KNOWN[key]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)  # the partition would come last
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
