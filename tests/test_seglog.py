@@ -24,6 +24,13 @@ def test_checksum_and_frames():
         frames.unpack(bytes(raw[:-1]))
 
 
+def test_checksums_side_by_side():
+    parts = [os.urandom(n) for n in (0, 1, 7, 8, 9, 100, 4095, 4096, 4097, 9000, 3, 3)]
+    assert frames.crc32c_many(parts) == [frames.crc32c(x) for x in parts] and frames.crc32c_many([]) == []
+    rows = [(5, None, b"v"), (6, b"", b""), (7, b"k" * 5000, b"x" * 9)]
+    assert frames.pack_many(rows) == [frames.pack(*r) for r in rows]
+
+
 @pytest.mark.parametrize("name", codecs.CODECS)
 def test_codecs(name):
     put, get = codecs.codec(name)
@@ -95,10 +102,11 @@ def test_files_larger_than_a_block(tmp_path, monkeypatch):
     path = tmp_path / "x.log"
     values = [os.urandom(n) for n in (0, 1, 500, 63, 64, 65, 3000, 2)]
     path.write_bytes(b"".join(frames.pack(i, b"k" * i, v) for i, v in enumerate(values)))
-    got = list(seglog.scan(seglog.Segment(str(path), 3, 100), True))
+    scanned = lambda: [tuple(r.values()) for b in seglog.scan(seglog.Segment(str(path), 3, 100), True) for r in b.to_pylist()]
+    got = scanned()
     assert [(r[1], r[2], r[3], r[4]) for r in got] == [(100 + i, i, b"k" * i, v) for i, v in enumerate(values)]
     path.write_bytes(path.read_bytes()[:-1])
-    got = list(seglog.scan(seglog.Segment(str(path), 3, 100), True))
+    got = scanned()
     assert len(got) == 8 and got[-1][6] == "the frame is cut off" and got[-1][7] == 26 + 7 + 2 - 1
 
 

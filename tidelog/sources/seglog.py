@@ -20,10 +20,11 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-from tidelog.functions.frames import LARGEST, pack, unpack
+from tidelog.functions.frames import bound, crc32c_many, pack_many, parsed
 
 SCHEMA = "partition int, offset long, timestamp long, key binary, value binary, attributes int, error string, corrupt_bytes long"
 BLOCK = 4 << 20
@@ -50,40 +51,64 @@ def segments(path: str) -> list[Segment]:
     return out
 
 
-def _frames(path: str, at: int, offset: int, stop: int | None = None) -> Iterator[tuple]:
-    """(offset, timestamp, key, value, attributes, end) of each frame from byte `at` on; at the first that can't be read, the error instead.
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.string(), pa.int64()]
 
-    A file is read BLOCK bytes at a time, so memory has a block and a frame at most.
+
+def _frames(path: str, at: int, offset: int, stop: int | None = None) -> Iterator[tuple[int, list[tuple]]]:
+    """Lists of (timestamp, key, value, attributes) with the offset of the first, from byte `at` on.
+
+    The last list ends with (error, bytes left) if there is a frame that can't be read. A file is read BLOCK bytes at
+    a time, and what is whole in a block is checked at once, so memory has a block and a frame at most.
     """
     with open(path, "rb") as f:
         f.seek(at)
-        held, begin, size = b"", 0, stop if stop is not None else os.fstat(f.fileno()).st_size
+        held, size = b"", stop if stop is not None else os.fstat(f.fileno()).st_size
         while at < size:
-            left = len(held) - begin
-            need = 4 + int.from_bytes(held[begin : begin + 4], "big") if left >= 4 else 8
-            if left < need and left < size - at and need <= LARGEST + 4:
-                held = held[begin:] + f.read(min(max(BLOCK, need - left), size - at - left))
-                begin = 0
-                continue
-            try:
-                timestamp, key, value, attributes, end = unpack(held, begin)
-            except ValueError as e:
-                yield str(e), size - at
+            held += f.read(min(BLOCK, size - at - len(held)))
+            last = at + len(held) >= size
+            ends, error, begin = [], None, 0
+            while begin < len(held):
+                try:
+                    begin = bound(held, begin)
+                except ValueError as e:
+                    # A frame that is cut off may only be so by the end of the block.
+                    error = str(e) if last or "range" in str(e) else None
+                    break
+                ends.append(begin)
+            whole = [held[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            out: list[tuple] = []
+            done = 0
+            for frame, crc, end in zip(whole, crc32c_many([x[8:] for x in whole]), ends, strict=True):
+                try:
+                    out.append(parsed(frame, crc))
+                except ValueError as e:
+                    error = str(e)
+                    break
+                done = end
+            at, held = at + done, held[done:]
+            if error:
+                yield offset, [*out, (error, size - at)]
                 return
-            at, begin = at + end - begin, end
-            yield offset, timestamp, key, value, attributes, at
-            offset += 1
+            yield offset, out
+            offset += len(out)
 
 
-def scan(segment: Segment, report: bool) -> Iterator[tuple]:
-    for frame in _frames(segment.path, 0, segment.base):
-        if len(frame) == 2:
-            if report:
-                yield segment.partition, None, None, None, None, None, *frame
+def _batches(path: str, partition: int, at: int, base: int, low: int, high: int | None, report: bool, stop: int | None = None) -> Iterator[pa.RecordBatch]:
+    for first, rows in _frames(path, at, base, stop):
+        error = rows.pop() if rows and len(rows[-1]) == 2 else None
+        a, b = max(0, low - first), len(rows) if high is None else max(0, min(len(rows), high - first))
+        out = [(partition, first + i, t, k, v, x, None, None) for i, (t, k, v, x) in enumerate(rows[a:b], a)]
+        if error and report:
+            out.append((partition, None, None, None, None, None, *error))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+        if high is not None and first + len(rows) >= high:
             return
-        offset, timestamp, key, value, attributes, _ = frame
-        if offset >= segment.start:
-            yield segment.partition, offset, timestamp, key, value, attributes, None, None
+
+
+def scan(segment: Segment, report: bool, high: int | None = None) -> Iterator[pa.RecordBatch]:
+    return _batches(segment.path, segment.partition, 0, segment.base, segment.start, high, report)
 
 
 class Reader(DataSourceReader):
@@ -98,10 +123,8 @@ class Reader(DataSourceReader):
             s.start = self.low
         return list(found)
 
-    def read(self, partition: Segment) -> Iterator[tuple]:
-        for row in scan(partition, self.report):
-            if self.high is None or row[1] is None or row[1] < self.high:
-                yield row
+    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+        return scan(partition, self.report, self.high)
 
 
 @dataclass
@@ -153,11 +176,8 @@ class StreamReader(DataSourceStreamReader):
         return list(out)
 
     def read(self, partition: Tail) -> Iterator[tuple]:
-        for frame in _frames(partition.path, partition.byte, partition.offset, partition.stop):
-            if len(frame) == 2:
-                return
-            offset, timestamp, key, value, attributes, _ = frame
-            yield partition.partition, offset, timestamp, key, value, attributes, None, None
+        for batch in _batches(partition.path, partition.partition, partition.byte, partition.offset, 0, None, False, partition.stop):
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 @dataclass
@@ -165,29 +185,31 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Rows of a task must be sorted by partition and offset, and no stretch of `segmentRecords` offsets of a partition be in two tasks."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.limit, self.records = options["path"], int(options.get("segmentBytes", 1 << 30)), int(options.get("segmentRecords", 1 << 20))
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         files, out, filled, now = [], None, 0, None
         tag = uuid.uuid4().hex  # no other task's, on whatever host
-        for r in rows:
-            place = r["partition"], r["offset"] // self.records
-            if place != now or filled >= self.limit:
-                if out:
-                    out.close()
-                folder = os.path.join(self.path, str(r["partition"]))
-                os.makedirs(folder, exist_ok=True)
-                final = os.path.join(folder, f"{r['offset']:020d}.log")
-                part = f"{final}.part-{tag}-{len(files)}"
-                files.append((part, final))
-                out, filled, now = open(part, "wb"), 0, place  # noqa: SIM115
-            frame = pack(r["timestamp"], r["key"], r["value"] or b"")
-            out.write(frame)
-            filled += len(frame)
+        for batch in batches:
+            partitions, offsets, *columns = (batch.column(c).to_pylist() for c in ("partition", "offset", "timestamp", "key", "value"))
+            frames = pack_many((t, k, v or b"") for t, k, v in zip(*columns, strict=True))
+            for partition, offset, frame in zip(partitions, offsets, frames, strict=True):
+                place = partition, offset // self.records
+                if place != now or filled >= self.limit:
+                    if out:
+                        out.close()
+                    folder = os.path.join(self.path, str(partition))
+                    os.makedirs(folder, exist_ok=True)
+                    final = os.path.join(folder, f"{offset:020d}.log")
+                    part = f"{final}.part-{tag}-{len(files)}"
+                    files.append((part, final))
+                    out, filled, now = open(part, "wb"), 0, place  # noqa: SIM115
+                out.write(frame)
+                filled += len(frame)
         if out:
             out.close()
         return Written(files)
