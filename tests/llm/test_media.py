@@ -104,6 +104,14 @@ def test_the_writer_uses_what_pays(kind, monkeypatch):
     assert (webp.decode(raw) == image).all()
 
 
+def test_all_values_and_back_references():
+    """More symbols than a code of one length may have: the references go."""
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 1 << 32, 3000, dtype=np.uint64).astype(np.uint32)
+    image = np.concatenate([image, image[:1000]]).reshape(-1, 16)
+    assert (webp.decode(webp.encode(image)) == image).all()
+
+
 def test_references_are_right_and_apart():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 32, 5000, dtype=np.uint64).astype(np.uint32)

@@ -232,7 +232,7 @@ def brute(rows, width, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"NODE": 8, "ALONE": 4, "ROOM": 1500, "DEPTH": 2}, {"NODE": 4, "ALONE": 4, "ROOM": 300, "DEPTH": 1, "FEW": 1, "HELD": 10}, {"ALONE": 6, "ROOM": 500}])
+@pytest.mark.parametrize("limits", [{}, {"NODE": 8, "ALONE": 4, "ROOM": 1500, "DEPTH": 2}, {"NODE": 4, "ALONE": 4, "ROOM": 300, "DEPTH": 1, "FEW": 1, "HELD": 10, "WIDE": 2}, {"ALONE": 6, "ROOM": 500}])
 def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, limits):
     """Also with nodes and rooms so small that branching, blocks and rooms of several blocks are needed."""
     for k, v in limits.items():
@@ -258,11 +258,11 @@ def test_recall_on_a_large_node(spark):
     """At the constants of production: 4,400 texts of one shape, in 1,100 groups of four whose members are at 0.85 or a little more from each other."""
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    common, rows, pairs = [word() for _ in range(170)], [], []
+    common, rows, pairs = [word() for _ in range(60)], [], []
     for group in range(1100):
-        own = [word() for _ in range(30)]  # the common part alone makes any two of them alike at about 0.72
+        own = [word() for _ in range(10)]  # the common part alone makes any two of them alike at 0.6 or so
         for k in range(4):
-            rows.append((4 * group + k, " ".join([*common, *own, *(word() for _ in range(14 if k else 0))])))
+            rows.append((4 * group + k, " ".join([*common, *own, *(word() for _ in range(11 if k else 0))])))
         pairs += [(4 * group, 4 * group + k) for k in (1, 2, 3)]
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()}
     sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
@@ -281,9 +281,9 @@ def test_large_families_meet_representatives_first(spark, monkeypatch):
     rows = [(i, " ".join([*base, word()])) for i in range(3000)]
     seen, rooms = [], neardup._in_rooms
 
-    def counted(given, limit, room, payload):
+    def counted(given, some_large, limit, room, payload):
         seen.append(given.agg(F.max("blocks")).first()[0])
-        return rooms(given, limit, room, payload)
+        return rooms(given, some_large, limit, room, payload)
 
     seen_rows = spark.sparkContext.accumulator(0)
     inner = neardup._linked

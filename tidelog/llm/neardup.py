@@ -15,8 +15,8 @@ the full sets, and their components are the result.
 
 Where a node or a family has more than one room, each block of it first meets itself and a few
 representatives of the whole. That connects near copies of one text, however many there are. Only
-those that are then not connected with the greater part of it meet every block, which is exact: a
-pair that isn't compared is of two that are connected already.
+those that are then not connected with the greater part of it meet every other row, in wide blocks;
+this is exact: a pair that isn't compared is of two that are connected already.
 
 Defined results: a null text or one without words has the empty set, is linked with nothing and is
 its own component; a text of fewer words than a shingle has one shingle, its words; texts of any
@@ -28,8 +28,8 @@ rows. `near_duplicates` reads doc_id and text alone; `deduplicated` carries colu
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,8 @@ TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 18
 ALONE = 1024
 #: Representatives of a node or family that has several rooms; vertices of which a task remembers to what they are connected.
 FEW, HELD = 4, 1 << 18
+#: Blocks that make a wide one, which what is left over meets; tasks that the rows of a group are dealt to in a join.
+WIDE, SALT = 8, 16
 #: Standard deviations below the threshold down to which sketches count as alike; bits of the filter of texts.
 SIGMAS, FILTER = 4.2, 1 << 24
 
@@ -169,63 +171,93 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
-def _alike(least: float):
-    """Edges that connect the vertices of each node whose sketches agree in `least` of the places."""
+Row = tuple[bytes, bool | None, bytes | None, Any]  # vid, mine, label, value
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []
-        forest = Forest()
 
-        def connect(rows: list[tuple[int, bytes, bytes]]) -> None:
-            for _, same in groupby(rows, key=lambda r: r[0]):
-                group = list(same)
-                if len(group) < 2:
-                    continue
-                x = np.frombuffer(b"".join(r[2] for r in group), np.uint8).reshape(len(group), PLACES)
-                left, queue = np.arange(1, len(group)), [0]
-                while len(left):
-                    if not queue:
-                        queue, left = [int(left[0])], left[1:]
-                        continue
-                    i = queue.pop()
-                    near = (x[left] == x[i]).sum(1) >= least * PLACES
-                    for j in left[near].tolist():
-                        forest.add(group[i][1], group[j][1])
-                    queue += left[near].tolist()
-                    left = left[~near]
+def _rooms_of(batches: Iterator[pa.RecordBatch], values: Callable[[pa.RecordBatch], Iterator[Any]]) -> Iterator[list[Row]]:
+    """The rows of each room: batches are (group, i, j, vid, mine, label, and what `values` makes of it), sorted by the first three."""
+    held: list[Row] = []
+    now = None
+    for batch in batches:
+        keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+        for key, vid, mine, label, value in zip(keys, *(batch.column(i).to_pylist() for i in range(3, 6)), values(batch), strict=True):
+            if key != now and held:
+                yield held
+                held = []
+            now = key
+            held.append((vid, mine, label, value))
+    if held:
+        yield held
 
-        for batch in batches:
-            held += zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            if held:
-                cut = len(held) - 1
-                while cut and held[cut - 1][0] == held[-1][0]:
-                    cut -= 1
-                connect(held[:cut])
-                held = held[cut:]
+
+def _connecting(values: Callable, within: Callable[[list[Row]], Iterator[tuple[bytes, bytes]]], across: Callable[[list[Row]], Iterator[tuple[bytes, bytes]]]):
+    """A task's edges: `within` connects the rows of a room, `across` those that are `mine` with rows of other labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for room in _rooms_of(batches, values):
+            if len(room) > 1:
+                for a, b in within(room) if room[0][1] is None else across(room):
+                    forest.add(a, b)
             if len(forest.to) > HELD:
                 yield forest.edges()
-        connect(held)
         yield forest.edges()
 
     return run
 
 
-def _in_rooms(rows: DataFrame, limit: int, room, payload: list[str]) -> DataFrame:
-    """(a, b): edges that connect what `room` finds connected in each group of `rows` (group, vid, n, blocks and `payload`).
+def _alike(least: float):
+    """Edges between vertices whose sketches agree in `least` of the places."""
 
-    `room` is given (group, i, j, vid and payload), dealt by the first three.
-    """
-    shown = ["group", "i", "j", "vid", *payload]
+    def matrix(room: list[Row]) -> np.ndarray:
+        return np.frombuffer(b"".join(r[3] for r in room), np.uint8).reshape(len(room), PLACES)
+
+    def within(room: list[Row]) -> Iterator[tuple[bytes, bytes]]:
+        x = matrix(room)
+        left, queue = np.arange(1, len(room)), [0]
+        while len(left):
+            if not queue:
+                queue, left = [int(left[0])], left[1:]
+                continue
+            i = queue.pop()
+            near = (x[left] == x[i]).sum(1) >= least * PLACES
+            for j in left[near].tolist():
+                yield room[i][0], room[j][0]
+            queue += left[near].tolist()
+            left = left[~near]
+
+    def across(room: list[Row]) -> Iterator[tuple[bytes, bytes]]:
+        x = matrix(room)
+        for i, (vid, mine, label, _) in enumerate(room):
+            if mine:
+                for j in np.flatnonzero((x == x[i]).sum(1) >= least * PLACES).tolist():
+                    if room[j][2] != label:
+                        yield vid, room[j][0]
+
+    return _connecting(lambda batch: iter(batch.column(6).to_pylist()), within, across)
+
+
+def _salted(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` (group, vid, ...) joined with a table of one row a group, so that a large group's rows are no single task's."""
+    few = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(SALT)).cast("int")).join(few, ["group", "_salt"], how).drop("_salt")
+
+
+def _in_rooms(rows: DataFrame, some_large: bool, limit: int, connect, payload: str) -> DataFrame:
+    """(a, b): edges that connect what `connect` finds connected in each group of `rows` (group, vid, n, blocks and `payload`)."""
+    rows = rows.withColumns({"mine": F.lit(None).cast("boolean"), "label": F.lit(None).cast("binary")})
+    shown = ["group", "i", "j", "vid", "mine", "label", payload]
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     zero = F.lit(0).cast("int")
 
     def met(each: DataFrame) -> DataFrame:
-        return each.select(*shown).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(room, "a binary, b binary")
+        return each.select(*shown).repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(connect, "a binary, b binary")
 
-    small, large = rows.where("blocks = 1"), rows.where("blocks > 1")
-    first = small.withColumns({"i": zero, "j": zero})
-    if large.isEmpty():
+    first = rows.where("blocks = 1").withColumns({"i": zero, "j": zero})
+    if not some_large:
         return met(first)
+    large = settle(rows.where("blocks > 1"))
+    # A block meets itself and the representatives.
     part = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(FEW))
     some = settle(large.groupBy("group", part).agg(F.min("vid").alias("vid")).select("group", "vid", F.lit(True).alias("some")))
     every = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
@@ -235,14 +267,17 @@ def _in_rooms(rows: DataFrame, limit: int, room, payload: list[str]) -> DataFram
     labels = settle(large.select("group", "vid", "n").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid")))
     sizes = labels.groupBy("group", "label").agg(F.count("*").alias("size"))
     greatest = settle(sizes.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("greatest")))
-    rest = settle(labels.join(greatest, "group").where(F.col("label") != F.col("greatest")).select("group", "vid", "n"))
+    rest = settle(_salted(labels, greatest).where(F.col("label") != F.col("greatest")).select("group", "vid", "n"))
     if rest.isEmpty():
         return edges
-    parts = settle(rest.groupBy("group").agg(F.ceil(F.sum("n") / limit).alias("parts")))
-    alone = large.join(rest.select("group", "vid"), ["group", "vid"], "left_semi").join(parts, "group")
-    alone = alone.withColumns({"i": F.pmod(F.xxhash64("vid", F.lit(9)), F.col("parts")).cast("int"), "j": F.explode(every)})
-    whole = large.join(parts, "group").withColumns({"j": own, "i": F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))})
-    return edges.union(met(alone.select(*shown).union(whole.select(*shown))))
+    # What isn't in the greater part meets all: it is cut in parts that a task can hold, and the whole in wide blocks.
+    parts = settle(rest.groupBy("group").agg(F.ceil(F.sum("n") / (WIDE * limit)).alias("parts")))
+    known = _salted(large.drop("label").join(labels.select("group", "vid", "label"), ["group", "vid"]), parts).withColumn("wide", F.ceil(F.col("blocks") / WIDE))
+    cut, block = F.pmod(F.xxhash64("vid", F.lit(9)), F.col("parts")).cast("int"), F.pmod(F.xxhash64("vid"), F.col("wide")).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), (F.col(c) - 1).cast("int"))
+    mine = known.join(rest.select("group", "vid"), ["group", "vid"], "left_semi").withColumns({"mine": F.lit(True), "i": cut, "j": F.explode(upto("wide"))})
+    whole = known.withColumns({"mine": F.lit(False), "j": block, "i": F.explode(upto("parts"))})
+    return edges.union(met(mine.select(*shown).union(whole.select(*shown))))
 
 
 def _families(points: DataFrame, least: float) -> DataFrame:
@@ -267,76 +302,69 @@ def _families(points: DataFrame, least: float) -> DataFrame:
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
-    alone = every.where(F.col("size") <= ALONE).select("node", "vid", "sketch").repartition("node").sortWithinPartitions("node")
-    edges = alone.mapInArrow(_alike(least), "a binary, b binary")
-    rest = every.where(F.col("size") > ALONE)
-    if not rest.isEmpty():
-
-        def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _alike(least)(pa.RecordBatch.from_arrays([pa.array(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)), b.column(3), b.column(4)], ["node", "vid", "sketch"]) for b in batches)
-
-        blocks = F.ceil(F.col("size") / (ALONE // 2))
-        edges = edges.union(_in_rooms(rest.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch"), ALONE // 2, room, ["sketch"]))
-    return components(edges)
+    blocks = F.when(F.col("size") <= ALONE, F.lit(1)).otherwise(F.ceil(F.col("size") / (ALONE // 2)))
+    rows = every.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch")
+    return components(_in_rooms(rows, not every.where(F.col("size") > ALONE).isEmpty(), ALONE // 2, _alike(least), "sketch"))
 
 
 def _linked(width: int, percent: int):
-    """Links that connect the vertices of each room, confirmed on full sets."""
-
-    def solve(group: list[tuple[bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
-        group = list({vid: keys for vid, keys in group}.items())
-        sizes = np.array([len(keys) for _, keys in group])
-        _, flat = np.unique(np.concatenate([keys for _, keys in group]), return_inverse=True)
-        begin = np.cumsum(sizes) - sizes
-        mark = np.zeros(int(flat.max(initial=0)) + 1, np.int64)
-        left, queue = np.arange(1, len(group)), [0]
+    """Links, confirmed on full sets."""
+
+    def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        col = textbuf.texts(batch)
+        for a, b in textbuf.slices(col):
+            keys, begin = shingles(*textbuf.view(col, a, b), width)
+            for k in range(b - a):
+                yield np.unique(keys[begin[k] : begin[k + 1]])
+
+    class Sets:
+        """The sets of a room, by numbers that are close to each other."""
+
+        def __init__(self, room: list[Row]) -> None:
+            self.sizes = np.array([len(r[3]) for r in room])
+            _, self.flat = np.unique(np.concatenate([r[3] for r in room]), return_inverse=True)
+            self.begin = np.cumsum(self.sizes) - self.sizes
+            self.mark = np.zeros(int(self.flat.max(initial=0)) + 1, np.int64)
+
+        def near(self, i: int, others: np.ndarray) -> np.ndarray:
+            """Those of the others that are linked with i."""
+            sizes, begin, mark = self.sizes, self.begin, self.mark
+            # Only sets of a size that can reach the threshold are looked at.
+            fits = others[(100 * sizes[others] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[others])]
+            if not len(fits):
+                return fits
+            own = self.flat[begin[i] : begin[i] + sizes[i]]
+            mark[own] = 1
+            ends = np.cumsum(sizes[fits])
+            at = np.repeat(begin[fits] - ends + sizes[fits], sizes[fits]) + np.arange(int(ends[-1]))
+            both = np.add.reduceat(mark[self.flat[at]], ends - sizes[fits])
+            mark[own] = 0
+            return fits[100 * both >= percent * (sizes[fits] + sizes[i] - both)]
+
+    def within(room: list[Row]) -> Iterator[tuple[bytes, bytes]]:
+        room = list({r[0]: r for r in room}.values())
+        of = Sets(room)
+        left, queue = np.arange(1, len(room)), [0]
         while len(left):
             if not queue:
                 queue, left = [int(left[0])], left[1:]
                 continue
             i = queue.pop()
-            own = flat[begin[i] : begin[i] + sizes[i]]
-            mark[own] = 1
-            # Only sets of a size that can reach the threshold are looked at.
-            fits = left[(100 * sizes[left] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[left])]
-            both = np.zeros(len(fits), np.int64)
-            if len(fits):
-                at = np.repeat(begin[fits] - np.cumsum(sizes[fits]) + sizes[fits], sizes[fits]) + np.arange(int(sizes[fits].sum()))
-                both = np.add.reduceat(mark[flat[at]], np.cumsum(sizes[fits]) - sizes[fits])
-            mark[own] = 0
-            near = fits[100 * both >= percent * (sizes[fits] + sizes[i] - both)]
+            near = of.near(i, left)
             for j in near.tolist():
-                yield group[i][0], group[j][0]
+                yield room[i][0], room[j][0]
             queue += near.tolist()
             left = left[~np.isin(left, near)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple, tuple[bytes, np.ndarray]]] = []
-
-        forest = Forest()
-
-        def connect() -> None:
-            if len(held) > 1:
-                for a, b in solve([x for _, x in held]):
-                    forest.add(a, b)
+    def across(room: list[Row]) -> Iterator[tuple[bytes, bytes]]:
+        of, number = Sets(room), {}
+        label = np.array([number.setdefault(r[2], len(number)) for r in room])
+        for i, (vid, mine, _, _) in enumerate(room):
+            if mine:
+                for j in of.near(i, np.flatnonzero(label != label[i])).tolist():
+                    yield vid, room[j][0]
 
-        for batch in batches:
-            rooms = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            vids = batch.column(3).to_pylist()
-            col = textbuf.texts(batch)
-            for a, b in textbuf.slices(col):
-                keys, begin = shingles(*textbuf.view(col, a, b), width)
-                for k in range(a, b):
-                    if held and held[0][0] != rooms[k]:
-                        connect()
-                        held = []
-                        if len(forest.to) > HELD:
-                            yield forest.edges()
-                    held.append((rooms[k], (vids[k], np.unique(keys[begin[k - a] : begin[k - a + 1]]))))
-        connect()
-        yield forest.edges()
-
-    return run
+    return _connecting(sets, within, across)
 
 
 def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -370,11 +398,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     family = _families(points.select("vid", "sketch", "roots"), least)
     named = family.select(F.col("a").alias("vid"), F.col("b").alias("family")).union(family.select("b", "b").distinct())
     members = settle(named.join(points.select("vid", "n", "of.id", "of.text_key"), "vid"))
-    blocks = settle(members.groupBy("family").agg(F.ceil(F.sum("n") / ROOM).alias("blocks")))
+    large = settle(members.groupBy(F.col("family").alias("group")).agg(F.ceil(F.sum("n") / ROOM).alias("blocks")).where(F.col("blocks") > 1))
     texts = _wanted(docs, members)
     id_ = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
-    brought = texts.withColumn("id", id_).join(members.select("vid", "n", "family", "id", "text_key"), ["id", "text_key"]).join(blocks, "family").select(F.col("family").alias("group"), "vid", "n", "blocks", "text")
-    links = _in_rooms(brought, ROOM, _linked(width, percent), ["text"])
+    of = members.select("vid", "n", F.col("family").alias("group"), "id", "text_key")
+    brought = texts.withColumn("id", id_).join(of, ["id", "text_key"])
+    family_rows = _salted(brought, large, "left").select("group", "vid", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), "text")
+    links = _in_rooms(family_rows, not large.isEmpty(), ROOM, _linked(width, percent), "text")
     labels = components(links)
     label = labels.select(F.col("a").alias("vid"), F.col("b").alias("label"))
     ids = points.select("vid", "of").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid"))

@@ -604,6 +604,9 @@ def _put_image(out: Writer, pixels: np.ndarray, main: bool) -> None:
     height, width = pixels.shape
     flat = pixels.ravel()
     found = references(flat) if main else []
+    kinds = {_prefix(length)[0] for _, length, _ in found}
+    if int(_used(flat)[0].sum()) + len(kinds) > 256:  # a code of one length has 256 symbols at most here
+        found = []
     literal = np.ones(len(flat), bool)
     for a, length, _ in found:
         literal[a : a + length] = False
