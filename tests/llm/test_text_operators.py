@@ -168,8 +168,9 @@ def plain_terms(rows):
         return share < 0 and np.log2(pair[c, t] * total / (of[c] * count[t])) >= -pii.ALPHA * share - 1e-9
 
     hit = {(c, t) for c, t in pair if (isinstance(c, tuple) or pair[c, t] >= pii.SUPPORT) and discloses(c, t)}
-    everywhere = {t for c, t in hit if isinstance(c, tuple) and of[c] > 1 and count[t] > 1}
-    return {i: sorted(p for t, places in terms.items() if t in everywhere or any((c, t) in hit for c in values | kinds) for p in places) for i, terms, values, kinds in docs}
+    several = {t for c, t in hit if isinstance(c, tuple) and of[c] > 1 and count[t] > 1}
+    far = {t for c, t in hit if isinstance(c, tuple) and pair[c, t] >= pii.FAR}
+    return {i: sorted(p for t, places in terms.items() if t in (several if kinds else far) or any((c, t) in hit for c in values | kinds) for p in places) for i, terms, values, kinds in docs}
 
 
 def term_spans(spans):
@@ -182,10 +183,10 @@ def test_terms_are_those_of_brute_force(spark, monkeypatch):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet").collect()]
     # Values and terms that come again, with copies and a term in a text without the value.
     rows += [(10_000 + i, f"Zanzibar writes to q.z@mail.example {rows[i][1][:300]}") for i in range(12)]
-    rows += [(11_000, "only Zanzibar here"), (11_001, "call +49 30 1234567 Unrepeated"), (11_002, "call +49 30 1234567 Unrepeated")]
+    rows += [(11_000, "only Zanzibar here"), (11_001, "call +49 30 1234567 Unrepeated"), (11_002, "call +49 30 1234567 Unrepeated"), (11_003, "Unrepeated in a clean text"), (11_004, "Unrepeated for x@y.example")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = plain_terms(rows)
-    assert sum(map(bool, want.values())) > 50 and want[11_000]
+    assert sum(map(bool, want.values())) > 50 and want[11_000] and not want[11_003]
     got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
     assert {i: term_spans(x) for i, x in got.items()} == want
     monkeypatch.setattr(pii, "HARMLESS", 1)  # lists that are too long to be known everywhere

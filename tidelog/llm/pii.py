@@ -9,9 +9,10 @@ spans. So t discloses c where p(c | t) >= p(c) ** (1 - ALPHA): of a value that s
 that makes the terms that stand in no more than n ** (1 - ALPHA) of the n documents, its own one
 among them. A kind also needs SUPPORT documents with both.
 
-Terms that disclose a value become spans of kind `term` wherever they stand if value or term is in
-several documents; those that disclose a kind, or a value of one document, in the documents that hold
-it. The sanitised text has a class name in place of a span, or nothing for a term all of whose
+Terms that disclose a kind, or a value of one document, become spans of kind `term` in the documents
+that hold it; those that disclose a value of several documents in all documents with base spans, and
+where FAR documents have both, in all documents: a few that meet by chance, or copies of a passage, say
+nothing about a text that has no personal data of its own. The sanitised text has a class name in place of a span, or nothing for a term all of whose
 documents hold an entity that it discloses.
 
 One pass counts each term's documents, and those with each kind; sums are made before they are
@@ -45,8 +46,8 @@ from tidelog.llm import textbuf
 from tidelog.llm.tables import settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information at which a term discloses it, documents that a kind and a term must share, bytes of a term.
-ALPHA, SUPPORT, SHORTEST = 0.95, 3, 3
+#: Share of an entity's information at which a term discloses it, documents that a kind and a term must share, and a value and a term for texts without base spans, bytes of a term.
+ALPHA, SUPPORT, FAR, SHORTEST = 0.95, 3, 10, 3
 #: Terms at most in a list that is known everywhere; terms of a task after which its sums are given out; parts that the rows of one text are dealt to.
 HARMLESS, HELD, SALT = 1 << 17, 1 << 20, 16
 
@@ -274,10 +275,11 @@ class Disclosure:
         several = F.when(F.col("entity_docs") > 1, F.struct("entity", "entity_docs"))
         self.texts = settle(each.join(self.entities, "entity").groupBy("text_key", "times", "kinds").agg(F.max(F.col("entity_docs") == 1).alias("single"), F.collect_list(several).alias("several")))
         self.found = settle(self._placed(True, self.candidates).groupBy("text_key", "term", "docs", *(f"n_{k}" for k in KINDS)).agg(F.first("places").alias("places")))
-        self.everywhere = settle(self._everywhere())
-        n = self.everywhere.count()
+        self.paired = settle(self._paired())
+        self.far = self.paired.where("far").select("term", "certain")
+        n = self.far.count()
         # Few terms are looked for one by one; else all that aren't harmless are, and joined.
-        few = np.sort(self.everywhere.select("term").toArrow().column("term").to_numpy()) if n <= HARMLESS else None
+        few = np.sort(self.far.select("term").toArrow().column("term").to_numpy()) if n <= HARMLESS else None
         self.any, self.few = n > 0, self.spark.sparkContext.broadcast(few)
 
     def reached(self, pair: Column, entity: Column) -> Column:
@@ -311,8 +313,8 @@ class Disclosure:
             rows = rows.where(F.col("text").rlike("[@0-9]"))
         return rows.mapInArrow(run, "text_key binary, term long, places array<struct<start:int,stop:int>>").join(terms, "term")
 
-    def _everywhere(self) -> DataFrame:
-        """(term, certain): the terms of several documents that disclose a value of several documents."""
+    def _paired(self) -> DataFrame:
+        """(term, certain, far): the terms of several documents that disclose a value of several documents."""
         total, alpha = float(max(self.total, 1)), ALPHA
         terms = self.found.where(F.col("docs") > 1).groupBy("text_key").agg(F.collect_list(F.struct("term", "docs")).alias("terms"))
         both = self.texts.where(F.size("several") > 0).join(terms, "text_key").select("times", "several", "terms")
@@ -330,21 +332,21 @@ class Disclosure:
         pairs = both.mapInArrow(paired, "entity long, term long, times long").groupBy("entity", "term").agg(F.sum("times").alias("pair_docs"))
         scored = pairs.join(self.entities, "entity").join(self.candidates.select("term", "docs"), "term")
         scored = scored.where(self.reached(F.col("pair_docs"), F.col("entity_docs")))
-        return scored.groupBy("term").agg(F.max(F.col("pair_docs") >= F.col("docs")).alias("certain"))
+        return scored.groupBy("term").agg(F.max(F.col("pair_docs") >= F.col("docs")).alias("certain"), F.max(F.col("pair_docs") >= FAR).alias("far"))
 
     def spans(self) -> DataFrame:
         """(text_key, terms): the spans that the method adds to a text, by start."""
         met = [(F.col("kinds").bitwiseAND(2**i) != 0) & (F.col(f"n_{k}") >= SUPPORT) & self.reached(F.col(f"n_{k}"), F.lit(self.kinds[k])) for i, k in enumerate(KINDS)]
         all_ = [m & (F.col(f"n_{k}") == F.col("docs")) for m, k in zip(met, KINDS, strict=True)]
         single = (F.col("docs") == 1) & (F.lit(self.total) > 1) | F.col("single") & self.reached(F.lit(1), F.lit(1))
-        rows = self.found.join(self.texts.select("text_key", "kinds", "single"), "text_key").join(self.everywhere.withColumn("paired", F.lit(True)), "term", "left")
+        rows = self.found.join(self.texts.select("text_key", "kinds", "single"), "text_key").join(self.paired.select("term", "certain", F.lit(True).alias("paired")), "term", "left")
         hit = single | F.coalesce("paired", F.lit(False))
         certain = (F.col("docs") == 1) | F.coalesce("certain", F.lit(False))
         for m, c in zip(met, all_, strict=True):
             hit, certain = hit | m, certain | c
         rows = rows.where(hit).select("text_key", "places", certain.alias("certain"))
         if self.any:
-            others = self._placed(False, self.everywhere).select("text_key", "places", "certain")
+            others = self._placed(False, self.far).select("text_key", "places", "certain")
             rows = rows.union(others.groupBy("text_key", "places").agg(F.first("certain").alias("certain")))
         each = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("certain").alias("certain")))
         return rows.select("text_key", each.alias("x")).groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("terms"))
