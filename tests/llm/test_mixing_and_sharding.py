@@ -149,7 +149,7 @@ def test_top_k_of_large_components(spark):
 
 
 def test_queries_visit_only_cells_that_may_hold_an_answer(spark, monkeypatch):
-    for name, value in {"SHARD": 64, "SAMPLE": 512, "GROUP": 16, "WAVES": (1, 4)}.items():
+    for name, value in {"SHARD": 64, "CELL": 32, "SAMPLE": 512, "GROUP": 16, "WAVES": (1, 4)}.items():
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     # Clusters of unit length, a very common vector, and rows repeated in full.

@@ -1,9 +1,9 @@
 """Exact top-k search by inner product: a ball tree in each shard, branch and bound over it.
 
-A tree over a sample of the rows (SAMPLE at most) cuts space into cells, CELLS at most; every row goes
-down that tree to its cell, and a cell of more than SHARD rows is dealt to parts by a hash. A shard is
-a part of a cell. Each cell's ball holds all its rows, so a query's scores in a cell can't exceed
-q.c + |q| r; the balls are CELLS rows at most and known everywhere.
+A sample of the rows (SAMPLE at most) gives the centres of cells, CELLS at most; every row goes to its
+nearest centre, and a cell of more than SHARD rows is dealt to parts by a hash. A shard is a part of
+a cell. Each cell's ball holds all its rows, so a query's scores in a cell can't exceed q.c + |q| r;
+the balls are CELLS rows at most and known everywhere.
 
 A query starts with the kth score that it has in the sample and visits the cells in WAVES: first its
 best cell by that bound, then the next few, then the rest, and always only those whose bound reaches
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.tables import settle, table
 
-#: Rows of the sample and cells, at most; rows of a shard and of a leaf; queries that meet a shard at once, and that a tree is walked for at once; cells that a query has visited after each wave but the last.
-K, SAMPLE, CELLS, SHARD, LEAF, GROUP, BLOCK, WAVES = 5, 4096, 1024, 2048, 64, 4096, 512, (1, 8)
+#: Rows of the sample and cells, at most; least rows of a cell on average, most rows of a shard, of a leaf; queries that meet a shard at once, and that a tree is walked for at once; cells that a query has visited after each wave but the last.
+K, SAMPLE, CELLS, CELL, SHARD, LEAF, GROUP, BLOCK, WAVES = 5, 4096, 1024, 256, 2048, 64, 4096, 512, (1, 16)
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
 
@@ -170,7 +170,11 @@ def _enough(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def split(x: np.ndarray, wanted: bool) -> tuple[np.ndarray, float, tuple[np.ndarray, float] | None]:
-    """Centre and radius of the rows, and a direction and the place on it that cuts them in two halves, if they differ."""
+    """Centre and radius of the rows, and a direction and the place on it that cuts them in two, if they differ.
+
+    The cut is half way between two rows far from each other, which seldom goes through a cluster; but if that leaves
+    a side with less than a tenth, it is the median.
+    """
     centre = x.mean(0)
     far = np.sqrt(((x - centre) ** 2).sum(1))
     radius = float(far.max()) * (1 + 1e-9) + 1e-6
@@ -180,7 +184,9 @@ def split(x: np.ndarray, wanted: bool) -> tuple[np.ndarray, float, tuple[np.ndar
     two = x[((x - one) ** 2).sum(1).argmax()]
     to = (two - one) / max(float(np.abs(two - one).max()), 1e-300)
     at = x @ to
-    cut = float(np.median(at))
+    cut = float((one @ to + two @ to) / 2)
+    if not 0.1 <= (at > cut).mean() <= 0.9:
+        cut = float(np.median(at))
     if not (at > cut).any():
         below = at[at < cut]
         if not len(below):
@@ -190,41 +196,32 @@ def split(x: np.ndarray, wanted: bool) -> tuple[np.ndarray, float, tuple[np.ndar
 
 
 class Cells:
-    """The tree over the sample: which cell a row goes to."""
+    """Centres chosen from the sample, each far from those before it, then moved to the mean of the rows that are nearest to it."""
 
     def __init__(self, x: np.ndarray, most: int) -> None:
-        self.width, self.cuts, self.centres = x.shape[1] if x.ndim == 2 else 0, [], []
-        self._build(x, max(1, -(-len(x) // most)))
-
-    def _build(self, x: np.ndarray, leaf: int) -> int:
-        at = len(self.cuts)
-        self.cuts.append(None)
-        centre, _, cut = split(x, len(x) > leaf) if len(x) else (np.zeros(self.width), 0.0, None)
-        if cut is None:
-            self.cuts[at] = (len(self.centres),)
-            self.centres.append(centre)
-        else:
-            side = x @ cut[0] > cut[1]
-            self.cuts[at] = (*cut, self._build(x[~side], leaf), self._build(x[side], leaf))
-        return at
+        self.width = x.shape[1] if x.ndim == 2 else 0
+        if not len(x):
+            self.centres = np.zeros((1, self.width))
+            return
+        gap, picked = ((x - x.mean(0)) ** 2).sum(1), []
+        at = int(gap.argmin())  # the first is the one in the middle
+        gap = np.full(len(x), np.inf)
+        while len(picked) < most and gap[at] > 0:
+            picked.append(at)
+            gap = np.minimum(gap, ((x - x[at]) ** 2).sum(1))
+            at = int(gap.argmax())
+        self.centres = x[picked]
+        cell = self.place(x)
+        self.centres = np.array([x[cell == c].mean(0) if (cell == c).any() else self.centres[c] for c in range(len(picked))])
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        """The cell of each row; components beyond the sample's width don't decide."""
+        """The nearest centre of each row; components beyond the sample's width don't decide."""
         x = x[:, : self.width] if x.shape[1] >= self.width else np.pad(x, ((0, 0), (0, self.width - x.shape[1])))
-        out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
-        while todo:
-            node, rows = todo.pop()
-            if len(self.cuts[node]) == 1:
-                out[rows] = self.cuts[node][0]
-            elif len(rows):
-                to, cut, low, high = self.cuts[node]
-                side = x[rows] @ to > cut
-                todo += [(low, rows[~side]), (high, rows[side])]
-        return out
+        return ((self.centres**2).sum(1) - 2 * (x @ self.centres.T)).argmin(1)
 
     def distance(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """How far each row is from its cell's centre."""
-        centre = np.pad(np.array(self.centres), ((0, 0), (0, max(0, x.shape[1] - self.width))))[cell]
+        centre = np.pad(self.centres, ((0, 0), (0, max(0, x.shape[1] - self.width))))[cell]
         return np.sqrt(((np.pad(x, ((0, 0), (0, max(0, self.width - x.shape[1])))) - centre) ** 2).sum(1))
 
 
@@ -241,7 +238,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = K,
     """
     clean = quantised(vectors)
     sample = clean.orderBy(F.xxhash64("vec_id", "v"), "vec_id", "v").limit(SAMPLE).collect()  # SAMPLE rows at most
-    cells_of = lambda n: max(1, min(CELLS, len(sample), n // SHARD))
+    cells_of = lambda n: max(1, min(CELLS, len(sample), n // CELL))
     tree = Cells(matrix([bytes(r[1]) for r in sample]), cells_of(vectors.count()))
     shared = spark.sparkContext.broadcast((tree, np.array([r[0] for r in sample], np.int64), [bytes(r[1]) for r in sample]))
 
@@ -267,7 +264,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = K,
     def ranked(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each query its cells by falling bound, and the bounds; cells without rows have none."""
         at, (radius, longest) = shared.value[0], known.value
-        centres = np.array(at.centres)
+        centres = at.centres
         width = max(q.shape[1], centres.shape[1])
         q, centres = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, centres))
         length = np.sqrt((q**2).sum(1))[:, None]
