@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tidelog.operators import fold
@@ -35,6 +36,30 @@ def test_sparse_index():
     assert run(fold.sparse_index(100, index_first=True), [60])[0] == (0, True)
 
 
+@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("name", ["greedy", "age", "rotation", "index", "index_first", "sequence"])
+def test_records_taken_at_once_give_what_steps_give(name, seed):
+    rng = random.Random(seed)
+    start, step = {"greedy": lambda: fold.greedy_chunks(50), "age": lambda: fold.age_chunks(30), "rotation": lambda: fold.rotation(60, 40), "index": lambda: fold.sparse_index(70), "index_first": lambda: fold.sparse_index(70, True), "sequence": fold.sequence_check}[name]()
+    sizes, times, at, seq, last = [], [], 0, [], 0
+    for _ in range(900):
+        sizes.append(rng.choice([0, 1, 5, 20, 200]))
+        at += rng.choice([0, 1, 3, 25, -4])
+        times.append(at)
+        last = last + 1 if rng.random() < 0.8 else last + rng.randint(-3, 2)
+        seq.append(last)
+    columns = {"greedy": [sizes], "age": [times], "rotation": [sizes, times], "index": [sizes], "index_first": [sizes], "sequence": [seq]}[name]
+    one, want = start, []
+    for value in zip(*columns, strict=True):
+        one, got = step(one, value)
+        want.append(got)
+    state, found, cut = start, [], [0, 1, 70, 71, 500, 900]
+    for a, b in zip(cut, cut[1:], strict=False):
+        state, got = step.many(state, *(np.array(c[a:b]) for c in columns))
+        found += list(zip(*(x.tolist() for x in got), strict=True))
+    assert found == want and state == one
+
+
 def test_adaptive_size():
     assert run(fold.adaptive_size(), [60000, 60000, 60000, 130000])[2] == 131072
     assert run(fold.adaptive_size(), [100] * 5)[-1] == 32768
@@ -66,6 +91,10 @@ def test_token_bucket_keeps_the_rate():
 
 
 def test_a_null_key_is_a_key_and_batches_carry_state(spark):
+    # In batches of three, and in one that is long enough to be taken at once.
+    long = spark.createDataFrame([(None if i % 2 else "a", i, 1) for i in range(400)], "k string, n int, size int")
+    got = fold.ordered_fold(long, ["k"], ["n"], ["size"], *fold.greedy_chunks(5), "chunk long").collect()
+    assert all([r.chunk for r in sorted((r for r in got if r.k == key), key=lambda r: r.n)] == [i // 5 for i in range(200)] for key in (None, "a"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     rows = spark.createDataFrame([(None if i % 2 else "a", i, 1) for i in range(40)], "k string, n int, size int")
     got = fold.ordered_fold(rows, ["k"], ["n"], ["size"], *fold.greedy_chunks(5), "chunk long").collect()

@@ -97,6 +97,10 @@ def test_reads_of_a_stored_topic_reach_the_scan(spark, store):
     rows = spark.range(4000).select((F.col("id") % 4).cast("int").alias("partition"), F.col("id").cast("string").alias("key"), F.lit("v").alias("value"), F.col("id").alias("timestamp"))
     store.append("t", rows, ["timestamp"])
     found = store.read("t", 100).where("partition = 2 and offset < 120")
+    usage = store.usage("t").collect()
+    assert sorted(r.partition for r in usage) == [0, 1, 2, 3] and all(r.files >= 1 and r.bytes > 0 for r in usage)
+    store.create("empty", 1)
+    assert store.usage("empty").isEmpty()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "GreaterThanOrEqual(offset,100)" in plan and "(partition#" in plan.split("PartitionFilters")[1]
     assert sorted(r.offset for r in found.collect()) == list(range(100, 120))

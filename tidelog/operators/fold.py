@@ -1,7 +1,9 @@
 """Folds over the records of a key in order, where no window frame expresses the state.
 
 A fold streams: records are dealt out by key and sorted in each partition, and the state is carried
-from one Arrow batch to the next, so memory does not grow with a key's records.
+from one Arrow batch to the next, so memory does not grow with a key's records. A step takes a
+record; where a state changes seldom, a fold also has `many`, which takes a key's records of a batch
+at once and goes from change to change.
 """
 
 from __future__ import annotations
@@ -10,11 +12,14 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 Step = Callable[[Any, tuple], tuple[Any, tuple]]
+#: Records of a key in a batch from which on they are taken at once.
+LONG = 64
 
 
 def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Any, step: Step, adds: str) -> DataFrame:
@@ -26,7 +31,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: lis
     added = _parse_datatype_string(adds)
     assert isinstance(added, StructType)
     schema = StructType([*rows.schema.fields, *(StructField(f.name, f.dataType, True) for f in added.fields)])
-    names = [f.name for f in added.fields]
+    names, many = [f.name for f in added.fields], getattr(step, "many", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -36,20 +41,51 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: lis
         state = start
         for batch in batches:
             at = batch.schema.names
-            key_rows = zip(*(batch.column(at.index(k)).to_pylist() for k in keys), strict=True)
-            values = zip(*(batch.column(at.index(c)).to_pylist() for c in inputs), strict=True)
+            columns = [batch.column(at.index(k)) for k in keys]
+            values = [batch.column(at.index(c)) for c in inputs]
             out: list[list] = [[] for _ in names]
-            for key, value in zip(key_rows, values, strict=True):
+            for a, b in _runs(columns, batch.num_rows):
+                key = tuple(c[a].as_py() for c in columns)
                 if key != now:
                     now, state = key, start
-                state, got = step(state, value)
-                for column, x in zip(out, got, strict=True):
-                    column.append(x)
+                here = [v.slice(a, b - a) for v in values]
+                if many and b - a >= LONG and not any(v.null_count for v in here):
+                    state, got = many(state, *(v.to_numpy(zero_copy_only=False) for v in here))
+                    for column, x in zip(out, got, strict=True):
+                        column += x.tolist()
+                    continue
+                for value in zip(*(v.to_pylist() for v in here), strict=True):
+                    state, got = step(state, value)
+                    for column, x in zip(out, got, strict=True):
+                        column.append(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*at, *names])
 
     return dealt.mapInArrow(run, schema)
 
 
+def _runs(columns: list[pa.Array], n: int) -> Iterator[tuple[int, int]]:
+    """Where runs of equal keys begin and end; nulls are equal."""
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        code = c.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    cut = [*np.flatnonzero(new).tolist(), n]
+    return zip(cut, cut[1:], strict=False)
+
+
+def _first(holds: Callable[[int, int], np.ndarray], at: int, n: int) -> int:
+    """The first place from `at` on for which `holds(a, b)`, the flags of a stretch, is true; n if there is none. It looks at twice as many each time."""
+    size = 64
+    while at < n:
+        b = min(n, at + size)
+        found = np.flatnonzero(holds(at, b))
+        if len(found):
+            return at + int(found[0])
+        at, size = b, 2 * size
+    return n
+
+
 def greedy_chunks(limit: int) -> tuple[tuple[int, int], Step]:
     """Chunks that close with the record that fills them to `limit`. Gives a record's chunk number."""
 
@@ -58,6 +94,18 @@ def greedy_chunks(limit: int) -> tuple[tuple[int, int], Step]:
         filled += value[0] or 0
         return ((chunk + 1, 0) if filled >= limit else (chunk, filled)), (chunk,)
 
+    def many(state: tuple[int, int], size: np.ndarray) -> tuple[tuple[int, int], tuple]:
+        chunk, filled = state
+        total, out, at, base = np.cumsum(size) + filled, np.zeros(len(size), np.int64), 0, 0
+        while at < len(size):
+            end = int(np.searchsorted(total, base + limit))
+            out[at : end + 1] = chunk
+            if end >= len(size):
+                return (chunk, int(total[-1]) - base), (out,)
+            chunk, base, at = chunk + 1, int(total[end]), end + 1
+        return (chunk, 0), (out,)
+
+    step.many = many  # type: ignore[attr-defined]
     return (0, 0), step
 
 
@@ -71,6 +119,19 @@ def age_chunks(linger: int) -> tuple[tuple[int, int | None], Step]:
         created = value[0] if created is None else created
         return (chunk, created), (chunk,)
 
+    def many(state: tuple[int, int | None], at: np.ndarray) -> tuple[tuple[int, int | None], tuple]:
+        chunk, created = state
+        out, i, n = np.zeros(len(at), np.int64), 0, len(at)
+        created = int(at[0]) if created is None else created
+        while i < n:
+            end = _first(lambda a, b: at[a:b] - created >= linger, i, n)  # noqa: B023
+            out[i:end] = chunk
+            if end < n:
+                chunk, created = chunk + 1, int(at[end])
+            i = end
+        return (chunk, created), (out,)
+
+    step.many = many  # type: ignore[attr-defined]
     return (0, None), step
 
 
@@ -84,6 +145,25 @@ def rotation(limit: int, age: int) -> tuple[tuple[int, int, int | None], Step]:
             segment, filled, made = segment + 1, 0, None
         return (segment, filled + size, at if made is None else made), (segment,)
 
+    def many(state: tuple[int, int, int | None], size: np.ndarray, at: np.ndarray) -> tuple[tuple[int, int, int | None], tuple]:
+        segment, filled, made = state
+        out, i, n = np.zeros(len(at), np.int64), 0, len(at)
+        before = np.cumsum(size) - size + filled  # bytes before each record, less `base` those of its segment
+        base = 0
+        if made is None:
+            made = int(at[0])
+        while i < n:
+            full = int(np.searchsorted(before, base + limit))
+            end = _first(lambda a, b: at[a:b] - made >= age, i, min(n, max(full, i)))  # noqa: B023
+            out[i:end] = segment
+            if end < n:
+                segment, base, made = segment + 1, int(before[end]), int(at[end])
+                out[end] = segment
+                end += 1
+            i = end
+        return (segment, int(before[-1] + size[-1]) - base, made), (out,)
+
+    step.many = many  # type: ignore[attr-defined]
     return (0, 0, None), step
 
 
@@ -95,6 +175,17 @@ def sparse_index(interval: int, index_first: bool = False) -> tuple[tuple[int, i
         entry = position - indexed >= interval or (index_first and position == 0)
         return (position + value[0], position if entry else indexed), (position, entry)
 
+    def many(state: tuple[int, int], size: np.ndarray) -> tuple[tuple[int, int], tuple]:
+        position, indexed = state
+        places = np.cumsum(size) - size + position
+        entry = (places == 0) if index_first else np.zeros(len(size), bool)
+        at = 0
+        while (at := max(at, int(np.searchsorted(places, indexed + interval)))) < len(size):
+            entry[at], indexed = True, int(places[at])
+            at += 1
+        return (int(places[-1] + size[-1]), indexed), (places, entry)
+
+    step.many = many  # type: ignore[attr-defined]
     return (0, 0), step
 
 
@@ -107,6 +198,23 @@ def sequence_check() -> tuple[int | None, Step]:
             return seq, ("ACCEPT",)
         return last, ("DUPLICATE" if seq == last else "GAP" if seq > last else "OLD",)
 
+    def many(last: int | None, seq: np.ndarray) -> tuple[int | None, tuple]:
+        n, i = len(seq), 0
+        out = np.full(n, "ACCEPT", object)
+        ends = np.append(np.flatnonzero(seq[1:] != seq[:-1] + 1) + 1, n)  # where a run of numbers in a row ends
+        while i < n:
+            go = i if last is None else _first(lambda a, b: seq[a:b] == last + 1, i, n)  # noqa: B023
+            if go > i:
+                other = seq[i:go]
+                out[i:go] = np.where(other == last, "DUPLICATE", np.where(other > last, "GAP", "OLD"))
+            if go < n:
+                i = int(ends[np.searchsorted(ends, go, "right")])
+                last = int(seq[i - 1])
+            else:
+                i = n
+        return last, (out,)
+
+    step.many = many  # type: ignore[attr-defined]
     return None, step
 
 

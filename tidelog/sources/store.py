@@ -164,6 +164,15 @@ class Store:
         self.describe(name)
         return self._table(self._place(name), RECORDS).where(F.col("offset") >= start)
 
+    def usage(self, name: str) -> DataFrame:
+        """partition, files and bytes on disk of a topic."""
+        self.describe(name)
+        files = self._table(self._place(name), RECORDS)
+        if not files.inputFiles():
+            return self.spark.createDataFrame([], "partition int, files long, bytes long")
+        each = files.select("partition", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+        return each.groupBy("partition").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
     def append(self, name: str, records: DataFrame, order: list[str], by: str = "default", transaction_id: str | None = None, stretch: int = 3_600_000) -> None:
         """Route (key, value, timestamp, ...) rows and write them behind what is there, in `order` per partition.
 
