@@ -37,7 +37,7 @@ def same(a, b):
 
 
 def test_sequences(spark, replay):
-    rows = state._sequences(spark, SMALL).select("user_id", "event_id", "n", "seq")
+    rows = state.sequences(spark, SMALL).select("user_id", "event_id", "n", "seq")
     want = fold.ordered_fold(rows, ["user_id"], ["n"], ["seq"], *fold.sequence_check(), "verdict string").where("verdict = 'ACCEPT'").drop("verdict")
     same(replay(rows, ["event_id"], stateful.deduplicated), want)
 

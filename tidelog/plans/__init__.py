@@ -1,6 +1,6 @@
 """The named queries, each with the SQL that gives the same rows."""
 
-from tidelog.plans import clusters, logs, sessions, state  # noqa: F401  (they enter their queries)
+from tidelog.plans import clusters, logs, sessions, sources, state  # noqa: F401  (they enter their queries)
 from tidelog.plans.registry import ORACLES, QUERIES, Query
 
 

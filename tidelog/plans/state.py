@@ -43,7 +43,7 @@ def read_committed_lso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn.read_committed_lso(_shared(spark, sf_dir)).select(*_SHOWN)
 
 
-def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = stored.events(spark, sf_dir)
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
     c = F.sum(F.when(F.col("marker").isNotNull(), 0).otherwise(1)).over(order)
@@ -59,7 +59,7 @@ def seq_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.ordered_fold(_sequences(spark, sf_dir), ["user_id"], ["n"], ["seq"], *fold.sequence_check(), "verdict string")
+    return fold.ordered_fold(sequences(spark, sf_dir), ["user_id"], ["n"], ["seq"], *fold.sequence_check(), "verdict string")
 
 
 @query("seq_validate", f"WITH RECURSIVE {EVENTS}, {SEQUENCES} SELECT event_id, seq, verdict FROM checked")
@@ -197,7 +197,7 @@ def group(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 s AS (SELECT topic, member, r * (partitions // m) + least(r, partitions % m) AS start, partitions // m + CASE WHEN r < partitions % m THEN 1 ELSE 0 END AS n FROM r)
 SELECT topic, member, CAST(unnest(range(start, start + n)) AS INTEGER) AS partition FROM s""")
 def assign_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.range_assignment(*group(spark, sf_dir))
+    return groups.strategy("range")(*group(spark, sf_dir))
 
 
 _TURNS = f"""WITH {{recursive}} {MEMBERS}, members AS (SELECT member, row_number() OVER (ORDER BY member) - 1 AS r, count(*) OVER () AS m FROM (SELECT DISTINCT member FROM subs))"""

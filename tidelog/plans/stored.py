@@ -19,7 +19,8 @@ from pyspark.sql.types import StructType
 
 from tidelog.operators import topics
 
-_KNOWN: dict[tuple, tuple[str, StructType]] = {}
+_KNOWN: dict[tuple, str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def _removed(spark: SparkSession, path: str) -> None:
@@ -41,15 +42,31 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int]:
     return found.getLen(), found.getModificationTime()
 
 
-def _stored(spark: SparkSession, sf_dir: str, table: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, table, *_state(spark, f"{sf_dir}/{table}.parquet"))
+def temporary(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def made(spark: SparkSession, sf_dir: str, table: str, kind: str, make: Callable[[str], None]) -> str:
+    """The place of what `make` has written there for the table as it is now."""
+    key = (spark.sparkContext.applicationId, sf_dir, table, kind, *_state(spark, f"{sf_dir}/{table}.parquet"))
     if key not in _KNOWN:
-        path = f"{shared_folder(spark)}/topic-{table}-{uuid.uuid4().hex}"
-        topic = make(spark, sf_dir)
-        topics.write(topic, path)
-        atexit.register(_removed, spark, path)
-        _KNOWN[key] = path, topic.schema
-    path, schema = _KNOWN[key]
+        path = temporary(spark, f"{kind}-{table}-{uuid.uuid4().hex}")
+        make(path)
+        _KNOWN[key] = path
+    return _KNOWN[key]
+
+
+def _stored(spark: SparkSession, sf_dir: str, table: str, topic: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    def make(path: str) -> None:
+        rows = topic(spark, sf_dir)
+        topics.write(rows, path)
+        _SCHEMAS[path] = rows.schema
+
+    path = made(spark, sf_dir, table, "topic", make)
+    schema = _SCHEMAS[path]
     return spark.read.schema(schema).parquet(path).select(*schema.names)  # the partition would come last
 
 
