@@ -97,15 +97,17 @@ class Coder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return ",".join(map(str, ids)).encode(), self.decode(ids)
+    def _entry(self, ids: list[int], raw: bytes) -> tuple[bytes, bytes]:
+        """The ids of `raw` in decimal and what they decode to; where that is `raw`, it is held once."""
+        decoded = self.decode(ids)
+        return ",".join(map(str, ids)).encode(), raw if decoded == raw else decoded
 
     def piece(self, raw: bytes) -> tuple[bytes, bytes]:
         """A stretch between two joints."""
         found = self.pieces.get(raw)
         if found is None:
             long = len(raw) > LONG_PIECE and not any(s in raw for s in self.special)
-            found = self._entry(self.repaired(raw) if long else self.ids(raw.decode()))
+            found = self._entry(self.repaired(raw) if long else self.ids(raw.decode()), raw)
             if len(raw) <= SHORT:
                 _room(self.pieces, PIECES)
                 self.pieces[raw] = found
@@ -144,7 +146,7 @@ class Coder:
         found = self.chunks.get(key)
         if found is None:
             ids = self.ids(text)
-            self._keep(key, self._entry(ids))
+            self._keep(key, self._entry(ids, key))
             return ids
         return [int(x) for x in found[0].split(b",")] if found[0] else []
 
@@ -175,7 +177,8 @@ class Coder:
                 if found is None:
                     edges = [a, *places[i + 1 : j], b]
                     parts = [known.get(w) or piece(w) for w in map(raw.__getitem__, map(slice, edges, edges[1:]))]
-                    found = b",".join([p[0] for p in parts if p[0]]), b"".join([p[1] for p in parts])
+                    decoded_ = b"".join([p[1] for p in parts])
+                    found = b",".join([p[0] for p in parts if p[0]]), key if decoded_ == key else decoded_
                     self._keep(key, found)
                 if found[0]:
                     ids.append(found[0])

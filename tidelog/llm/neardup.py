@@ -40,11 +40,11 @@ from tidelog.llm import textbuf
 from tidelog.llm.components import components
 from tidelog.llm.tables import quoted, settle, table
 
-TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 18
+TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 17
 #: Vertices of a node that one task compares; half as many are a block of a larger node.
 ALONE = 1024
 #: Representatives of a node or family that has several rooms; vertices of which a task remembers to what they are connected.
-FEW, HELD = 4, 1 << 18
+FEW, HELD = 4, 1 << 17
 #: Blocks that make a wide one, which what is left over meets; tasks that the rows of a group are dealt to in a join.
 WIDE, SALT = 8, 16
 #: Standard deviations below the threshold down to which sketches count as alike; bits of the filter of texts.

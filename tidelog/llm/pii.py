@@ -49,7 +49,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information at which a term discloses it, documents that a kind and a term must share, and a value and a term for texts without base spans, bytes of a term.
 ALPHA, SUPPORT, FAR, SHORTEST = 0.95, 3, 10, 3
 #: Terms at most in a list that is known everywhere; terms of a task after which its sums are given out; parts that the rows of one text are dealt to.
-HARMLESS, HELD, SALT = 1 << 17, 1 << 20, 16
+HARMLESS, HELD, SALT = 1 << 17, 1 << 18, 16
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -355,10 +355,12 @@ class Disclosure:
 _TERMS = "array<struct<start:int,stop:int,certain:boolean>>"
 
 
-def _joined(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def _joined(rows: DataFrame, spans: DataFrame, key: str, moved: bool = False) -> DataFrame:
     """`rows` with `_terms`, dealt so that a text that stands in many rows is no single task's."""
     few = spans.select(F.col("text_key").alias("_text_key"), F.col("terms").alias("_terms"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
     dealt = rows.withColumn("_at", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    if moved:  # what comes before and after are Python's, which would have two workers for each task in one stage
+        dealt = dealt.repartition(key, "_at")
     return dealt.join(few, (dealt[key] == few["_text_key"]) & (dealt["_at"] == few["_part"]), "left").drop("_text_key", "_part", "_at")
 
 
@@ -417,7 +419,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     marked = plain.mapInArrow(mark, StructType([*schema.fields, StructField("_has", BooleanType())])) if any_ else plain.withColumn("_has", F.lit(False))
     has = F.col("_has") | F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))
     some = marked.where(has).drop("_has").withColumn("_key", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    some = _joined(some, known.spans(), "_key").drop("_key")
+    some = _joined(some, known.spans(), "_key", any_).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
