@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -252,6 +253,17 @@ def _inside_of(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
+def _lists(col: pa.Array, *fields: str) -> tuple[list[int], ...]:
+    """Where each row's list begins (one more at the end), and the fields of the structs of all lists."""
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    flat = col.flatten()
+    return (np.append(0, np.cumsum(size)).tolist(), *(pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in fields))
+
+
+#: Rows whose lists are Python's at once.
+FEW = 256
+
+
 class Disclosure:
     """What the corpus says of its terms: all that the operators need of it, written."""
 
@@ -322,12 +334,15 @@ class Disclosure:
         def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Values and terms of a text, where the term isn't in too many documents for the value."""
             for batch in batches:
-                for times, several, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    term = np.array([t["term"] for t in found], np.int64)
-                    docs = np.array([t["docs"] for t in found])
-                    for c in several:
-                        got = term[docs <= total * (c["entity_docs"] / total) ** alpha * (1 + 1e-9)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), c["entity"])), pa.array(got), pa.array(np.full(len(got), times))], ["entity", "term", "times"])
+                times = batch.column(0).to_pylist()
+                c_at, c, c_docs = _lists(batch.column(1), "entity", "entity_docs")
+                t_at, t, t_docs = _lists(batch.column(2), "term", "docs")
+                for r in range(batch.num_rows):
+                    terms, docs = t[t_at[r] : t_at[r + 1]], t_docs[t_at[r] : t_at[r + 1]]
+                    for i in range(c_at[r], c_at[r + 1]):
+                        got = terms[docs <= total * (c_docs[i] / total) ** alpha * (1 + 1e-9)]
+                        if len(got):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), c[i])), pa.array(got), pa.array(np.full(len(got), times[r]))], ["entity", "term", "times"])
 
         pairs = both.mapInArrow(paired, "entity long, term long, times long").groupBy("entity", "term").agg(F.sum("times").alias("pair_docs"))
         scored = pairs.join(self.entities, "entity").join(self.candidates.select("term", "docs"), "term")
@@ -370,7 +385,7 @@ def find(docs: DataFrame) -> DataFrame:
     spans = Disclosure(docs, scanned).spans()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
             out = []
             for base, terms in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 each = [(int(s.split(":")[1]), KINDS.index(s.split(":")[0]), s) for s in base.split(",")] if base else []
@@ -422,7 +437,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     some = _joined(some, known.spans(), "_key", any_).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, FEW) for b in batches for i in range(0, b.num_rows, FEW)):
             texts, terms = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             put = pa.array([None if t is None else replaced(t, x) for t, x in zip(texts, terms, strict=True)], batch.column(at).type)
             yield pa.RecordBatch.from_arrays([put if i == at else batch.column(i) for i in range(len(names))], names)
