@@ -378,8 +378,9 @@ def _wanted(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.mod(batch.column(2).to_numpy(), FILTER)
-            yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(_U)) & _U(1) != 0))
+            for part, _ in textbuf.pieces(batch):
+                at = np.mod(part.column(2).to_numpy(), FILTER)
+                yield part.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(_U)) & _U(1) != 0))
 
     return _keyed(docs).mapInArrow(run, "text string, doc_id long, text_key long")
 

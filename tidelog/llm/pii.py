@@ -424,12 +424,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = textbuf.texts(batch, text)
-            has = np.zeros(len(col), bool)
-            for a, b in textbuf.slices(col):
-                _, _, row, key = _terms(*textbuf.view(col, a, b))
-                has[a + row[_inside_of(key, few.value) if few.value is not None else ~_inside_of(key, harmless.value)]] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(has)], [*names, "_has"])
+            for part, col in textbuf.pieces(batch, text):
+                has = np.zeros(len(col), bool)
+                _, _, row, key = _terms(*textbuf.view(col, 0, len(col)))
+                has[row[_inside_of(key, few.value) if few.value is not None else ~_inside_of(key, harmless.value)]] = True
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(has)], [*names, "_has"])
 
     marked = plain.mapInArrow(mark, StructType([*schema.fields, StructField("_has", BooleanType())])) if any_ else plain.withColumn("_has", F.lit(False))
     has = F.col("_has") | F.coalesce(F.col(text).rlike("[@0-9]"), F.lit(False))

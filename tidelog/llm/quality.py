@@ -158,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Forest:
     return boost(x[order], y[order])
 
 
-def _scores(batch: pa.RecordBatch, text: str, forest: Forest) -> np.ndarray:
-    col = textbuf.texts(batch, text)
-    return np.concatenate([np.zeros(0), *(forest.score(features(*textbuf.view(col, a, b))) for a, b in textbuf.slices(col))])
+def _scored(batch: pa.RecordBatch, text: str, forest: Forest) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for part, col in textbuf.pieces(batch, text):
+        yield part, forest.score(features(*textbuf.view(col, 0, len(col))))
 
 
 def score(spark: SparkSession, docs: DataFrame, forest: Forest, column: str = "score") -> DataFrame:
@@ -171,7 +171,8 @@ def score(spark: SparkSession, docs: DataFrame, forest: Forest, column: str = "s
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(batch, text, shared.value))], [*names, "score"])
+            for part, got in _scored(batch, text, shared.value):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], [*names, "score"])
 
     plain = docs.select(*quoted(kept)).toDF(*names)
     return plain.mapInArrow(scored, StructType([*plain.schema.fields, StructField("score", DoubleType())])).toDF(*kept, column)
@@ -184,7 +185,8 @@ def good(spark: SparkSession, docs: DataFrame, forest: Forest, least: float) ->
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch, text, shared.value) >= least))
+            for part, got in _scored(batch, text, shared.value):
+                yield part.filter(pa.array(got >= least))
 
     plain = docs.toDF(*names)
     return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)

@@ -32,6 +32,13 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         at = stop
 
 
+def pieces(batch: pa.RecordBatch, name: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch with at most `limit` bytes of text each (or one row), and their texts: what is given back in parts is never held as a whole."""
+    col = texts(batch, name)
+    for a, b in slices(col, limit):
+        yield batch.slice(a, b - a), col.slice(a, b - a)
+
+
 def offsets_of(col: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     return np.frombuffer(col.buffers()[1], kind, len(col) + 1, col.offset * kind().itemsize).astype(np.int64)
