@@ -26,21 +26,31 @@ from tidelog.llm.tables import quoted, table
 
 #: Documents that score below this go.
 LEAST_QUALITY = 0.5
+#: Rows of a batch that Python's workers get: whole texts of ten times as many would fill much of a small executor.
+BATCH = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    """Set for the session: the stages' plans run after their functions have returned."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, doesn't reject."""
+    _batches(spark)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.good(spark, docs, forest, LEAST_QUALITY)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8)."""
+    _batches(spark)
     return neardup.deduplicated(docs, 5, 80)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with class names in place of personal data."""
+    _batches(spark)
     return pii.sanitise(docs)
 
 
@@ -54,6 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its place in the mix."""
+    _batches(spark)
     try:
         rows = docs.withColumns({"mix_file": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), "mix_row": F.col("_metadata.row_index")})
     except AnalysisException:  # not read from files

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,12 @@ def _segments(spark: SparkSession, sf_dir: str, torn: bool = False) -> str:
             with open(os.path.join(path, folder, last), "r+b") as f:
                 f.truncate(os.path.getsize(f.name) - 3)
 
-    return stored.made(spark, sf_dir, "events", f"segments-{torn}", make).removeprefix("file:").replace("//", "/")
+    return _plain(stored.made(spark, sf_dir, "events", f"segments-{torn}", lambda path: make(_plain(path))))
+
+
+def _plain(path: str) -> str:
+    """A path of Spark's as Python's: segment files are on a file system that all executors have mounted."""
+    return re.sub("^file:/*", "/", path)
 
 
 def _texts(records: DataFrame) -> DataFrame:
