@@ -75,7 +75,8 @@ def _room(cache: dict, most: int) -> None:
 class Coder:
     """Encodes texts of a worker; what it has encoded it knows."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = PIECES) -> None:
+        self.most, self.most_chunks = most, max(1, most * CHUNKS // PIECES)
         self.lib = vocab.tokenizer(path)
         self.split = self.lib.pre_tokenizer.pre_tokenize_str
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
@@ -109,7 +110,7 @@ class Coder:
             long = len(raw) > LONG_PIECE and not any(s in raw for s in self.special)
             found = self._entry(self.repaired(raw) if long else self.ids(raw.decode()), raw)
             if len(raw) <= SHORT:
-                _room(self.pieces, PIECES)
+                _room(self.pieces, self.most)
                 self.pieces[raw] = found
         return found
 
@@ -152,7 +153,7 @@ class Coder:
 
     def _keep(self, key: bytes, entry: tuple[bytes, bytes]) -> None:
         if len(key) <= LONG_PIECE:
-            _room(self.chunks, CHUNKS)
+            _room(self.chunks, self.most_chunks)
             self.chunks[key] = entry
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
@@ -187,26 +188,29 @@ class Coder:
 
 
 @functools.lru_cache(2)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, most: int = PIECES) -> Coder:
+    return Coder(path, most)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], path: str, text: str = "text") -> Iterator[tuple[pa.RecordBatch, int, int, list[tuple[bytes, bytes]]]]:
-    own = coder(path)
+def _runs(batches: Iterator[pa.RecordBatch], path: str, text: str = "text", most: int = PIECES) -> Iterator[tuple[pa.RecordBatch, int, int, list[tuple[bytes, bytes]]]]:
+    own = coder(path, most)
     for batch in batches:
         col = textbuf.texts(batch, text)
         for a, b in textbuf.slices(col):
             yield batch, a, b, list(own.encode(*textbuf.view(col, a, b)))
 
 
-def encode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """All columns of `docs` and the ids of `text` as an array (a column called so is replaced)."""
+def encode(docs: DataFrame, path: str, ids: str = "ids", most: int = PIECES) -> DataFrame:
+    """All columns of `docs` and the ids of `text` as an array (a column called so is replaced).
+
+    A worker remembers `most` pieces, and chunks in proportion: about 400 bytes each.
+    """
     kept = [c for c in docs.columns if c != ids]
     names = [f"c{i}" for i in range(len(kept))]  # by place, so that any name will do
     plain, text = docs.select(*quoted(kept)).toDF(*names), f"c{kept.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, b, got in _runs(batches, path, text):
+        for batch, a, b, got in _runs(batches, path, text, most):
             values = [np.fromstring(x.decode(), np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in got]
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
