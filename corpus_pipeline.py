@@ -28,6 +28,8 @@ from tidelog.llm.tables import quoted, table
 LEAST_QUALITY = 0.5
 #: Rows of a batch that Python's workers get: whole texts of ten times as many would fill much of a small executor.
 BATCH = 1000
+#: Pieces that a worker remembers in the last stage: it has had the other stages before, and their memory.
+PIECES = 1 << 17
 
 
 def _batches(spark: SparkSession) -> None:
@@ -69,7 +71,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = docs.withColumns({"mix_file": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), "mix_row": F.col("_metadata.row_index")})
     except AnalysisException:  # not read from files
         rows = docs.withColumns({"mix_file": F.lit(None).cast("int"), "mix_row": F.lit(None).cast("long")})
-    got = bpe.encode(rows.select("doc_id", "source", "lang", "text", "mix_file", "mix_row"), vocab.public(bpe.VOCABULARY))
+    got = bpe.encode(rows.select("doc_id", "source", "lang", "text", "mix_file", "mix_row"), vocab.public(bpe.VOCABULARY), most=PIECES)
     return got.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", "mix_file", "mix_row")
 
 
