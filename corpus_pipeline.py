@@ -7,7 +7,7 @@ n_tokens, ids, and mix_file and mix_row: the place in the mix that the file and
 
 Every stage takes nulls, empty and very long texts, repeated rows, ties and empty tables as its operator
 says, and carries further columns of any name. The folders between the stages go when the application
-ends.
+ends. Stages set spark.sql.execution.arrow.maxRecordsPerBatch for the session to BATCH.
 """
 
 from __future__ import annotations
@@ -38,26 +38,38 @@ def _batches(spark: SparkSession) -> None:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, doesn't reject."""
+    """Documents that the classifier, fitted on the labels, doesn't reject.
+
+    A null or empty text is scored like any other; repeated rows stay or go together; without labels all stay.
+    """
     _batches(spark)
     forest = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.good(spark, docs, forest, LEAST_QUALITY)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8)."""
+    """One document of each group of near-duplicates (five words, 0.8): the least id, null last.
+
+    Texts without words all stay; of rows with one id and text one stays.
+    """
     _batches(spark)
     return neardup.deduplicated(docs, 5, 80)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with class names in place of personal data."""
+    """Texts with class names in place of personal data.
+
+    Null texts stay null; all rows stay; texts without personal data stay as they are, but for terms that give a frequent value away.
+    """
     _batches(spark)
     return pii.sanitise(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of a mix of the sources, at weights by the square root of their sizes."""
+    """All documents in the order of a mix of the sources, at weights by the square root of their sizes.
+
+    A null source is one of its own; rows with one id stand next to each other in any order.
+    """
     # The rows travel whole in one column, so that those of the mix clash with none.
     rows = docs.select(F.struct(*quoted(docs.columns)).alias("row"), "source", "doc_id")
     found = mixing.mix(rows, mixing.tempered(docs))
@@ -65,7 +77,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and its place in the mix."""
+    """Token ids of each document, and its place in the mix.
+
+    A null or empty text has no ids; rows that were not read from files have null places.
+    """
     _batches(spark)
     try:
         rows = docs.withColumns({"mix_file": F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), "mix_row": F.col("_metadata.row_index")})
