@@ -403,6 +403,38 @@ def test_components(spark, seed):
     got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: root(v) for v in to if root(v) != v}
 
+@pytest.mark.parametrize("rows", [3, 20, 150])
+def test_components_of_many_partitions(spark, monkeypatch, rows):
+    """With partitions so small that they don't connect the whole, and that some are given back in pieces."""
+    from tidelog.llm import components
+
+    monkeypatch.setattr(components, "ROWS", rows)
+    rng = random.Random(rows)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, x) for x in range(2000, 2060)] * 2
+    rng.shuffle(edges)
+    names = [(f"{a:05}".encode(), f"{b:05}".encode()) for a, b in edges]
+    forest = components.Forest()
+    for a, b in names:
+        forest.add(a, b)
+    want = {v: forest.least(v) for e in names for v in e if forest.least(v) != v}
+    assert len(want) > 150 and want[b"00140"] == b"00100"
+    got = components.components(spark.createDataFrame(names, "a binary, b binary").repartition(9)).collect()
+    assert len(got) == len(want) and {bytes(r.a): bytes(r.b) for r in got} == want
+
+
+def test_components_take_few_jobs(spark):
+    """The driver keeps records of every job and task: a chain that one task can hold is no matter of many rounds."""
+    from tidelog.llm.components import components
+
+    order = list(range(3000))
+    random.Random(4).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long").repartition(20).checkpoint()
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    got = components(edges)
+    assert jobs() - before <= 6
+    assert {(r.a, r.b) for r in got.collect()} == {(v, 0) for v in range(1, 3000)}
+
 
 def test_trees_are_walked_as_defined():
     """Scores against a walk of each tree for each row by itself."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import textbuf
-from tidelog.llm.components import components
+from tidelog.llm.components import Forest, components
 from tidelog.llm.tables import quoted, settle, table
 
 TREES, BRANCHES, PLACES, NODE, DEPTH, ROOM = 4, 2, 128, 4096, 3, 1 << 17
@@ -144,33 +144,6 @@ def _branched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(1), batch.column(2)], ["node", "vid", "sketch"])
 
 
-class Forest:
-    """Edges of a task, kept as one to the least vertex that a vertex is connected with."""
-
-    def __init__(self) -> None:
-        self.to: dict[bytes, bytes] = {}
-
-    def least(self, v: bytes) -> bytes:
-        path, to = [], self.to
-        while (up := to.setdefault(v, v)) != v:
-            path.append(v)
-            v = up
-        for x in path:
-            to[x] = v
-        return v
-
-    def add(self, a: bytes, b: bytes) -> None:
-        a, b = self.least(a), self.least(b)
-        if a != b:
-            self.to[max(a, b)] = min(a, b)
-
-    def edges(self) -> pa.RecordBatch:
-        found = [(self.least(v), v) for v in list(self.to)]
-        found = [e for e in found if e[0] != e[1]]
-        self.to = {}
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
-
-
 Row = tuple[bytes, bool | None, bytes | None, Any]  # vid, mine, label, value
 
 
@@ -200,8 +173,8 @@ def _connecting(values: Callable, within: Callable[[list[Row]], Iterator[tuple[b
                 for a, b in within(room) if room[0][1] is None else across(room):
                     forest.add(a, b)
             if len(forest.to) > HELD:
-                yield forest.edges()
-        yield forest.edges()
+                yield forest.edges(pa.binary())
+        yield forest.edges(pa.binary())
 
     return run
 
@@ -244,7 +217,7 @@ def _salted(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def _in_rooms(rows: DataFrame, some_large: bool, limit: int, connect, payload: str) -> DataFrame:
-    """(a, b): edges that connect what `connect` finds connected in each group of `rows` (group, vid, n, blocks and `payload`)."""
+    """(a, b): the components of what `connect` finds connected in each group of `rows` (group, vid, n, blocks and `payload`)."""
     rows = rows.withColumns({"mine": F.lit(None).cast("boolean"), "label": F.lit(None).cast("binary")})
     shown = ["group", "i", "j", "vid", "mine", "label", payload]
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
@@ -255,21 +228,21 @@ def _in_rooms(rows: DataFrame, some_large: bool, limit: int, connect, payload: s
 
     first = rows.where("blocks = 1").withColumns({"i": zero, "j": zero})
     if not some_large:
-        return met(first)
+        return components(met(first))
     large = settle(rows.where("blocks > 1"))
     # A block meets itself and the representatives.
     part = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(FEW))
     some = settle(large.groupBy("group", part).agg(F.min("vid").alias("vid")).select("group", "vid", F.lit(True).alias("some")))
     every = F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))
     second = large.join(some, ["group", "vid"], "left").withColumn("i", F.explode(F.when(F.col("some"), every).otherwise(F.array(own)))).withColumn("j", zero)
-    edges = settle(met(first.select(*shown).union(second.select(*shown))))
-    label = components(edges).select(F.col("a").alias("vid"), F.col("b").alias("label"))
+    found = components(met(first.select(*shown).union(second.select(*shown))))
+    label = found.select(F.col("a").alias("vid"), F.col("b").alias("label"))
     labels = settle(large.select("group", "vid", "n").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid")))
     sizes = labels.groupBy("group", "label").agg(F.count("*").alias("size"))
     greatest = settle(sizes.groupBy("group").agg(F.max_by("label", F.struct("size", "label")).alias("greatest")))
     rest = settle(_salted(labels, greatest).where(F.col("label") != F.col("greatest")).select("group", "vid", "n"))
     if rest.isEmpty():
-        return edges
+        return found
     # What isn't in the greater part meets all: it is cut in parts that a task can hold, and the whole in wide blocks.
     parts = settle(rest.groupBy("group").agg(F.ceil(F.sum("n") / (WIDE * limit)).alias("parts")))
     known = _salted(large.drop("label").join(labels.select("group", "vid", "label"), ["group", "vid"]), parts).withColumn("wide", F.ceil(F.col("blocks") / WIDE))
@@ -277,7 +250,7 @@ def _in_rooms(rows: DataFrame, some_large: bool, limit: int, connect, payload: s
     upto = lambda c: F.sequence(F.lit(0), (F.col(c) - 1).cast("int"))
     mine = known.join(rest.select("group", "vid"), ["group", "vid"], "left_semi").withColumns({"mine": F.lit(True), "i": cut, "j": F.explode(upto("wide"))})
     whole = known.withColumns({"mine": F.lit(False), "j": block, "i": F.explode(upto("parts"))})
-    return edges.union(met(mine.select(*shown).union(whole.select(*shown))))
+    return components(found.union(met(mine.select(*shown).union(whole.select(*shown)))))
 
 
 def _families(points: DataFrame, least: float) -> DataFrame:
@@ -304,7 +277,7 @@ def _families(points: DataFrame, least: float) -> DataFrame:
         every = every.union(more)
     blocks = F.when(F.col("size") <= ALONE, F.lit(1)).otherwise(F.ceil(F.col("size") / (ALONE // 2)))
     rows = every.select(F.col("node").alias("group"), "vid", F.lit(1).alias("n"), blocks.alias("blocks"), "sketch")
-    return components(_in_rooms(rows, not every.where(F.col("size") > ALONE).isEmpty(), ALONE // 2, _alike(least), "sketch"))
+    return _in_rooms(rows, not every.where(F.col("size") > ALONE).isEmpty(), ALONE // 2, _alike(least), "sketch")
 
 
 def _linked(width: int, percent: int):
@@ -405,8 +378,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     of = members.select("vid", "n", F.col("family").alias("group"), "id", "text_key")
     brought = texts.withColumn("id", id_).join(of, ["id", "text_key"])
     family_rows = _salted(brought, large, "left").select("group", "vid", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), "text")
-    links = _in_rooms(family_rows, not large.isEmpty(), ROOM, _linked(width, percent), "text")
-    labels = components(links)
+    labels = _in_rooms(family_rows, not large.isEmpty(), ROOM, _linked(width, percent), "text")
     label = labels.select(F.col("a").alias("vid"), F.col("b").alias("label"))
     ids = points.select("vid", "of").join(label, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
     ids = settle(ids)
