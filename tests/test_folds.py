@@ -90,6 +90,31 @@ def test_token_bucket_keeps_the_rate():
     assert run(fold.token_bucket(10), [(0, 11)]) == [None]
 
 
+@pytest.mark.parametrize("kinds", ["small", "any", "big small", "negative small", "negative big small any"])
+def test_effects_of_stretches_compose_to_what_steps_give(kinds):
+    for seed in range(20):
+        rng = random.Random(seed)
+        rate = rng.choice([7, 50, 1500, 5000])
+        size = {"small": lambda: rng.randint(0, 1 + rate // 50), "any": lambda: rng.randint(0, rate + 2), "big": lambda: rate - rng.randint(0, 1 + rate // 700), "negative": lambda: -rng.randint(1, rate)}  # noqa: B023
+        calls, t = [], rng.choice([-500, 0, 10**12])
+        for _ in range(120):
+            t += rng.choice([0, 0, 1, 3, 500, 3000])
+            calls.append((t, size[rng.choice(kinds.split())]()))
+        bucket, state, found = fold.Bucket(rate), None, []
+        cut = sorted({0, 120, *(rng.randrange(120) for _ in range(6))})
+        for a, b in zip(cut, cut[1:], strict=False):
+            at, need = (np.array(x, np.int64) for x in zip(*((t, 1000 * n) for t, n in calls[a:b] if n <= rate), strict=True)) if any(n <= rate for _, n in calls[a:b]) else (np.zeros(0, np.int64),) * 2
+            effect = fold.Effect(bucket)
+            for part in (slice(None, 3), slice(3, None)):
+                effect.add(at[part], need[part])
+            state = bucket.start(effect.first) if state is None and len(at) else state
+            after, goes = bucket.fold(state or bucket.nothing, at, need)
+            assert fold.after(bucket, effect.packed(), state or bucket.nothing) == after
+            state, goes = after if state else None, iter(goes.tolist())
+            found += [next(goes) if n <= rate else None for _, n in calls[a:b]]
+        assert found == run(fold.token_bucket(rate), calls)
+
+
 def test_a_null_key_is_a_key_and_batches_carry_state(spark):
     # In batches of three, and in one that is long enough to be taken at once.
     long = spark.createDataFrame([(None if i % 2 else "a", i, 1) for i in range(400)], "k string, n int, size int")

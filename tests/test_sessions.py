@@ -3,11 +3,13 @@
 import random
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.conftest import SMALL
 from tidelog.functions import documents
-from tidelog.operators import fold, sessions, storage
+from tidelog.operators import fold, sessions, storage, topics
 from tidelog.plans import all_queries
 
 
@@ -37,6 +39,28 @@ def test_groups_and_fencing(spark):
     assert [(r.member, r.generation, r.leader) for r in sessions.members(rows).collect()] == [("b", 3, True)]
 
 
+def test_two_throttles_hold_a_stretch_in_a_task(spark, monkeypatch):
+    want = {(r.event_id, r.partition, r.global_goes, r.goes) for r in all_queries()["throttle_two_level"](spark, SMALL).collect()}
+    monkeypatch.setattr(topics, "FOLDED", 50, raising=False)
+    sizes, dealt = [], DataFrame.mapInArrow
+
+    def counted(rows, *args, **kw):
+        sizes.append(rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return dealt(rows, *args, **kw)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    got = all_queries()["throttle_two_level"](spark, SMALL)
+    assert len(sizes) >= 2 and max(sizes) <= 100
+    assert {(r.event_id, r.partition, r.global_goes, r.goes) for r in got.collect()} == want and len(want) > 900
+
+
+def test_a_request_without_size_or_time_is_an_error(spark):
+    for at, size in (("CAST(NULL AS long)", "1L"), ("id", "CAST(NULL AS long)")):
+        rows = spark.range(3).selectExpr("id", "0L AS stretch", f"{at} AS at", f"{size} AS size")
+        with pytest.raises(PythonException):
+            fold.stretched_bucket(rows, [], "stretch", ["id"], ("at", "size"), 10, "goes", 1)
+
+
 def test_two_throttles_against_a_plain_loop(spark):
     events = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.round(F.col("value") * 100).cast("long").alias("bytes")).orderBy("ms", "event_id").collect()
     step_all, step_one = fold.token_bucket(20_000)[1], fold.token_bucket(5000)[1]

@@ -14,6 +14,8 @@ from tidelog.functions.scalar import FRAME, frame_size
 PARTITIONS, DAY = 8, 86_400_000
 #: Offsets of a partition that are written by one task.
 STRETCH = 1 << 20
+#: Rows of a key that are folded by one task where its states compose.
+FOLDED = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,17 @@ def globally_numbered(rows: DataFrame, stretch: Column, order: list[str], name:
     return numbered(rows, order, name, (), stretch)
 
 
+def stretched(rows: DataFrame, slot: Column, name: str, most: int) -> DataFrame:
+    """The number of a stretch for each row, rising with `slot`, a column that rises with the order (a minute, say).
+
+    Whole slots are counted and summed up until there are about `most` rows, so a stretch has less than that and one slot more. A null slot comes first.
+    """
+    rows = rows.withColumn("_slot", F.coalesce(slot.cast("long"), F.lit(-(1 << 62))))
+    sizes = rows.groupBy("_slot").agg(F.count("*").alias("_n"))
+    begins = sizes.select("_slot", F.floor((F.sum("_n").over(W.orderBy("_slot")) - F.col("_n")) / most).alias(name))
+    return rows.join(begins, "_slot").drop("_slot")
+
+
 def events_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as a topic, keyed by user; transactions and markers ride along."""
     e = table(spark, sf_dir, "events")

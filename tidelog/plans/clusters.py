@@ -238,11 +238,15 @@ def throttle_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throttle_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each request may go by a limit for all and then one for its partition; compared with a plain loop on a small table.
 
-    The limit for all makes one order of all requests, which is folded as such; partitions are folded apart.
+    The limit for all makes one order of all requests, and a partition's makes one of an eighth of them; both are folded in
+    stretches. Those of the partitions are between the times at which the stretches of all have ended.
     """
-    calls = _calls(spark, sf_dir).withColumns({"one": F.lit(0), "partition": (F.col("user_id") % 8).cast("int")})
-    first = fold.ordered_fold(calls, ["one"], ["ms", "event_id"], ["ms", "bytes"], *fold.token_bucket(20_000), "global_goes long")
-    both = fold.ordered_fold(first.where("global_goes IS NOT NULL"), ["partition"], ["global_goes", "event_id"], ["global_goes", "bytes"], *fold.token_bucket(5000), "goes long")
+    e = topics.table(spark, sf_dir, "events")
+    rows = e.select("event_id", (F.col("user_id") % 8).cast("int").alias("partition"), topics.millis("ts", e).alias("ms"), F.round(F.col("value") * 100).cast("long").alias("bytes"))
+    tasks = 1 + rows.count() // topics.FOLDED
+    rows = topics.stretched(rows, F.floor(F.col("ms") / 60_000), "stretch", topics.FOLDED)
+    first = fold.stretched_bucket(rows, [], "stretch", ["ms", "event_id"], ("ms", "bytes"), 20_000, "global_goes", tasks)
+    both = fold.stretched_bucket(first.where("global_goes IS NOT NULL"), ["partition"], "stretch", ["global_goes", "event_id"], ("global_goes", "bytes"), 5000, "goes", tasks)
     return both.select("event_id", "partition", "global_goes", "goes")
 
 
